@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .lm_score import op1_lm_score
+from .packing import op6_best_fit_packing
+from .sp_codec import op3_sentencepiece
+from .token_count import op8_token_count
 
 
 def queries() -> dict[str, Callable]:
-    found = [op1_lm_score]
+    found = [op1_lm_score, op3_sentencepiece, op6_best_fit_packing, op8_token_count]
     return {f.__name__: f for f in found}
 
 
