@@ -57,7 +57,7 @@ def lm_brute(texts):
 
 @pytest.mark.parametrize("block_tokens", [50, 4_000_000])
 def test_lm_equals_brute_force(spark, block_tokens):
-    texts = [*TEXTS, *(" ".join(f"w{(i * j) % 17}" for j in range(i)) for i in range(40))]
+    texts = [*TEXTS, *(" ".join(f"w{(i * j) % 17}" for j in range(i)) for i in range(40)), *(f"Row {i}  of\tmany" for i in range(4000))]
     rows = score_documents(documents(spark, texts).repartition(3), fold("doc_id", 7) == 2, block_tokens=block_tokens).collect()
     want = lm_brute(dict(enumerate(texts)))
     assert len(rows) == len(texts)
@@ -108,7 +108,7 @@ def quality_brute(text):
 
 
 def test_quality_equals_brute_force(spark, tmp_path):
-    texts = [*TEXTS, PROSE * 4, "\n".join([PROSE, PROSE, "", " ", PROSE + " "]), " ".join(f"w{i % 11}" for i in range(60)), " ".join(map(str, range(300)))]
+    texts = [*TEXTS, PROSE * 4, "\n".join([PROSE, PROSE, "", " ", PROSE + " "]), " ".join(f"w{i % 11}" for i in range(60)), " ".join(map(str, range(300))), *(f"{PROSE} {i} | {i}\n{PROSE}" for i in range(2500))]
     rows = {r.doc_id: r for r in q.op4_quality_rules(spark, dump(spark, tmp_path, documents(spark, texts))).collect()}
     for i, t in enumerate(texts):
         r = rows[i]

@@ -40,7 +40,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -48,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, shuffle_partitions, table
+from .words import mix, word_hashes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a blank
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
@@ -81,30 +81,13 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hash of the pair of hashes (a, b); wraps around."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C15F39CC060)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(29)
-
-
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, an end token after each; tokens in each text."""
-    flat = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), "[ \t-\r]+")
-    offsets = flat.offsets.to_numpy()
-    words = flat.values.slice(offsets[0], offsets[-1] - offsets[0])
-    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    ends = before[offsets - offsets[0]]
-    d = pc.dictionary_encode(words.filter(pa.array(full)))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in d.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(d.dictionary))
-    lens = np.diff(ends) + 1
-    out = np.full(int(lens.sum()), END, np.uint64)
-    keep = np.ones(len(out), bool)
-    keep[np.cumsum(lens) - 1] = False
-    out[keep] = hashes[d.indices.to_numpy()] if len(hashes) else np.empty(0, np.uint64)
-    return out, lens.astype(np.int32)
+    hashes, lens = word_hashes(texts)
+    ends = np.cumsum(lens + 1) - 1
+    out = np.full(len(hashes) + len(lens), END, np.uint64)
+    out[np.delete(np.arange(len(out)), ends)] = hashes
+    return out, (lens + 1).astype(np.int32)
 
 
 def _block_row(block_id: int, parts: list[tuple]) -> pa.RecordBatch:

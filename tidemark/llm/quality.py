@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .words import fresh, mix, split_words
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -47,24 +48,6 @@ SCHEMA = (
 )
 
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C15F39CC060)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(29)
-
-
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words of all texts; the number of words of each text."""
-    lists = pc.split_pattern_regex(texts, "[ \t-\r]+")
-    offsets = lists.offsets.to_numpy()
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    codes = pc.dictionary_encode(flat.filter(pa.array(full))).indices.to_numpy()
-    return codes.astype(np.uint64), np.diff(before[offsets - offsets[0]])
-
-
 def repeat_words(codes: np.ndarray, lens: np.ndarray, window: int) -> np.ndarray:
     """Words of each text inside windows that the text holds twice or more."""
     if len(codes) < window:
@@ -114,9 +97,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             b = batch.slice(at, SLICE)
-            texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
-            codes, n = words(texts)
-            repeated = repeat_words(codes, n, WINDOW)
+            texts = fresh(b.column(1))
+            words, n = split_words(texts)
+            repeated = repeat_words(words.indices.to_numpy().astype(np.uint64), n, WINDOW)
             chars = pc.subtract(pc.utf8_length(texts), pc.count_substring_regex(texts, "[ \t-\r]")).cast(pa.int64())
             symbols = pc.count_substring_regex(texts, "[#*$%&|<>]").cast(pa.int64())
             plain = texts.to_pylist()
