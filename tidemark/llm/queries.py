@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .lang_id import op9_language_id
 from .lm_score import op1_lm_score
+from .minhash import op5_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .sp_codec import op3_sentencepiece
@@ -13,7 +14,7 @@ from .token_count import op8_token_count
 
 
 def queries() -> dict[str, Callable]:
-    found = [op1_lm_score, op3_sentencepiece, op4_quality_rules, op6_best_fit_packing, op8_token_count, op9_language_id]
+    found = [op1_lm_score, op3_sentencepiece, op4_quality_rules, op5_minhash_near_dedup, op6_best_fit_packing, op8_token_count, op9_language_id]
     return {f.__name__: f for f in found}
 
 
