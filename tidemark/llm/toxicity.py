@@ -12,8 +12,8 @@ labels, language, source or id.
 2. A generative label model (class-conditional Bernoulli voters, one latent
    label) is fitted by expectation-maximisation to the votes alone; its
    posteriors estimate each voter's accuracy. Residual correlations of voters
-   within a class are then measured, each voter's evidence is divided by its
-   correlated company, and the posteriors are computed again.
+   within a class are measured before each pass, and each voter's evidence is
+   divided by its correlated company.
 3. A logistic regression on word and pattern features is trained on the
    posterior labels, and scores every text. A map with the weights (bounded
    by ``FEATURES``) does it; there is no shuffle.
@@ -44,6 +44,8 @@ FEATURES = 2000
 VOTERS = 400
 MIN_DOCS = 3
 SMOOTH = 0.5
+#: Standard errors below the estimate at which a word's log odds are read, and the least that makes a voter.
+MARGIN, LEAST = 2.6, 0.8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+")
 #: Insults any reader would name (fixed list).
@@ -71,7 +73,7 @@ def association(docs: list[set[str]], y: np.ndarray) -> list[tuple[float, str, i
         a, b = pos[w] + SMOOTH, neg[w] + SMOOTH
         odds = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
         if pos[w] >= MIN_DOCS:
-            out.append((float(odds - 1.64 * np.sqrt(1 / a + 1 / b)), w, pos[w], neg[w]))
+            out.append((float(odds - MARGIN * np.sqrt(1 / a + 1 / b)), w, pos[w], neg[w]))
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
@@ -86,19 +88,27 @@ class LabelModel:
         z = np.log(self.prior / (1 - self.prior)) + votes @ ((on[1] - on[0] - off[1] + off[0]) * discount) + ((off[1] - off[0]) * discount).sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """votes: documents x voters (0/1). Returns the posteriors."""
+    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 10, passes: int = 3) -> np.ndarray:
+        """votes: documents x voters (0/1). Returns the posteriors.
+
+        Each pass measures the voters' residual correlations under the present
+        posteriors and runs EM with the discounts they give; without them two
+        copies of one voter would become the label.
+        """
         p = start
-        even = np.ones(votes.shape[1])
-        for _ in range(rounds):
-            w = np.stack([1 - p, p])
-            # A vote is rare: the pseudo-counts hold its rate near the voter's own.
-            own = votes.mean(axis=0)
-            self.rate = np.clip((w @ votes + own) / (w.sum(axis=1, keepdims=True) + 1), 1e-5, 1 - 1e-5)
-            p = self._posterior(votes, even / max(1.0, np.sqrt(votes.sum(axis=1).mean() + 1)))
-        self.correlation = self._residual(votes, p)
-        self.discount = 1 / (1 + np.maximum(self.correlation, 0).sum(axis=1))
-        return self._posterior(votes, self.discount)
+        for _ in range(passes):
+            self._rates(votes, p)
+            self.correlation = self._residual(votes, p)
+            self.discount = 1 / (1 + np.maximum(self.correlation, 0).sum(axis=1))
+            for _ in range(rounds):
+                p = self._posterior(votes, self.discount)
+                self._rates(votes, p)
+        return p
+
+    def _rates(self, votes: np.ndarray, p: np.ndarray) -> None:
+        w = np.stack([1 - p, p])
+        # One pseudo-document that votes as often as the voter does overall.
+        self.rate = np.clip((w @ votes + votes.mean(axis=0)) / (w.sum(axis=1, keepdims=True) + 1), 1e-5, 1 - 1e-5)
 
     def _residual(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Correlation of voters given the label (off-diagonal, small ones dropped)."""
@@ -139,11 +149,11 @@ class Model:
         y = np.array([k for _, k in sample], np.int64)
         docs = [words(t) for t in texts]
         ranked = association(docs, y)
-        mined = [w for bound, w, a, b in ranked if bound > 1.0 and a >= 4 * b][:VOTERS]
+        mined = [w for bound, w, a, b in ranked if bound > LEAST and a >= 6 * b][:VOTERS]
         self.lexicon = list(dict.fromkeys([*mined, *INSULTS]))
         known = set(self.lexicon)
-        self.strong = {w for bound, w, a, b in ranked if bound > 2.0} | set(INSULTS)
-        extra = [w for bound, w, _, _ in ranked if bound > 0.3 and w not in known][: FEATURES - len(known)]
+        self.strong = set(mined) | set(INSULTS)
+        extra = [w for bound, w, _, _ in ranked if bound > 0.4 and w not in known][: FEATURES - len(known)]
         names = [*self.lexicon, *extra, *PATTERNS, "~two", "~three"]
         self.place = {n: k for k, n in enumerate(names)}
         self.voters = [*self.lexicon, *PATTERNS, "~two", "~three", "~none"]
