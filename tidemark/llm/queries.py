@@ -8,6 +8,7 @@ from .chat import op10_chat_format
 from .lang_id import op9_language_id
 from .lm_score import op1_lm_score
 from .minhash import op5_minhash_near_dedup
+from .nn_descent import op7_nn_descent
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .sp_codec import op3_sentencepiece
@@ -16,7 +17,7 @@ from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    found = [op1_lm_score, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_minhash_near_dedup, op6_best_fit_packing, op8_token_count, op9_language_id, op10_chat_format]
+    found = [op1_lm_score, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_minhash_near_dedup, op6_best_fit_packing, op7_nn_descent, op8_token_count, op9_language_id, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
