@@ -12,15 +12,21 @@
    values out of a chunk, and all pairs within ``t`` share a key.
 3. Classes that share a key are compared with one pivot of the key (its most
    frequent class), not with each other. Pairs within ``t`` are confirmed on the
-   full sets, links give components, and keys that still hold several
-   components are compared again: with another pivot in each of ``PIVOTS``
-   rounds, and in the end pair by pair over the components that are left. So
-   no pair of unlinked components within ``t`` goes unconfirmed, and a large
-   group of mutual copies costs one comparison for each class.
-4. Components come from alternating star steps; each class takes the smallest
+   full sets, and the links give first components; a large group of mutual
+   copies costs one comparison for each class.
+4. Two classes that share a key also share its pivot, so what is left to compare
+   lies inside the pivots' groups that still hold several components. Groups
+   are cut into blocks of about ``BLOCK`` classes. A task gets two blocks: first
+   their signatures, to mark classes within ``t`` of another component, then the
+   sets of the marked ones, whose intersections it counts by matrix products.
+   It returns the links of a spanning forest only. No pair within ``t`` between
+   components goes unconfirmed, and no list of pairs is ever made.
+5. Components come from alternating star steps; each class takes the smallest
    id of its component.
 
-Sets are only rebuilt (from text) for classes that take part in a pair.
+Sets are rebuilt from text only for classes that take part in a comparison. The
+ids of those classes are broadcast up to ``BROADCAST`` of them and joined by
+shuffle beyond.
 
 Edge cases: null, empty or blank text has no shingles and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows without id
@@ -47,7 +53,9 @@ from .words import shingles, word_hashes
 VALUES = 40
 ERRORS = 1
 MISS = 1e-4
-PIVOTS = 3
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
+BROADCAST = 1_000_000
 SLICE = 512
 
 SIGN_SCHEMA = "doc_id long, n_shingles long, node long, digest binary, signature binary"
@@ -148,6 +156,84 @@ def _near(limit: int):
     return run
 
 
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell's two blocks; one block meets itself on the diagonal."""
+    own = group["own"].to_numpy()
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    return np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+
+def _mark(limit: int, percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        left, right = _sides(group)
+        sign = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
+        n, root = group["n"].to_numpy(), group["root"].to_numpy()
+        hit = np.zeros(group.num_rows, bool)
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            far = np.zeros((len(a), len(right)), np.int16)
+            for k in range(sign.shape[1]):
+                far += sign[a, k][:, None] != sign[right, k]
+            low, high = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
+            met = (far <= limit) & (root[a][:, None] != root[right]) & (100 * low >= percent * high)
+            hit[a] |= met.any(axis=1)
+            hit[right] |= met.any(axis=0)
+        return group.select(["p", "node"]).filter(pa.array(hit))
+
+    return run
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    places = []
+    for sets in (x, y):
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        keep = common[col] == flat if len(common) else np.zeros(len(flat), bool)
+        places.append((row[keep], col[keep]))
+    for at in range(0, len(common), width):
+        part = []
+        for (row, col), sets in zip(places, (x, y), strict=True):
+            m = np.zeros((len(sets), min(width, len(common) - at)), np.float32)
+            inside = (col >= at) & (col < at + width)
+            m[row[inside], col[inside] - at] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _link(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        left, right = _sides(group)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            flat = group["shingles"].combine_chunks()
+            ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            size, root, node = np.diff(ends), group["root"].to_numpy(), group["node"].to_numpy()
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+            linked = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (root[left][:, None] != root[right])
+            parent: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while parent.setdefault(v, v) != v:
+                    parent[v] = v = parent[parent[v]]
+                return v
+
+            for a, b in zip(*np.nonzero(linked), strict=True):
+                u, v = int(left[a]), int(right[b])
+                x, y = top(int(root[u])), top(int(root[v]))
+                if x != y:
+                    parent[x] = y
+                    found.append((int(node[u]), int(node[v])))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
 class Join:
     """The state of one near-duplicate join."""
 
@@ -157,79 +243,67 @@ class Join:
         self.texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.docs, _ = materialize(self.texts.mapInArrow(_sign(shingle), SIGN_SCHEMA), "minhash-docs")
         full = self.docs.where("node is not null and doc_id is not null")
-        self.classes, _ = materialize(
-            full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "minhash-classes"
-        )
-        parts = chunks(self.limit)
-        keys = self.classes.select("node", "signature", "weight").mapInArrow(_keys(parts, ERRORS), "key long, node long, weight long")
-        shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        self.members, _ = materialize(keys.join(shared, "key"), "minhash-keys")
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> int:
-        """Test new candidate pairs (a < b); returns the number of links found."""
+        classes = full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        self.classes, _ = materialize(classes, "minhash-classes")
+
+    def stars(self) -> DataFrame:
+        """Pairs (p, node) of a key's pivot and its other classes."""
+        keys = self.classes.select("node", "signature", "weight").mapInArrow(_keys(chunks(self.limit), ERRORS), "key long, node long, weight long")
+        pivots = keys.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("weight", "node")).alias("top")).where("c > 1").select("key", F.col("top.node").alias("p"))
+        return materialize(keys.join(pivots, "key").where("node <> p").select("p", "node").distinct(), "minhash-stars")[0]
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles of the given (distinct) classes, written once."""
+        nodes, _ = materialize(nodes.join(self.classes, "node").select("node", F.col("id").alias("doc_id")), "minhash-need")
+        ids = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+        texts = self.texts.join(ids, "doc_id").select("node", "text")
+        return materialize(texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>"), "minhash-sets")[0]
+
+    def confirm(self, stars: DataFrame) -> DataFrame:
+        """The links (u, v) among pairs of pivots and classes."""
         own = self.classes.select("node", "signature", "n")
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         a, b = (own.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-        sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        sized = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
         near, _ = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(_near(self.limit), "a long, b long"), "minhash-near")
-        self.tested = near if self.tested is None else self.tested.unionByName(near)
-        need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        ids = self.classes.join(need, "node").select("node", F.col("id").alias("doc_id"))
-        texts = self.texts.join(ids, "doc_id").select("node", "text")
-        sets = texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>")
+        sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sa, sb = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"x{k}")) for k in "ab")
         met = near.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("i"), (F.size("xa") + F.size("xb")).alias("s"))
-        found, _ = materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "minhash-links")
-        n = found.count()
-        if n:
-            self.links = found if self.links is None else self.links.unionByName(found)
-        return n
-
-    def labelled(self) -> DataFrame:
-        """Members of keys that still hold several components: key, node, weight, root."""
-        m = self.members
-        if self.links is None:
-            m = m.withColumn("root", F.col("node"))
-        else:
-            roots = components(self.links)
-            m = m.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        m, _ = materialize(m, "minhash-labelled")
-        mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return m.join(mixed, "key")
+        return materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-links")[0]
+
+    def roots(self, links: DataFrame) -> DataFrame:
+        return materialize(components(links), "minhash-roots")[0]
+
+    def cells(self, groups: DataFrame) -> DataFrame:
+        """Rows (p, i, j, own, node, n, root): each class of a group in every cell of its block."""
+        size = groups.groupBy("p").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        size = size.select("p", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        own = groups.join(size, "p").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root")
+
+    def rest(self, stars: DataFrame, links: DataFrame) -> DataFrame:
+        """The links between components inside the pivots' groups."""
+        groups = stars.unionByName(stars.select("p", F.col("p").alias("node")).distinct())
+        known = self.classes.select("node", "n").join(self.roots(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+        groups, _ = materialize(groups.join(known, "node").select("p", "node", "n", "root"), "minhash-groups")
+        signs = self.cells(groups).join(self.classes.select("node", "signature"), "node").select("p", "i", "j", "own", "node", "n", "root", "signature")
+        marked, _ = materialize(signs.groupBy("p", "i", "j").applyInArrow(_mark(self.limit, self.percent), "p long, node long").distinct(), "minhash-marked")
+        sets = self.sets(marked.select("node").distinct())
+        again = self.cells(groups.join(marked, ["p", "node"])).join(sets, "node").select("p", "i", "j", "own", "node", "root", "shingles")
+        return materialize(again.groupBy("p", "i", "j").applyInArrow(_link(self.percent), "u long, v long"), "minhash-more")[0]
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        members = self.members.withColumn("root", F.col("node"))
-        for turn in range(PIVOTS):
-            order = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-            pivot = members.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct(order, F.col("node"))).alias("p"))
-            pairs = members.join(pivot, "key").where("node <> p.node and root <> p.root")
-            n = self.confirm(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")))
-            members, _ = materialize(self.labelled(), "minhash-mixed")
-            if members.isEmpty():
-                break
-            if not n and turn:
-                break
-        else:
-            pass
-        if not members.isEmpty():
-            x = members.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            y = members.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            self.confirm(x.join(y, "key").where("a < b and ra <> rb").select("a", "b"))
-        out = self.docs
-        if self.links is None:
-            least = self.classes.select("node", F.col("id").alias("component_id"))
-        else:
-            roots = self.classes.join(components(self.links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-            low = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-            least = roots.join(low, "root").select("node", "component_id")
-        joined = out.where("node is not null").join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-        alone = out.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return joined.unionByName(alone)
+        stars = self.stars()
+        links = self.confirm(stars)
+        links = links.unionByName(self.rest(stars, links))
+        roots = self.classes.join(self.roots(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        low = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+        least = roots.join(low, "root").select("node", "component_id")
+        linked = self.docs.where("node is not null").join(least, "node", "left")
+        alone = self.docs.where("node is null").withColumn("component_id", F.col("doc_id"))
+        both = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+        return both.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
