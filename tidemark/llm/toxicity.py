@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 
-TRAIN_DOCS = 10_000
+TRAIN_DOCS = 8_000
 TRAIN_CHARS = 10_000
 FEATURES = 2000
 VOTERS = 400
@@ -62,7 +62,7 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def association(docs: list[set[str]], y: np.ndarray) -> list[tuple[float, str, int, int]]:
+def association(docs: Iterable[set[str]], y: np.ndarray) -> list[tuple[float, str, int, int]]:
     """Words by the lower bound of their log odds for toxic texts: (bound, word, toxic, clean)."""
     pos, neg = Counter(), Counter()
     for d, t in zip(docs, y, strict=True):
@@ -147,8 +147,7 @@ class Model:
     def __init__(self, sample: list[tuple[str, int]], prior: float):
         texts = [t for t, _ in sample]
         y = np.array([k for _, k in sample], np.int64)
-        docs = [words(t) for t in texts]
-        ranked = association(docs, y)
+        ranked = association(map(words, texts), y)
         mined = [w for bound, w, a, b in ranked if bound > LEAST and a >= 6 * b][:VOTERS]
         self.lexicon = list(dict.fromkeys([*mined, *INSULTS]))
         known = set(self.lexicon)
