@@ -97,10 +97,14 @@ class SearchFilters:
         return out
 
     def guard(self, rows: DataFrame) -> DataFrame:
-        """Fail the query if a row escapes the filters."""
+        """Fail the query if a scored row escapes the filters.
+
+        The condition names the score too, so the optimizer cannot move it below
+        the join to rows that are no candidates.
+        """
         if not self:
             return rows
-        fine = F.coalesce(self.predicate(), F.lit(False))
+        fine = F.coalesce(self.predicate(), F.lit(False)) | F.col("score").isNull()
         return rows.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit("filter_leakage")).cast("boolean")))
 
 
