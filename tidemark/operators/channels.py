@@ -9,6 +9,7 @@ channel shuffles only rows that match or survive a task's own top-k.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,11 +143,57 @@ def lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return top(scored, F.col("score").desc(), F.col("id"))
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
+def local_trigrams(word: str) -> set[str]:
+    padded = f"  {word} "
+    return {padded[k : k + 3] for k in range(len(padded) - 2)}
+
+
+def _shared_trigrams(wanted: frozenset[str], limit: float):
+    """The query trigrams that each text holds; texts with more than ``limit`` trigrams hold too few.
+
+    Higher-order functions would build every text's whole set; this stops at the
+    limit and keeps the sets of words it has seen.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        for b in batches:
+            out: tuple[list, list, list] = [], [], []
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own: set[str] = set()
+                for m in WORD.finditer((content or "").lower()):
+                    w = m[0]
+                    if w not in known:
+                        if len(known) > 100_000:
+                            known = {}
+                        known[w] = local_trigrams(w)
+                    own |= known[w]
+                    if len(own) > limit:
+                        break
+                else:
+                    for g in own & wanted:
+                        out[0].append(key)
+                        out[1].append(len(own))
+                        out[2].append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["id", "m", "gram"])
+
+    return run
+
+
 def trigram(chunks: DataFrame, queries: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
-    """Rows whose trigram sets are similar enough; ties by id."""
+    """Rows whose trigram sets are similar enough; ties by id.
+
+    A text similar to a query of n trigrams by t has n / t trigrams at most, so
+    longer ones are given up early, and only shared trigrams are shuffled.
+    """
     asked = queries.select("query_id", "pool", trigrams("text").alias("own")).where(F.size("own") > 0)
+    sets = [set(r.own) for r in collected(asked, "own")]
+    limit = max(map(len, sets), default=0) / threshold if threshold > 0 else float("inf")
     wanted = asked.select("query_id", "pool", F.size("own").alias("n"), F.explode("own").alias("gram"))
-    flat = chunks.select("id", trigrams("content").alias("own")).select("id", F.size("own").alias("m"), F.explode("own").alias("gram"))
+    flat = chunks.select("id", "content").mapInArrow(_shared_trigrams(frozenset().union(*sets), limit), "id string, m int, gram string")
     met = flat.join(wanted, "gram").groupBy("query_id", "id").agg(F.first("pool").alias("pool"), F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
     scored = met.select("query_id", "id", "pool", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")).where(F.col("score") >= threshold)
     return top(scored, F.col("score").desc(), F.col("id"))

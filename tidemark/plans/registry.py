@@ -212,7 +212,8 @@ def explain_summary(spark, d):
 )
 def ablation_matrix(spark, d):
     """The configurations without decay, side by side."""
-    parts = [plan(spark, d, stages=CONFIGS[c]).results.select(F.lit(c).alias("config"), "query_id", "id", F.col("place").alias("rank"), F.round("score", 9).alias("score")) for c in ("dense-only", "lexical-only", "rrf", "+exact")]
+    base = plan(spark, d)
+    parts = [base.variant(CONFIGS[c]).results.select(F.lit(c).alias("config"), "query_id", "id", F.col("place").alias("rank"), F.round("score", 9).alias("score")) for c in ("dense-only", "lexical-only", "rrf", "+exact")]
     return reduce(DataFrame.unionByName, parts)
 
 

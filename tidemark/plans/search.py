@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import cached_property
 
@@ -73,13 +73,16 @@ class Search:
     def base(self, needs_vector: bool) -> DataFrame:
         return self.chunks.where(self.filters.predicate() & compatible(self.model, self.dim, needs_vector))
 
+    # Channels are kept: at most a pool for each query, read by fusion, fallback,
+    # summary and by every variant of the search.
+
     @cached_property
     def dense(self) -> DataFrame:
-        return channels.dense(self.base(True), self.asked)
+        return channels.dense(self.base(True), self.asked).persist()
 
     @cached_property
     def words(self) -> DataFrame:
-        return channels.lexical(self.base(False), self.asked)
+        return channels.lexical(self.base(False), self.asked).persist()
 
     @cached_property
     def unmatched(self) -> DataFrame:
@@ -88,7 +91,7 @@ class Search:
 
     @cached_property
     def grams(self) -> DataFrame:
-        return channels.trigram(self.base(False), self.unmatched)
+        return channels.trigram(self.base(False), self.unmatched).persist()
 
     @cached_property
     def lexical(self) -> DataFrame:
@@ -96,7 +99,22 @@ class Search:
 
     @cached_property
     def exact(self) -> DataFrame:
-        return channels.exact(self.base(False), self.asked)
+        return channels.exact(self.base(False), self.asked).persist()
+
+    def variant(self, stages: Stages) -> Search:
+        """The same search with other stages, sharing the channels."""
+        other = replace(self, stages=stages)
+        for name in ("asked", "dense", "words", "grams", "lexical", "exact"):
+            needed = {"dense": stages.dense, "exact": stages.exact, "asked": True}.get(name, stages.lexical)
+            if needed:
+                other.__dict__[name] = getattr(self, name)
+        return other
+
+    def release(self) -> None:
+        """Drop the kept channels."""
+        for name in ("dense", "words", "grams", "exact"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @cached_property
     def pools(self) -> dict[str, DataFrame]:
@@ -202,8 +220,11 @@ def search(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: in
         raise QueryError("no embedder is configured", code="embedding_unavailable")
     s = _one(chunks, text, vector, limit, offset, filters, stages, model, now, dim)
     columns = [*RESULT, F.size("embedding").alias("embedding_dimension"), "id", *(["explain"] if explain else [])]
-    rows = s.results.orderBy("place").select(*columns).collect()
-    return (rows, s.summary.first().asDict()) if explain else rows
+    try:
+        rows = s.results.orderBy("place").select(*columns).collect()
+        return (rows, s.summary.first().asDict()) if explain else rows
+    finally:
+        s.release()
 
 
 def search_page(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: int = 0, **options) -> SearchPage:
