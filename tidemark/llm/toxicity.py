@@ -6,7 +6,8 @@ be tied to toxic texts, and a short fixed list of insults), pattern voters
 (no lexicon word at all). None of them is right always, and no voter reads
 labels, language, source or id.
 
-1. Voters are mined from at most ``TRAIN_DOCS`` labelled rows outside the
+1. Voters - words with strong evidence and high precision at the true share of
+   toxic texts, counted by distinct surroundings - are mined from at most ``TRAIN_DOCS`` labelled rows outside the
    held-out fold - half toxic, half not, those with the smallest hash of their
    ids - so the driver holds a bounded sample.
 2. A generative label model (class-conditional Bernoulli voters, one latent
@@ -29,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ FEATURES = 2000
 VOTERS = 400
 MIN_DOCS = 3
 SMOOTH = 0.5
-#: Standard errors below the estimate at which a word's log odds are read, and the least that makes a voter.
-MARGIN, LEAST = 2.6, 0.8
+#: Evidence (natural log) that a word needs to be a feature and to be a voter, and a voter's least precision.
+WEAK, STRONG, PRECISE = 9.0, 11.5, 0.8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+")
 #: Insults any reader would name (fixed list).
@@ -62,19 +63,43 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def association(docs: Iterable[set[str]], y: np.ndarray) -> list[tuple[float, str, int, int]]:
-    """Words by the lower bound of their log odds for toxic texts: (bound, word, toxic, clean)."""
+def evidence(a: float, b: float, n1: int, n0: int) -> float:
+    """Minus log of a bound (Chernoff's) on the chance of ``a`` toxic texts among ``a + b`` for a word without meaning."""
+    n, q = a + b, n1 / (n1 + n0)
+    p = a / n if n else 0.0
+    if p <= q:
+        return 0.0
+    return n * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0))
+
+
+def association(sample: list[tuple[str, int]], prior: float) -> list[tuple[float, float, str]]:
+    """Words tied to toxic texts: (precision at the true share of toxic texts, evidence, word).
+
+    A word's toxic support is the number of its distinct surroundings, so that
+    what copies of one text share does not count once for each copy.
+    """
     pos, neg = Counter(), Counter()
-    for d, t in zip(docs, y, strict=True):
-        (pos if t else neg).update(d)
-    n1, n0 = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
+    for t, y in sample:
+        (pos if y else neg).update(words(t))
+    n1 = sum(y for _, y in sample)
+    n0 = len(sample) - n1
+    if not n1 or not n0:
+        return []
+    likely = {w for w, a in pos.items() if a >= MIN_DOCS and evidence(a, neg[w], n1, n0) > WEAK}
+    around: dict[str, set[tuple[str, str]]] = {w: set() for w in likely}
+    for t, y in sample:
+        if y:
+            own = ["", *WORD.findall(t.lower()), ""]
+            for k, w in enumerate(own[1:-1], start=1):
+                if w in around:
+                    around[w].add((own[k - 1], own[k + 1]))
     out = []
-    for w in pos:
-        a, b = pos[w] + SMOOTH, neg[w] + SMOOTH
-        odds = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
-        if pos[w] >= MIN_DOCS:
-            out.append((float(odds - MARGIN * np.sqrt(1 / a + 1 / b)), w, pos[w], neg[w]))
-    return sorted(out, key=lambda x: (-x[0], x[1]))
+    for w in likely:
+        a, b = min(pos[w], len(around[w])), neg[w]
+        toxic, clean = a / n1 * prior, (b + SMOOTH) / n0 * (1 - prior)
+        if (e := evidence(a, b, n1, n0)) > WEAK:
+            out.append((toxic / (toxic + clean), e, w))
+    return sorted(out, key=lambda x: (-x[0], -x[1], x[2]))
 
 
 class LabelModel:
@@ -147,12 +172,12 @@ class Model:
     def __init__(self, sample: list[tuple[str, int]], prior: float):
         texts = [t for t, _ in sample]
         y = np.array([k for _, k in sample], np.int64)
-        ranked = association(map(words, texts), y)
-        mined = [w for bound, w, a, b in ranked if bound > LEAST and a >= 6 * b][:VOTERS]
+        ranked = association(sample, prior)
+        mined = [w for precision, e, w in ranked if e > STRONG and precision > PRECISE][:VOTERS]
         self.lexicon = list(dict.fromkeys([*mined, *INSULTS]))
         known = set(self.lexicon)
         self.strong = set(mined) | set(INSULTS)
-        extra = [w for bound, w, _, _ in ranked if bound > 0.4 and w not in known][: FEATURES - len(known)]
+        extra = [w for precision, _, w in ranked if precision > 0.5 and w not in known][: FEATURES - len(known)]
         names = [*self.lexicon, *extra, *PATTERNS, "~two", "~three"]
         self.place = {n: k for k, n in enumerate(names)}
         self.voters = [*self.lexicon, *PATTERNS, "~two", "~three", "~none"]
