@@ -274,15 +274,17 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     blocks, blocks_at = materialize(rows.mapInArrow(_blocks(block_tokens), BLOCK_SCHEMA), "lm-blocks")
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(4 * shuffle_partitions(spark), -(-tokens // 2_000_000))
+    size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("blocks")).first()
+    buckets = max(4 * shuffle_partitions(spark), -(-(size.tokens or 0) // 2_000_000))
     asked = blocks.mapInArrow(_ask(buckets), "bucket int, block_id long, k1 binary, c1 binary, k2 binary, c2 binary")
     answers, answers_at = materialize(asked.groupBy("bucket").applyInArrow(_count, ANSWER_SCHEMA), "lm-answers")
     width = 8 + len(BETAS)
     sums = answers.where("stats is not null").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(width))).first()
     model = Smoothing([x or 0.0 for x in sums])
     back = answers.where("block_id is not null").select("block_id", "bucket", "answer")
-    return blocks.groupBy("block_id").cogroup(back.groupBy("block_id")).applyInArrow(_score(model), SCORE_SCHEMA)
+    parts = max(1, 2 * size.blocks)  # a task meets a block or two, however many there are
+    own, got = blocks.repartition(parts, "block_id"), back.repartition(parts, "block_id")
+    return own.groupBy("block_id").cogroup(got.groupBy("block_id")).applyInArrow(_score(model), SCORE_SCHEMA)
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
