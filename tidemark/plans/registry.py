@@ -217,13 +217,34 @@ def ablation_matrix(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-@register()
+KEPT = """twins AS (SELECT r.query_id, r.id FROM ranked r JOIN ranked e ON e.query_id = r.query_id AND e.rank < r.rank AND e.content = r.content AND e.session_id = r.session_id AND e.source_type = r.source_type
+    WHERE r.embedding IS NOT NULL AND e.embedding IS NOT NULL AND list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0.85),
+  kept AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS place FROM ranked r ANTI JOIN twins t ON t.query_id = r.query_id AND t.id = r.id)"""
+EVENTS = " UNION ALL ".join(
+    f"SELECT query_id, '{stage}' AS stage, '{reason}' AS reason, count(*) AS n FROM {rel} GROUP BY query_id"
+    for stage, reason, rel in (
+        ("dense", "candidate", "dense"),
+        ("lexical", "candidate", "(SELECT query_id FROM words UNION ALL SELECT query_id FROM tri)"),
+        ("exact", "candidate", "exact"),
+        ("fused", "fused", "fused"),
+        ("temporal", "ranked", "ranked"),
+        ("dedup", "kept", "(SELECT query_id FROM kept)"),
+        ("dedup", "duplicate", "(SELECT DISTINCT query_id, id FROM twins)"),
+        ("final", "returned", "(SELECT query_id FROM kept WHERE place <= 5)"),
+    )
+)
+
+
+@register(
+    f"""{ALL}, {RANKED}, {KEPT} SELECT query_id, place, id, round(score, 9) AS score, session_id, source_type,
+    (dense_rank IS NOT NULL)::INT + (lexical_rank IS NOT NULL)::INT + (exact_rank IS NOT NULL)::INT > 1 AS multi_channel FROM kept WHERE place <= 5"""
+)
 def hybrid_search(spark, d):
     """The whole search: every stage on."""
     return plan(spark, d).results.select("query_id", "place", "id", F.round("score", 9).alias("score"), "session_id", "source_type", F.col("explain.multi_channel").alias("multi_channel"))
 
 
-@register()
+@register(f"{ALL}, {RANKED}, {KEPT} {EVENTS}")
 def search_trace(spark, d):
     """The events of every stage, counted."""
     return plan(spark, d).trace().groupBy("query_id", "stage", "reason").agg(F.count("*").alias("n"))
