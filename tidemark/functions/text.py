@@ -203,5 +203,5 @@ def short_hash(text: Column | str, size: int = 16) -> Column:
 
 
 def cjk_chars(text: Column | str) -> Column:
-    """Number of Han, Hiragana and Katakana characters."""
-    return F.regexp_count(_col(text), F.lit(r"[぀-ヿ㐀-䶿一-鿿]"))
+    """Number of unified ideographs."""
+    return F.regexp_count(_col(text), F.lit(r"[\x{4E00}-\x{9FFF}]"))

@@ -52,7 +52,7 @@ from .words import mix, word_hashes
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a blank
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 BETAS = np.linspace(0.3, 1.0, 15)
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 BLOCK_SCHEMA = "block_id long, doc_ids array<long>, lens array<int>, held array<boolean>, n_tokens long, vocab binary, codes binary"
 ANSWER_SCHEMA = "block_id long, bucket int, answer binary, stats array<double>"

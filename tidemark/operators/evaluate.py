@@ -141,7 +141,7 @@ def newest_relevant(ranked: DataFrame, judged: DataFrame, times: DataFrame) -> D
 def drop_rate(judged: DataFrame, relevant: DataFrame) -> DataFrame:
     """Share of candidates that deduplication dropped, and of relevant ones among them."""
     met = judged.join(relevant.where("grade > 0").select("query_id", "id", F.lit(True).alias("good")), ["query_id", "id"], "left")
-    return met.groupBy("query_id").agg(F.count_if("not kept").alias("dropped"), F.count("*").alias("n"), (F.count_if("not kept") / F.count("*")).alias("rate"), F.bool_or(~F.col("kept") & F.coalesce("good", F.lit(False))).alias("dropped_relevant"))
+    return met.groupBy("query_id").agg(F.count_if(~F.col("kept")).alias("dropped"), F.count("*").alias("n"), (F.count_if(~F.col("kept")) / F.count("*")).alias("rate"), F.bool_or(~F.col("kept") & F.coalesce("good", F.lit(False))).alias("dropped_relevant"))
 
 
 def no_evidence(returned: Column, expected_none: Column) -> Column:

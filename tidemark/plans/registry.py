@@ -652,7 +652,7 @@ def id_differences(spark, d):
 
 @register(
     """SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview, substr(sha256(text), 1, 16) AS short_hash,
-      len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]')) AS cjk, sha256('m|1') || ':document:' || sha256(text) AS replay_key, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n_words FROM documents"""
+      len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) AS cjk, sha256('m|1') || ':document:' || sha256(text) AS replay_key, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n_words FROM documents"""
 )
 def text_functions(spark, d):
     """Scalar functions."""
