@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import minhash, packing, quality, toxicity
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import clear_since, materialize, remove, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = written()
+        docs, at = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_since(spark, mark, at)
+        if before:
+            remove(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)

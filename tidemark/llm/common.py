@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _RUN = uuid.uuid4().hex
 _LOCAL: dict[str, str] = {}
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +41,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 25_000) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts lineage in a way that outlives a lost executor. Returns the new
-    DataFrame and its path.
+    This cuts lineage in a way that outlives a lost executor. ``rows``: at most so
+    many come out, so ``rows / per_file`` files do. Returns the new DataFrame and
+    its path.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     spark = df.sparkSession
     base = shared_dir(spark)
     if "hook" not in _LOCAL:
@@ -53,9 +57,20 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         atexit.register(_sweep, spark, base)
     path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written() -> int:
+    """How many tables this process has written so far."""
+    return len(_TABLES)
+
+
+def clear_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the tables written after ``mark`` but one: a stage's intermediates once its result is stored."""
+    remove(spark, *(p for p in _TABLES[mark:] if p != keep))
+
+
 def _sweep(spark: SparkSession, base: str) -> None:
     try:
         remove(spark, base)

@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, at = materialize(met.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        new, at = materialize(met.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc", 2 * mark[0])
         remove(spark, path)
         e, path = new, at
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit signatures.
 
 1. A map over the texts gives each row its set of word shingles (as a digest
-   and a size) and a signature: ``VALUES`` one-permutation-free min-hash values
-   cut to 16 bits. Rows of one digest are one *class*.
+   and a size) and a signature: ``VALUES`` min-hash values cut to 16 bits. Rows
+   of one digest are one *class*.
 2. Two sets of similarity s differ in about ``(1 - s) * VALUES`` values. The
    distance limit ``t`` is the least one that a pair at the threshold exceeds
    with probability ``MISS`` at most (binomial tail). The values are split into
@@ -254,24 +254,27 @@ class Join:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given (distinct) classes, written once."""
-        nodes, _ = materialize(nodes.join(self.classes, "node").select("node", F.col("id").alias("doc_id")), "minhash-need")
-        ids = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
-        texts = self.texts.join(ids, "doc_id").select("node", "text")
-        return materialize(texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>"), "minhash-sets")[0]
+        nodes = nodes.join(self.classes, "node").select("node", F.col("id").alias("doc_id")).persist()
+        try:
+            n = nodes.count()
+            ids = F.broadcast(nodes) if n <= BROADCAST else nodes
+            texts = self.texts.join(ids, "doc_id").select("node", "text")
+            # Rows are wide and few: one exchange deals them evenly over few files.
+            dealt = texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>").repartition(max(1, -(-n // 4000)), "node")
+            return materialize(dealt, "minhash-sets")[0]
+        finally:
+            nodes.unpersist()
 
     def confirm(self, stars: DataFrame) -> DataFrame:
         """The links (u, v) among pairs of pivots and classes."""
         own = self.classes.select("node", "signature", "n")
         a, b = (own.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
         sized = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        near, _ = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(_near(self.limit), "a long, b long"), "minhash-near")
+        near, _ = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(_near(self.limit), "a long, b long"), "minhash-near", stars.count())
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sa, sb = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"x{k}")) for k in "ab")
         met = near.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("i"), (F.size("xa") + F.size("xb")).alias("s"))
-        return materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-links")[0]
-
-    def roots(self, links: DataFrame) -> DataFrame:
-        return materialize(components(links), "minhash-roots")[0]
+        return materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-links", near.count(), 5000)[0]
 
     def cells(self, groups: DataFrame) -> DataFrame:
         """Rows (p, i, j, own, node, n, root): each class of a group in every cell of its block."""
@@ -284,20 +287,20 @@ class Join:
     def rest(self, stars: DataFrame, links: DataFrame) -> DataFrame:
         """The links between components inside the pivots' groups."""
         groups = stars.unionByName(stars.select("p", F.col("p").alias("node")).distinct())
-        known = self.classes.select("node", "n").join(self.roots(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-        groups, _ = materialize(groups.join(known, "node").select("p", "node", "n", "root"), "minhash-groups")
+        known = self.classes.select("node", "n").join(components(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+        groups, _ = materialize(groups.join(known, "node").select("p", "node", "n", "root"), "minhash-groups", 2 * stars.count())
         signs = self.cells(groups).join(self.classes.select("node", "signature"), "node").select("p", "i", "j", "own", "node", "n", "root", "signature")
-        marked, _ = materialize(signs.groupBy("p", "i", "j").applyInArrow(_mark(self.limit, self.percent), "p long, node long").distinct(), "minhash-marked")
+        marked, _ = materialize(signs.groupBy("p", "i", "j").applyInArrow(_mark(self.limit, self.percent), "p long, node long").distinct(), "minhash-marked", groups.count())
         sets = self.sets(marked.select("node").distinct())
         again = self.cells(groups.join(marked, ["p", "node"])).join(sets, "node").select("p", "i", "j", "own", "node", "root", "shingles")
-        return materialize(again.groupBy("p", "i", "j").applyInArrow(_link(self.percent), "u long, v long"), "minhash-more")[0]
+        return materialize(again.groupBy("p", "i", "j").applyInArrow(_link(self.percent), "u long, v long"), "minhash-more", marked.count(), 2000)[0]
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         stars = self.stars()
         links = self.confirm(stars)
         links = links.unionByName(self.rest(stars, links))
-        roots = self.classes.join(self.roots(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        roots = self.classes.join(components(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
         low = roots.groupBy("root").agg(F.min("id").alias("component_id"))
         least = roots.join(low, "root").select("node", "component_id")
         linked = self.docs.where("node is not null").join(least, "node", "left")

@@ -234,8 +234,8 @@ class Search:
         close = self._flat().where(F.col("cos") >= self.threshold - SLACK).select(F.least("node", "near").alias("u"), F.greatest("node", "near").alias("v")).distinct()
         a, b = (self.classes.select(F.col("node").alias(k), F.col("unit").alias(f"x{k}")) for k in "uv")
         met = close.join(a, "u").join(b, "v").select("u", "v", "xu", "xv")
-        links, _ = materialize(met.mapInArrow(_exact(self.threshold), "u long, v long"), "nn-links")
-        roots, _ = materialize(components(links), "nn-roots")
+        links, _ = materialize(met.mapInArrow(_exact(self.threshold), "u long, v long"), "nn-links", self.n * self.k)
+        roots = components(links)
         full = self.graph.where((F.size("list") == self.k) & (F.element_at("list", -1)["cos"] >= self.threshold - SLACK)).select("node")
         crowded = roots.join(full, "node").select("root").distinct()
         sizes = roots.join(crowded, "root").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
