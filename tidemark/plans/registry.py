@@ -81,15 +81,14 @@ def lexical_rank(spark, d):
 
 
 @register(
-    f"""WITH {CHUNKS}, q AS (SELECT doc_id AS query_id, substr(text, 1, 60) AS text FROM documents WHERE doc_id < 3),
-    s AS (SELECT q.query_id, c.id, CAST(len(list_intersect(c.g, q.g)) AS DOUBLE) / len(list_distinct(list_concat(c.g, q.g))) AS score
-      FROM (SELECT id, {GRAMS.format("content")} AS g FROM chunks) c, (SELECT query_id, {GRAMS.format("text")} AS g FROM q) q)
+    f"""{BASE}, s AS (SELECT q.query_id, c.id, CAST(len(list_intersect(c.g, q.g)) AS DOUBLE) / len(list_distinct(list_concat(c.g, q.g))) AS score
+      FROM (SELECT id, {GRAMS.format("content")} AS g FROM chunks) c, (SELECT query_id, {GRAMS.format("text")} AS g FROM queries) q)
     SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1) WHERE rank <= {POOL}"""
 )
 def trigram_topk(spark, d):
     """Trigram similarity with its threshold."""
-    q = table(spark, d, "documents").where("doc_id < 3").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text"), F.lit(POOL).alias("pool"))
-    return channels.trigram(chunks(spark, d), q, 0.1).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    p = plan(spark, d)
+    return channels.trigram(p.chunks, p.asked, 0.1).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @register(f"{BASE}, {EXACT} SELECT query_id, id, rank FROM exact")

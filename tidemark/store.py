@@ -50,9 +50,12 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name):
-            self.fs.delete(self._path(name), False)
-        self.fs.rename(self._path(temp), self._path(name))
+        # One rename that replaces the target, so readers see the old or the new text.
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(self._path(temp)), context.makeQualified(self._path(name)), how)
 
     def create(self, name: str) -> bool:
         """Make a file that must not exist; false if another writer has it."""
