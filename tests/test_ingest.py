@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import cli, config
 from tidemark.embedding import call_batches, check_replay, embed
-from tidemark.errors import ConfigError, MigrationError, PrivacyError, ReplayError, SnapshotError
+from tidemark.errors import ConfigError, IngestError, MigrationError, PrivacyError, ReplayError, SnapshotError
 from tidemark.ingest import Run
 from tidemark.operators import chunking, lifecycle, messages
 from tidemark.sources import evaluation, sessions, store
@@ -103,6 +103,15 @@ def test_missing_vectors_write_nothing(spark, root, target):
     assert Run(spark, target, settings(root)).sessions()["done"] == 3  # partial files are due again
 
 
+def test_error_budget(spark, root, target):
+    for k in range(3):
+        write(root / "s" / f"bad{k}.jsonl", "{no json", "nor this")
+    assert Run(spark, target, settings(root)).sessions(dry_run=True)["empty"] == 4
+    with pytest.raises(IngestError) as e:
+        Run(spark, target, settings(root, max_failed_files=2)).sessions()
+    assert e.value.code == "ingest_too_many_errors" and target.table("session_chunks").count() == 0
+
+
 def test_ingest_chat(spark, root, target):
     def m(i, ts, content, **more):
         return json.dumps({"id": str(i), "type": 0, "timestamp": ts, "content": content, "author": {"global_name": None, "username": "ann"}} | more)

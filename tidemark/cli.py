@@ -13,7 +13,7 @@ from .functions.vector import hashed_local
 from .ingest import Run
 from .operators import lifecycle
 from .operators.filters import SearchFilters
-from .plans.search import search, search_page
+from .plans.search import search_page
 from .store import Store
 
 
@@ -130,7 +130,5 @@ def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
         return 2
 
 
-__all__ = ["main", "parser", "search"]
-
 if __name__ == "__main__":
     sys.exit(main())

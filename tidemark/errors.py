@@ -19,6 +19,10 @@ class ConfigError(CodedError):
     code = "invalid_config_value"
 
 
+class IngestError(CodedError):
+    code = "ingest_failed"
+
+
 class PrivacyError(CodedError):
     code = "privacy_error"
 

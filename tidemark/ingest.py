@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .embedding import embed
+from .errors import IngestError
 from .functions.times import fill_span
 from .operators import chunking, incremental, messages
 from .sources import archive, sessions, store
@@ -37,6 +38,13 @@ class Run:
         files = found.select(F.col("path").alias("file_path"), "name", F.col("mtime").alias("file_mtime"), F.col("size").cast("long").alias("file_size"))
         return incremental.changed_files(files, self.target.table("ingestion_state"), force)
 
+    def _budget(self, lines: DataFrame) -> None:
+        """Stop before anything is written when too many files hold no record."""
+        most = self.settings.max_failed_files
+        bad = incremental.unreadable(lines).select("path").limit(most + 1).collect()
+        if len(bad) > most:
+            raise IngestError(f"more than {most} files can't be read", code="ingest_too_many_errors")
+
     def _finish(self, rows: DataFrame, done: DataFrame, dry_run: bool, replace: bool = True) -> dict:
         """Store rows, then checkpoints. Sessions with a missing vector are not written and stay due."""
         rows = embed(rows, self.settings, self.stored)
@@ -64,6 +72,7 @@ class Run:
         if not paths:
             return {"found": 0}
         lines = sessions.lines(self.spark, paths)
+        self._budget(lines)
         kinds = messages.classify(lines)
         name = F.element_at(F.split("path", "/"), -1)
         items = messages.session_items(sessions.messages(lines).join(kinds, "path").where("source_type <> 'cron'").withColumn("session_id", messages.session_id(name)), keep=("session_id",))
@@ -80,6 +89,7 @@ class Run:
         paths = [r.file_path for r in files.select("file_path").collect()]
         if not paths:
             return {"found": 0}
+        self._budget(sessions.lines(self.spark, paths))
         items = messages.chat_items(archive.messages(self.spark, paths))
         cut = chunking.chunk(items.withColumn("session_id", messages.chat_session_id("channel")), ["session_id", "channel"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap, order=[F.col("turn_index")])
         channel = F.regexp_replace("name", r"\.jsonl$", "")

@@ -34,6 +34,12 @@ def session_status(sessions: DataFrame, checkpoints: DataFrame, force: bool = Fa
     return met.withColumn("status", status).drop("m", "n", "r")
 
 
+def unreadable(lines: DataFrame) -> DataFrame:
+    """Files with text but without a single line of valid JSON (lines: path, value)."""
+    fine = F.try_parse_json("value").isNotNull()
+    return lines.where("value <> ''").groupBy("path").agg(F.count_if(fine).alias("fine"), F.count("*").alias("n")).where("fine = 0").select("path", "n")
+
+
 def last_turns(chunks: DataFrame) -> DataFrame:
     """The last stored turn of each session."""
     return chunks.groupBy("session_id").agg(F.coalesce(F.max("turn_index_end"), F.lit(0)).alias("last_turn"))

@@ -138,9 +138,6 @@ def fused_ranking(spark, d):
     return plan(spark, d).ranked.select("query_id", "id", F.round("score", 9).alias("score"), "rank", "decayed")
 
 
-PAGE = "SELECT query_id, id, round(score, 9) AS score, rank AS place FROM ranked WHERE rank <= 30"
-
-
 @register(f"{ALL}, {RANKED} SELECT query_id, id, round(score, 9) AS score, rank AS place FROM ranked WHERE rank > 2 AND rank <= 6")
 def hybrid_page(spark, d):
     """A page of the full search without deduplication."""
@@ -157,12 +154,10 @@ def lookahead_page(spark, d):
 
 
 def _shared(spark, d) -> DataFrame:
-    """Ranked rows whose equal contents share a vector, for deduplication."""
-    rows = chunks(spark, d)
-    w = Window.partitionBy("content").orderBy("id")
-    rows = rows.select("id", "content", F.col("source_type").alias("session_id"), F.lit("s").alias("source_type"), F.first("embedding").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("embedding"))
-    ranked = rows.withColumn("query_id", F.lit(0)).withColumn("score", F.lit(1.0) / (1 + F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(997))))
-    return ranked.withColumn("rank", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(1_000_000)))
+    """Rows whose equal contents share a vector, all of one query and one rank."""
+    w = Window.partitionBy("content").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = chunks(spark, d).select("id", "content", F.col("source_type").alias("session_id"), F.lit("s").alias("source_type"), F.first("embedding").over(w).alias("embedding"))
+    return rows.withColumn("query_id", F.lit(0)).withColumn("rank", F.lit(0).cast("long"))
 
 
 @register(
@@ -172,8 +167,7 @@ def _shared(spark, d) -> DataFrame:
 )
 def dedup_provenance(spark, d):
     """Equal content in one session collapses, rows without a vector stay."""
-    rows = _shared(spark, d).withColumn("rank", F.lit(0).cast("long"))
-    return fusion.dedup(rows).select("id", "kept")
+    return fusion.dedup(_shared(spark, d)).select("id", "kept")
 
 
 @register(
@@ -251,9 +245,6 @@ def search_trace(spark, d):
 
 # -- ingest -----------------------------------------------------------------
 
-MARK = text.MARK
-
-
 def _sql_redact(column: str) -> str:
     for pattern, mark in text.REDACTIONS:
         column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"

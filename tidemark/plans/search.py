@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.intent import recent, wants_recent
-from ..functions.text import preview, query_terms
+from ..functions.intent import recent
 from ..functions.vector import check_vector
 from ..operators import channels, fusion
-from ..operators.filters import SearchFilters, bounds, compatible, query_text, window_and_pool
+from ..operators.filters import SearchFilters, bounds, compatible, query_text
 from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR
 
 BASE = ("session_id", "source_type", "timestamp_start", "created_at", "embedding_model")
@@ -262,5 +261,3 @@ def run_search(chunks: DataFrame, embed, query, limit=5, offset=0, source_types=
         out["explain_summary"] = page.explain_summary
     return out
 
-
-__all__ = ["CONFIGS", "Search", "SearchPage", "Stages", "preview", "query_terms", "run_search", "search", "search_page", "wants_recent", "window_and_pool"]

@@ -68,5 +68,4 @@ CHUNK_TOKENS, CHUNK_OVERLAP = 400, 80
 MIN_MESSAGE_CHARS, MIN_ITEM_CHARS = 5, 10
 CLASSIFY_LINES, CLASSIFY_CHARS = 20, 200
 CHAT_TYPES = (0, 19)
-MAX_FAILED_FILES = 20
 RETENTION_DAYS = {"sessions": 90, "store": 90, "chat": 30}
