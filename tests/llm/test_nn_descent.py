@@ -75,3 +75,24 @@ def test_edge_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert nn.op7_nn_descent(spark, str(tmp_path)).collect() == []
     assert [r.n_links for r in nn.near_vectors(spark.createDataFrame(rows[:6], SCHEMA)).collect()] == [0] * 6
+
+
+def groups(n, dim=64, apart=0.95):
+    """Two groups: cosines of about 0.99 inside, of 0.94 between."""
+    r = np.random.default_rng(4)
+    a = np.eye(dim)[0]
+    b = apart * a + np.sqrt(1 - apart**2) * np.eye(dim)[1]
+    x = np.concatenate([c + r.normal(size=(n, dim)) * 0.1 / np.sqrt(dim) for c in (a, b)])
+    return [(i, [float(f) for f in v], 0) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("n", [30, 300])
+def test_links_between_saturated_components(spark, monkeypatch, n):
+    monkeypatch.setattr(nn, "AUDITS", 1)
+    monkeypatch.setattr(nn, "WIDE", 50)
+    alone = [(1000 + k, [float(j == 2 + k) for j in range(64)], 0) for k in range(5)]
+    rows = groups(n) + alone
+    out = nn.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows, 0.9)
+    assert sum(x[2] for x in want) > 1.9 * 2 * n * (n - 1)  # links between the groups count, too
+    assert sorted((False, r.vec_id, r.n_links, r.component_id) for r in out) == want

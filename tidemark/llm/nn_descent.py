@@ -11,7 +11,10 @@
 4. Graph edges at or over the threshold, recomputed in double precision, give
    components. A list whose ``K`` entries are all links is *saturated*: the
    lists of its component are enlarged to the whole component, whose members
-   are compared in blocks that return counts only.
+   are compared in blocks that return counts only. Before, every class within
+   a saturated component's radius plus the threshold's angle of the
+   component's pivot (the triangle inequality: no other class can link with a
+   member) is compared with the members, and components that link are joined.
 5. Audit: the links of a sample of at most ``AUDIT`` rows whose id is divisible
    by 50 are counted against all rows. While the recall is under ``RECALL``,
    more tables and rounds follow, ``AUDITS`` times at most; the last figures are
@@ -49,6 +52,7 @@ AUDIT = 400
 AUDITS = 3
 RECALL = 0.97
 BLOCK = 1024
+WIDE = 4096  # classes of a block where two different sets meet
 SLACK = 1e-4  # single precision, for the search only
 
 #: (recall, true links of the audited rows) of the last run in this process.
@@ -149,6 +153,56 @@ def _exact(threshold: float):
     return run
 
 
+def _tiles(group: pa.Table, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the group's left rows (some at a time) and right rows, and their cosines."""
+    side, x = group["side"].to_numpy(), _matrix(group["unit"])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(right):
+        for at in range(0, len(left), rows):
+            yield left[at : at + rows], right, x[left[at : at + rows]] @ x[right].T
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            cos = np.einsum("ij,ij->i", _matrix(b.column(1)), _matrix(b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cos)], names=["root", "cos"])
+
+
+def _reach(threshold: float):
+    """Classes of other components that may link with a member of the pivot's component."""
+    theta = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+
+    def run(group: pa.Table) -> pa.Table:
+        root, node = group["root"].to_numpy(), group["node"].to_numpy()
+        radius = np.arccos(np.clip(group["cos"].to_numpy(), -1, 1))
+        out = [(root[:0], node[:0])]
+        for left, right, cos in _tiles(group):
+            near = np.arccos(np.clip(cos, -1, 1)) <= radius[left][:, None] + theta
+            a, b = np.nonzero(near & (root[left][:, None] != root[right]))
+            out.append((root[left[a]], node[right[b]]))
+        roots, nodes = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table({"root": roots, "node": nodes})
+
+    return run
+
+
+def _join(threshold: float):
+    """One link of each left class that links with a right one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, out = group["node"].to_numpy(), []
+        out.append((node[:0], node[:0]))
+        for left, right, cos in _tiles(group):
+            linked = cos >= threshold
+            any_ = linked.any(axis=1)
+            out.append((node[left[any_]], node[right[linked[any_].argmax(axis=1)]]))
+        u, v = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table({"u": u, "v": v})
+
+    return run
+
+
 def _block_counts(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         own, i, j = group["own"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
@@ -229,6 +283,36 @@ class Search:
         found = full.groupBy("bucket").applyInArrow(_meet, "node long, near long, cos float")
         self.graph = self._lists(found.unionByName(self._flat()))
 
+    def against(self, left: DataFrame, n: int, right: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` over each block of ``left`` (``n`` rows) beside each block of ``right`` (classes)."""
+        blocks = [-(-k // WIDE) or 1 for k in (n, self.n)]
+        own, other = (F.pmod(F.xxhash64("node"), F.lit(b)).cast("int") for b in blocks)
+        across = [F.explode(F.sequence(F.lit(0), F.lit(b - 1))) for b in blocks]
+        both = left.select("*", F.lit(0).alias("side"), own.alias("i"), across[1].alias("j"))
+        both = both.unionByName(right.select("*", F.lit(1).alias("side"), across[0].alias("i"), other.alias("j")), allowMissingColumns=True)
+        return both.groupBy("i", "j").applyInArrow(run, schema)
+
+    def bridges(self, roots: DataFrame, crowded: DataFrame) -> DataFrame | None:
+        """Links that join saturated components (``crowded``) to whatever has a link with a member; None without any."""
+        crowded, _ = materialize(crowded, "nn-crowded")
+        if not (n := crowded.count()):
+            return None
+        units = self.classes.select("node", "unit")
+        members = roots.join(crowded, "root").join(units, "node").select("root", "node", "unit")
+        pivots = units.withColumnRenamed("node", "root").join(crowded, "root").select("root", F.col("unit").alias("pivot"))
+        radius = members.join(pivots, "root").select("root", "unit", "pivot").mapInArrow(_cosines, "root long, cos double").groupBy("root").agg(F.min("cos").alias("cos"))
+        left = pivots.join(radius, "root").select("root", F.col("root").alias("node"), F.col("pivot").alias("unit"), "cos")
+        right = units.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "unit")
+        near, _ = materialize(self.against(left, n, right, _reach(self.threshold), "root long, node long"), "nn-near")
+        sizes = near.groupBy("root").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("a"))
+        sizes = sizes.join(roots.groupBy("root").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("b")), "root")
+        own, across = (lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)))
+        outer = near.join(sizes, "root").select("root", "node", F.lit(0).alias("side"), own("a").alias("i"), across("b").alias("j"))
+        inner = roots.join(sizes, "root").select("root", "node", F.lit(1).alias("side"), across("a").alias("i"), own("b").alias("j"))
+        met = outer.unionByName(inner).join(units, "node").select("root", "i", "j", "node", "side", "unit")
+        more, _ = materialize(met.groupBy("root", "i", "j").applyInArrow(_join(self.threshold), "u long, v long"), "nn-bridges")
+        return None if more.isEmpty() else more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
     def resolve(self) -> DataFrame:
         """vec_id, n_links, component_id of every row."""
         close = self._flat().where(F.col("cos") >= self.threshold - SLACK).select(F.least("node", "near").alias("u"), F.greatest("node", "near").alias("v")).distinct()
@@ -238,6 +322,11 @@ class Search:
         roots = components(links)
         full = self.graph.where((F.size("list") == self.k) & (F.element_at("list", -1)["cos"] >= self.threshold - SLACK)).select("node")
         crowded = roots.join(full, "node").select("root").distinct()
+        more = self.bridges(roots, crowded)
+        if more is not None:
+            links = links.unionByName(more)
+            roots = components(links)
+            crowded = roots.join(full, "node").select("root").distinct()
         sizes = roots.join(crowded, "root").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         own = roots.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
