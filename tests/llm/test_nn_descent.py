@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import nn_descent as nn
 
@@ -96,3 +97,34 @@ def test_links_between_saturated_components(spark, monkeypatch, n):
     want = brute(rows, 0.9)
     assert sum(x[2] for x in want) > 1.9 * 2 * n * (n - 1)  # links between the groups count, too
     assert sorted((False, r.vec_id, r.n_links, r.component_id) for r in out) == want
+
+
+@pytest.mark.parametrize("wide", [4096, 300])
+def test_missed_sparse_links_are_seen_behind_a_dense_group(spark, monkeypatch, wide):
+    monkeypatch.setattr(nn, "WIDE", wide)
+    rows = vectors()[:900]
+    sparse = {i for i, _, _ in rows if i >= 470}
+    resolve = nn.Search.resolve
+
+    def blind(self):
+        """A search that never finds a link of the sparse rows."""
+        out = resolve(self)
+        lost = F.col("node").isin([r.node for r in self.rows.where("vec_id >= 470").select("node").collect()])
+        self.known = self.known.withColumn("m", F.when(lost, 0).otherwise(F.col("m")))
+        return out.withColumn("n_links", F.when(F.col("vec_id") >= 470, 0).otherwise(F.col("n_links")))
+
+    monkeypatch.setattr(nn.Search, "resolve", blind)
+    monkeypatch.setattr(nn, "AUDITS", 1)
+    out = nn.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows, 0.9)
+    assert sum(x[2] for x in want if x[1] in sparse) < 0.03 * sum(x[2] for x in want)  # a sum of links would not show it
+    assert sorted((False, r.vec_id, r.n_links, r.component_id) for r in out) == want
+    assert nn.last_audit["exact"] == 1
+
+
+def test_tables_grow_with_the_cells():
+    s = nn.Search.__new__(nn.Search)
+    s.threshold = 0.9
+    for s.n in (10, 1000, 1_000_000):
+        bits, n = s.tables()
+        assert n >= nn.TABLES and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** n <= nn.MISS

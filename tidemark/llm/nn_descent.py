@@ -2,7 +2,7 @@
 
 1. Vectors become unit vectors in double precision; equal ones form a class
    with a multiplicity, so copies are never compared among themselves.
-2. The neighbour graph starts from ``TABLES`` random-hyperplane tables: classes
+2. The neighbour graph starts from ``TABLES`` or more random-hyperplane tables: classes
    that fall in one cell (cells over ``CELL`` members are dealt at random) keep
    their best neighbours of the cell.
 3. NN-descent: each class's neighbours and reverse neighbours meet, each pair
@@ -15,10 +15,16 @@
    a saturated component's radius plus the threshold's angle of the
    component's pivot (the triangle inequality: no other class can link with a
    member) is compared with the members, and components that link are joined.
-5. Audit: the links of a sample of at most ``AUDIT`` rows whose id is divisible
-   by 50 are counted against all rows. While the recall is under ``RECALL``,
-   more tables and rounds follow, ``AUDITS`` times at most; the last figures are
-   kept in :data:`last_audit`.
+5. Audit: all classes with a row whose id is divisible by 50 are compared with
+   all classes in blocks, which takes n * n / 50 products. A class's recall is
+   the share of its linked classes that were counted, whatever their copies;
+   means are taken by number of links (``STRATA``), and the least one counts.
+   While it is under ``RECALL``, more tables and rounds follow, ``AUDITS`` times
+   at most; then all classes are compared in blocks, which is exact and
+   quadratic. The last figures are kept in :data:`last_audit`.
+
+The number of tables grows with the bits of a cell, so that a pair at the
+threshold shares no cell with a probability of ``MISS`` at most.
 
 Reverse neighbours beyond ``K`` are left out of a round's meetings by hash, as
 in the published method; saturated components are complete whatever was left
@@ -48,14 +54,15 @@ K = 10
 TABLES = 8
 CELL = 256
 ROUNDS = 3
-AUDIT = 400
+MISS = 0.02
+STRATA = (2, K)  # upper ends of the numbers of links audited together
 AUDITS = 3
 RECALL = 0.97
 BLOCK = 1024
 WIDE = 4096  # classes of a block where two different sets meet
 SLACK = 1e-4  # single precision, for the search only
 
-#: (recall, true links of the audited rows) of the last run in this process.
+#: Of the last run in this process: recall, true links of the audited classes, exact (1 if all were compared).
 last_audit: dict[str, float] = {}
 
 
@@ -208,27 +215,57 @@ def _block_counts(threshold: float):
         own, i, j = group["own"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         x, weight, node = _matrix(group["unit"]), group["weight"].to_numpy(), group["node"].to_numpy()
-        total = np.zeros(len(node), np.int64)
+        total, degree = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
         if len(left) and len(right):
             linked = x[left] @ x[right].T >= threshold
             if i == j:
                 np.fill_diagonal(linked, False)
             total[left] += linked @ weight[right]
+            degree[left] += linked.sum(axis=1)
             if i != j:
                 total[right] += linked.T @ weight[left]
-        return pa.table({"node": node, "n": total})
+                degree[right] += linked.sum(axis=0)
+        return pa.table({"node": node, "n": total, "m": degree})
 
     return run
 
 
-def _audit(queries: np.ndarray, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(queries), np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                total += (queries @ _matrix(part.column(0)).T >= threshold) @ part.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(queries))), pa.array(total)], names=["q", "n"])
+def _span(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that join all that ``linked`` joins: a forest."""
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left, free = linked.any(axis=1), linked.any(axis=0)
+    while left.any():
+        new = np.array([left.argmax()])
+        left[new] = False
+        while len(new):
+            found = np.flatnonzero(linked[new].any(axis=0) & free)
+            free[found] = False
+            rows.append(new[linked[np.ix_(new, found)].argmax(axis=0)])
+            columns.append(found)
+            new = np.flatnonzero(linked[:, found].any(axis=1) & left)
+            left[new] = False
+            rows.append(new)
+            columns.append(found[linked[np.ix_(new, found)].argmax(axis=1)] if len(new) else new)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+LINKS = "node long, near long, n long, m long"
+
+
+def _links(threshold: float, span: bool):
+    """Left classes' linked rows and classes (n, m) and, with ``span``, links (node, near) that join what is linked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, weight = group["node"].to_numpy(), group["weight"].to_numpy()
+        counts, joins = [], []
+        for left, right, cos in _tiles(group):
+            linked = (cos >= threshold) & (node[left][:, None] != node[right])
+            counts.append(pa.table({"node": node[left], "n": linked @ weight[right], "m": linked.sum(axis=1)}))
+            if span:
+                a, b = _span(linked)
+                joins.append(pa.table({"node": node[left[a]], "near": node[right[b]]}))
+        schema = pa.schema([(k, pa.int64()) for k in ("node", "near", "n", "m")])
+        return pa.concat_tables([schema.empty_table(), *counts, *joins], promote_options="default").select(schema.names)
 
     return run
 
@@ -256,8 +293,15 @@ class Search:
     def _flat(self) -> DataFrame:
         return self.graph.select("node", F.explode("list").alias("e")).select("node", F.col("e.near").alias("near"), F.col("e.cos").alias("cos"))
 
-    def start(self, tables: range) -> None:
+    def tables(self) -> tuple[int, int]:
+        """Bits of a cell, and how many tables leave a pair at the threshold apart with probability ``MISS`` at most."""
         bits = max(0, int(np.log2(max(self.n / (CELL / 2), 1))))
+        share = (1 - np.arccos(np.clip(self.threshold, -1, 1)) / np.pi) ** bits
+        return bits, max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-share)))) if share < 1 else TABLES
+
+    def start(self, turn: int) -> None:
+        bits, n = self.tables()
+        tables = range(turn * n, (turn + 1) * n)
         cells = self.classes.select("node", "unit").mapInArrow(_cells(self.dim, bits, tables), "cell long, node long")
         sizes = cells.groupBy("cell").agg(F.count("*").alias("c"))
         dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("c") / CELL)))
@@ -331,14 +375,26 @@ class Search:
         own = roots.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(self.classes.select("node", "unit", "weight"), "node")
-        crowd = cells.groupBy("root", "i", "j").applyInArrow(_block_counts(self.threshold), "node long, n long")
+        crowd = cells.groupBy("root", "i", "j").applyInArrow(_block_counts(self.threshold), "node long, n long, m long")
         sparse = roots.join(crowded, "root", "left_anti").select("node")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         weights = self.classes.select(F.col("node").alias("v"), "weight")
-        few = both.join(sparse.withColumnRenamed("node", "u"), "u", "left_semi").join(weights, "v").select(F.col("u").alias("node"), F.col("weight").alias("n"))
-        counts = crowd.unionByName(few).groupBy("node").agg(F.sum("n").alias("n"))
-        known = self.classes.join(counts, "node", "left").join(roots, "node", "left").select("node", "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+        few = both.join(sparse.withColumnRenamed("node", "u"), "u", "left_semi").join(weights, "v").select(F.col("u").alias("node"), F.col("weight").alias("n"), F.lit(1).cast("long").alias("m"))
+        return self._rows(crowd.unionByName(few), roots)
+
+    def exact(self) -> DataFrame:
+        """The same from the comparison of all classes with all."""
+        every = self.classes.select("node", "unit", "weight")
+        met, _ = materialize(self.against(every, self.n, every, _links(self.threshold, True), LINKS), "nn-exact")
+        roots = components(met.where("near is not null").select(F.col("node").alias("u"), F.col("near").alias("v")))
+        return self._rows(met.where("near is null"), roots)
+
+    def _rows(self, counts: DataFrame, roots: DataFrame) -> DataFrame:
+        """From parts of the counts of classes (node, n, m) and components to rows; :attr:`known` keeps the sums."""
+        counts = counts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        known = self.classes.join(counts, "node", "left").join(roots, "node", "left").select("node", "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("root", "node").alias("root"))
         known, _ = materialize(known, "nn-counts")
+        self.known = known
         low = known.groupBy("root").agg(F.min("id").alias("component_id"))
         by_node = known.join(low, "root").select("node", "n_links", "component_id")
         usable = F.col("node").isNotNull() & F.col("vec_id").isNotNull()
@@ -346,17 +402,16 @@ class Search:
         alone = self.rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return linked.unionByName(alone)
 
-    def recall(self, found: DataFrame) -> float:
-        """Share of the true links of sampled query rows that ``found`` counts."""
-        rows = self.rows.where("node is not null and vec_id % 50 = 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).select("vec_id", "unit").collect()
-        if not rows:
-            return 1.0
-        queries = np.stack([np.frombuffer(r.unit) for r in rows])
-        true = {r.q: r.n - 1 for r in self.classes.select("unit", "weight").mapInArrow(_audit(queries, self.threshold), "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()}
-        ids = [r.vec_id for r in rows]
-        got = {r.vec_id: r.n for r in found.where(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.max("n_links").alias("n")).collect()}
-        total = sum(true.values())
-        last_audit.update(links=total, recall=sum(min(got.get(i, 0), true[k]) for k, i in enumerate(ids)) / total if total else 1.0)
+    def recall(self) -> float:
+        """Least mean, over the strata, of the audited classes' shares of linked classes that :meth:`resolve` counted."""
+        asked = self.rows.where("node is not null and vec_id % 50 = 0").select("node").distinct()
+        every = self.classes.select("node", "unit", "weight")
+        asked, _ = materialize(every.join(asked, "node"), "nn-asked")
+        met = self.against(asked, asked.count(), every, _links(self.threshold, False), LINKS)
+        true = met.groupBy("node").agg(F.sum("m").alias("true")).where(F.col("true") > 0).join(self.known.select("node", "m"), "node")
+        stratum = sum((F.col("true") > top).cast("int") for top in STRATA)
+        found = true.groupBy(stratum.alias("s")).agg(F.avg(F.least("m", "true") / F.col("true")).alias("r"), F.sum("true").alias("t")).collect()
+        last_audit.update(links=sum(x.t for x in found), recall=min((x.r for x in found), default=1.0), exact=0)
         return last_audit["recall"]
 
 
@@ -364,7 +419,7 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id
     """``vec_id, n_links, component_id, kept`` of every row."""
     s = Search(df, threshold, id_col, vector_col)
     for turn in range(AUDITS):
-        s.start(range(turn * TABLES, (turn + 1) * TABLES))
+        s.start(turn)
         before = -1
         for _ in range(ROUNDS):
             s.descend()
@@ -372,8 +427,11 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id
                 break
             before = now
         found, _ = materialize(s.resolve(), "nn-found")
-        if s.recall(found) >= RECALL:
+        if s.recall() >= RECALL:
             break
+    else:
+        found, _ = materialize(s.exact(), "nn-found")
+        last_audit.update(recall=1.0, exact=1)
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
