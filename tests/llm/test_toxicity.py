@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as tox
 
@@ -81,3 +82,15 @@ def test_keep_clean_keeps_columns(spark, extra):
     df = documents(spark, [*TEXTS, "you pathetic idiot"]).selectExpr("*", "1 as score", "'x' as predicted")
     out = tox.keep_clean(df, model)
     assert out.schema == df.schema and {r.doc_id for r in out.collect()} == set(range(len(TEXTS)))
+
+
+def test_rare_toxic_word_votes_in_a_large_table(spark):
+    """A word of 0.36 % of the toxic texts is learnt from the default sample."""
+    n = 6000
+    data = [(i, f"{WORDS[i % 30]} {WORDS[i % 29]} " + ("zzgrak " if i % 275 == 0 else "") + (BAD[1 + i % 4] if i < n else "end"), int(i < n)) for i in range(2 * n)]
+    data = [(i, t if y else t.replace("zzgrak ", ""), y) for i, t, y in data]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    none = F.lit(False)
+    sample, prior = tox.training_rows(df, df, none, tox.TRAIN_DOCS, id_col="doc_id", text_col="text", label_col="toxic")
+    assert len(sample) == 10_000
+    assert "zzgrak" in tox.Model(sample, prior).voters

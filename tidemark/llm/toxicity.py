@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 10_000
 TRAIN_CHARS = 10_000
 FEATURES = 2000
 VOTERS = 400
