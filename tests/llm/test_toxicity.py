@@ -94,3 +94,24 @@ def test_rare_toxic_word_votes_in_a_large_table(spark):
     sample, prior = tox.training_rows(df, df, none, tox.TRAIN_DOCS, id_col="doc_id", text_col="text", label_col="toxic")
     assert len(sample) == 10_000
     assert "zzgrak" in tox.Model(sample, prior).voters
+
+
+def test_learns_from_whole_texts(spark):
+    """The toxic word stands after 12 000 characters, or before them."""
+    long = "calm water " * 1100
+    data = [(i, (long + "you zzgrak end") if y and i % 4 else ("zzgrak end " + long) if y else long, y) for i in range(240) for y in [i % 2]]
+    df = spark.createDataFrame([*data, *data[:40]], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame(data, df.schema)
+    sample, prior = tox.training_rows(df, labels, F.lit(False), tox.TRAIN_DOCS, id_col="doc_id", text_col="text", label_col="toxic")
+    assert len(sample) == 280 and prior == 0.5
+    assert all(("zzgrak" in r.words.split()) == bool(y) for r, y in sample)
+    few, _ = tox.training_rows(df, labels, F.lit(False), 120, id_col="doc_id", text_col="text", label_col="toxic")
+    assert 120 <= len(few) <= 240
+
+
+def test_readings_give_the_features_of_texts():
+    model = tox.Model([], 0.1)
+    for t in [*TEXTS, "You ARE an Idiot, i'll find you; stupid SCUM", "İdiot sh**t kys"]:
+        for whole in (True, False):
+            r = tox.read(t or "", whole)
+            assert model._features(set(r.words.split()), r.patterns) == model.features(t or "")

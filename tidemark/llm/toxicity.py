@@ -9,7 +9,10 @@ labels, language, source or id.
 1. Voters - words with strong evidence and high precision at the true share of
    toxic texts, counted by distinct surroundings - are mined from at most ``TRAIN_DOCS`` labelled rows outside the
    held-out fold - half toxic, half not, those with the smallest hash of their
-   ids - so the driver holds a bounded sample.
+   ids. Whole texts are read, on the executors; the driver holds, of each, the
+   patterns it matches and its words: distinct ones of a text that is not toxic,
+   all in order of a toxic one. That is bounded by rows (twice ``TRAIN_DOCS`` if
+   ids repeat), not by the length of a text.
 2. A generative label model (class-conditional Bernoulli voters, one latent
    label) is fitted by expectation-maximisation to the votes alone; its
    posteriors estimate each voter's accuracy. Residual correlations of voters
@@ -30,7 +33,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,6 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 TRAIN_DOCS = 10_000
-TRAIN_CHARS = 10_000
 FEATURES = 2000
 VOTERS = 400
 MIN_DOCS = 3
@@ -63,6 +66,19 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+class Reading(NamedTuple):
+    """What training needs of a text: its words, separated by blanks, and the patterns it matches."""
+
+    words: str
+    patterns: tuple[str, ...]
+
+
+def read(text: str, whole: bool = True) -> Reading:
+    """``whole``: words in order and as often as they occur."""
+    own = WORD.findall(text.lower())
+    return Reading(" ".join(own if whole else dict.fromkeys(own)), tuple(n for n, p in PATTERNS.items() if p.search(text)))
+
+
 def evidence(a: float, b: float, n1: int, n0: int) -> float:
     """Minus log of a bound (Chernoff's) on the chance of ``a`` toxic texts among ``a + b`` for a word without meaning."""
     n, q = a + b, n1 / (n1 + n0)
@@ -72,7 +88,7 @@ def evidence(a: float, b: float, n1: int, n0: int) -> float:
     return n * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0))
 
 
-def association(sample: list[tuple[str, int]], prior: float) -> list[tuple[float, float, str]]:
+def association(sample: list[tuple[Reading, int]], prior: float) -> list[tuple[float, float, str]]:
     """Words tied to toxic texts: (precision at the true share of toxic texts, evidence, word).
 
     A word's toxic support is the number of its distinct surroundings, so that
@@ -80,7 +96,7 @@ def association(sample: list[tuple[str, int]], prior: float) -> list[tuple[float
     """
     pos, neg = Counter(), Counter()
     for t, y in sample:
-        (pos if y else neg).update(words(t))
+        (pos if y else neg).update(set(t.words.split()))
     n1 = sum(y for _, y in sample)
     n0 = len(sample) - n1
     if not n1 or not n0:
@@ -89,7 +105,7 @@ def association(sample: list[tuple[str, int]], prior: float) -> list[tuple[float
     around: dict[str, set[tuple[str, str]]] = {w: set() for w in likely}
     for t, y in sample:
         if y:
-            own = ["", *WORD.findall(t.lower()), ""]
+            own = ["", *t.words.split(), ""]
             for k, w in enumerate(own[1:-1], start=1):
                 if w in around:
                     around[w].add((own[k - 1], own[k + 1]))
@@ -169,7 +185,7 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, siz
 class Model:
     """Voters, label model and classifier; small enough to travel with the task."""
 
-    def __init__(self, sample: list[tuple[str, int]], prior: float):
+    def __init__(self, sample: list[tuple[Reading, int]], prior: float):
         texts = [t for t, _ in sample]
         y = np.array([k for _, k in sample], np.int64)
         ranked = association(sample, prior)
@@ -181,7 +197,7 @@ class Model:
         names = [*self.lexicon, *extra, *PATTERNS, "~two", "~three"]
         self.place = {n: k for k, n in enumerate(names)}
         self.voters = [*self.lexicon, *PATTERNS, "~two", "~three", "~none"]
-        found = [self.features(t) for t in texts]
+        found = [self._features(set(t.words.split()), t.patterns) for t in texts]
         votes = self._votes(found)
         lexical = votes[:, : len(self.lexicon)].sum(axis=1)
         self.labels = LabelModel(min(max(prior, 0.01), 0.5))
@@ -202,9 +218,11 @@ class Model:
         self.weight = {n: float(self.w[k]) for n, k in self.place.items()}
 
     def features(self, text: str) -> set[str]:
-        own = words(text)
+        return self._features(words(text), (n for n, p in PATTERNS.items() if p.search(text)))
+
+    def _features(self, own: set[str], patterns: Iterable[str]) -> set[str]:
         out = {w for w in own if w in self.place}
-        out |= {n for n, p in PATTERNS.items() if p.search(text)}
+        out.update(patterns)
         hits = len(own & self.strong)
         return out | ({"~two"} if hits >= 2 else set()) | ({"~three"} if hits >= 3 else set())
 
@@ -224,7 +242,14 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def training_rows(df: DataFrame, labels: DataFrame, held_out: Column, bound: int, *, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[str, int]], float]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = [read(t, bool(y)) for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        columns = [b.column(0), pa.array([r.words for r in own], pa.string()), pa.array([list(r.patterns) for r in own], pa.list_(pa.string())), b.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "words", "patterns", "y"])
+
+
+def training_rows(df: DataFrame, labels: DataFrame, held_out: Column, bound: int, *, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[Reading, int]], float]:
     """A bounded labelled sample, half of each class where there are enough, and the toxic share of all labelled rows."""
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(~held_out & F.col("i").isNotNull() & F.col("y").isin(0, 1))
     counts = {r.y: r.c for r in own.groupBy("y").agg(F.count("*").alias("c")).collect()}
@@ -233,11 +258,10 @@ def training_rows(df: DataFrame, labels: DataFrame, held_out: Column, bound: int
         return [], 0.1
     ids = [own.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(bound // 2) for y in (0, 1)]
     picked = ids[0].unionByName(ids[1])  # at most ``bound`` narrow rows
-    # A window of each text at a hashed place bounds what the driver holds.
-    span = F.pmod(F.xxhash64(id_col), F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(0)) + 1) + 1
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), span.cast("int"), F.lit(TRAIN_CHARS)).alias("t"))
-    rows = texts.join(F.broadcast(picked), "i").select("t", "y", "i").orderBy("i", "t", "y").limit(2 * bound).collect()
-    return [(r.t, r.y) for r in rows], counts.get(1, 0) / total
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    read_ = texts.join(F.broadcast(picked), "i").select(F.xxhash64("i").alias("h"), "t", "y").mapInArrow(_read, "h long, words string, patterns array<string>, y int")
+    rows = read_.orderBy("h", "words", "patterns", "y").limit(2 * bound).collect()
+    return [(Reading(r.words, tuple(r.patterns)), r.y) for r in rows], counts.get(1, 0) / total
 
 
 def train(df: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
