@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
+from tidemark.llm import lang_id
 from tidemark.llm import quality as q
 from tidemark.llm.common import fold
 from tidemark.llm.lang_id import ByteNet, op9_language_id, windows
@@ -175,3 +177,13 @@ def test_language_without_labels(spark, tmp_path):
     assert op9_language_id(spark, at).collect() == []
     df = spark.createDataFrame([(1, "text", None, None, None)], documents(spark).schema)
     assert op9_language_id(spark, dump(spark, tmp_path / "b", df)).collect()[0].lang_pred == "und"
+
+
+def test_rare_languages_are_learnt_from(spark):
+    data = [(i, f"text {i}", "aa" if i % 100 else "rare") for i in range(3000)]
+    df = spark.createDataFrame([*data, *data[:300], *data[:300]], "doc_id long, text string, lang string")
+    got = lang_id.training_rows(df, F.lit(False), 50, id_col="doc_id", text_col="text", lang_col="lang")
+    assert len(got) == len(set(got)) == 80  # a bound for each language, repeated rows once
+    assert sum(x == "rare" for _, x in got) == 30
+    again = lang_id.training_rows(df.repartition(7), F.lit(False), 50, id_col="doc_id", text_col="text", lang_col="lang")
+    assert got == again

@@ -3,9 +3,9 @@
 The network embeds the bytes of a fixed-length window, applies filters of
 several widths, takes each filter's maximum over the window, and ends in a
 softmax. It is trained in numpy (Adam on the cross-entropy) on at most
-``TRAIN_DOCS`` labelled rows outside the held-out fold - those with the
-smallest hash of id and text, so any layout of the table gives the same
-sample - one passage of at most ``PASSAGE`` characters at a hashed place of
+``TRAIN_DOCS`` labelled rows of each language outside the held-out fold - those
+with the smallest hash of id and text, so any layout of the table gives the
+same sample; one row for each hash - one passage of at most ``PASSAGE`` characters at a hashed place of
 each, and at most ``WINDOWS_PER_LANG`` windows for each language. The weights (a few kB) travel inside the function.
 
 Prediction reads whole texts: every text is cut into consecutive windows of
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, table
@@ -161,16 +161,18 @@ def _predict(net: ByteNet | None, langs: list[str]):
 
 
 def training_rows(df: DataFrame, held_out: Column, bound: int, *, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``bound`` labelled rows, picked by hash: ids first, then their texts."""
+    """At most ``bound`` labelled rows of each language, those with the smallest hashes."""
     rows = df.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(id_col), F.length(text_col), F.substring(text_col, 1, 64))
-    picked = rows.select(key.alias("k")).distinct().orderBy("k").limit(bound)
-    last = picked.agg(F.max("k")).first()[0]
-    if last is None:
-        return []
+    keyed = rows.select(F.col(lang_col).alias("lang"), key.alias("k"))
+    # Hashes are even, so a share of them holds ``bound`` of a language's keys (six deviations to spare): few rows meet by language.
+    share = keyed.distinct().groupBy("lang").agg((F.lit(bound + 6 * bound**0.5 + 10) / F.count("*")).alias("share"))
     span = F.pmod(F.xxhash64(id_col), F.greatest(F.length(text_col) - PASSAGE, F.lit(0)) + 1) + 1
     passage = F.substring(F.col(text_col), span.cast("int"), F.lit(PASSAGE))
-    found = rows.where(key <= F.lit(last)).select(passage.alias("text"), F.col(lang_col).alias("lang")).orderBy("lang", "text").limit(2 * bound)
+    drawn = rows.select(F.col(lang_col).alias("lang"), key.alias("k"), passage.alias("text")).join(F.broadcast(share), "lang")
+    once = drawn.where(F.col("k") / 2.0**64 + 0.5 <= F.col("share")).groupBy("lang", "k").agg(F.min("text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    found = once.withColumn("turn", turn).where(F.col("turn") <= bound).select("text", "lang").orderBy("lang", "text")
     return [(r.text, r.lang) for r in found.collect()]
 
 
