@@ -51,7 +51,7 @@ def parse(rendered):
 
 def whole(rows):
     by = {}
-    for r in sorted(rows, key=lambda r: (r.part, r.block, r.place)):
+    for r in sorted(rows, key=lambda r: r.seq):
         by.setdefault(r.conv_id, []).append(r)
     return by
 
@@ -69,7 +69,8 @@ def check(rows, out):
     for conv, own in by.items():
         turns = parse("".join(r.rendered for r in own))
         assert legal([r for r, _ in turns]), turns
-        assert [r.turn for r in own] == [r[1] for r in order(want[conv])]
+        assert [r.turn for r in own] == [r[1] for r in order(want[conv])] and [r.seq for r in own] == list(range(len(own)))
+        assert own == sorted(own, key=lambda r: (r.part, r.block, r.place))
         assert sum(len(t.replace("\n\n", "")) for _, t in turns) == sum(len((r[3] or "").replace("\n\n", "")) for r in want[conv])
     return by
 
@@ -111,6 +112,9 @@ def test_edge_rows(spark, tmp_path):
     ]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'clash' as action", "1 as part", "'x' as rendered", "0 as block")
     by = whole(format_turns(df).collect())
+    ties = [(1, 0, "user", f"t{k % 7}") for k in range(50)]
+    one, two = ([r[:-1] for r in sorted(format_turns(spark.createDataFrame(t, SCHEMA).repartition(n)).select("seq", "rendered", "action", "place").collect())] for t, n in ((ties, 2), (ties[::-1], 5)))
+    assert one == two  # rows that tie come out in one order, whatever order they came in
     assert {k: len(v) for k, v in by.items()} == {None: 2, 1: 3, 2: 1, 3: 1}
     assert [x for x, _ in parse("".join(r.rendered for r in by[2]))] == ["system", "user", "assistant"]
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tidemark.llm.graph import components
-from tidemark.llm.minhash import chunks, distance_limit, keep_first, near_duplicates, op5_minhash_near_dedup
+from tidemark.llm import common, minhash
+from tidemark.llm.minhash import Join, chunks, distance_limit, keep_first, near_duplicates, op5_minhash_near_dedup
 
 from .fixtures import TEXTS, documents, dump
 
@@ -80,6 +81,58 @@ def test_keep_first_keeps_columns(spark):
     assert out.schema == df.schema and sorted(r.doc_id for r in out.collect()) == sorted({root[i] for i in root})
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, near_a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "axbc")
+    near_a = a + " more"
+    schema = "doc_id long, text string, note string"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "y"), (5, c, "x"), (7, a, "z"), (3, near_a, "x"), (None, a, "x"), (9, "", "x"), (9, "", "x")]
+    out = keep_first(spark.createDataFrame(rows, schema)).collect()
+    kept = sorted((r.doc_id or 0, r.text) for r in out)
+    assert len(kept) == 6 and kept[0] == (0, a) and kept[-2:] == [(9, "")] * 2
+    assert {t for i, t in kept if i == 5} == {b, c} and [t for i, t in kept if i == 3][0] in (a, near_a) and (7, a) not in kept
+    found = near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.component_id or 0, r.kept) for r in found if r.doc_id in (3, 7)) == [(3, False), (3, True), (3, True)]
+    assert sorted((r.component_id, r.kept) for r in found if r.doc_id == 5) == [(3, False), (5, True), (5, True), (5, True)]
+
+
+def test_repeated_rows_cost_one_set(spark):
+    a = " ".join(f"a{k}" for k in range(80))
+    rows = [(1, a)] * 10_000 + [(2, a + " tail")] * 50 + [(1, "something else " + a[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    j = Join(df, 5, 80, "doc_id", "text")
+    counts, take = [], j.sets
+
+    def watched(nodes):
+        found = take(nodes)
+        counts.append(found.count())
+        return found
+
+    j.sets = watched
+    out = j.run()
+    assert out.count() == len(rows)
+    assert max(counts) == 2  # a set for each class, however often its row is repeated
+    assert j_counts(out) == {(1, 1): 10_001, (2, 1): 50}
+    assert len(keep_first(df).collect()) == 2
+
+
+def j_counts(out):
+    return {(r.doc_id, r.component_id): r["count"] for r in out.groupBy("doc_id", "component_id").count().collect()}
+
+
+def test_salted_joins_and_shuffled_sets(spark, monkeypatch):
+    """The same result with every key heavy and every set looked up by shuffle."""
+    for name in ("spread_join", "materialize"):
+        assert getattr(minhash, name) is getattr(common, name)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    monkeypatch.setattr("tidemark.llm.graph.HEAVY", 3)
+    monkeypatch.setattr(minhash, "BROADCAST", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    texts = dict(enumerate(corpus()))
+    _, root = brute(texts, 3, 85)
+    rows = near_duplicates(documents(spark, list(texts.values())).repartition(5), shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == root
+
+
 def test_edge_rows(spark, tmp_path):
     at = dump(spark, tmp_path / "none", documents(spark, []))
     assert op5_minhash_near_dedup(spark, at).collect() == []

@@ -20,10 +20,11 @@ with known entry and exit states. The output has a fragment for each turn, and
 a conversation's fragments in order are its rendered text; no task holds a
 conversation.
 
-Order within a conversation: turn (nulls last), role, text. Edge cases: null
+Order within a conversation: turn (nulls last), role (nulls first), hash of the
+text, text; ``seq`` numbers the turns so from 0. Edge cases: null
 or unknown roles may become any role at a small cost; null text is empty; rows
 without conversation id form one conversation; repeated rows stay as turns of
-their own and are merged; the template's marks inside a text are broken up, so
+their own and are merged; texts of any length are rendered whole; the template's marks inside a text are broken up, so
 they cannot open a turn; an empty table gives no rows. Extra columns are
 ignored.
 """
@@ -34,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, shuffle_partitions, slices, table
 
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles (fixed values).
@@ -51,8 +53,8 @@ BLOCK = 256
 OPEN, CLOSE, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
 MARKS = (("<|im_start|>", "< |im_start|>"), ("<|im_end|>", "< |im_end|>"))
 
-BLOCK_SCHEMA = "conv_id long, part int, block long, whole boolean, turns array<long>, roles array<string>, texts array<string>, costs array<double>"
-TURN_SCHEMA = "conv_id long, part int, block long, place int, turn long, role_in string, role string, action string, inserted array<string>, cost double, rendered string"
+BLOCK_SCHEMA = "conv_id long, part int, block long, whole boolean, first long, turns array<long>, roles array<string>, texts array<string>, costs array<double>"
+TURN_SCHEMA = "conv_id long, part int, block long, place int, turn long, seq long, role_in string, role string, action string, inserted array<string>, cost double, rendered string"
 
 
 def normal_role(role: str | None) -> str | None:
@@ -158,10 +160,10 @@ def fragments(roles, texts, entry: int, leave: int | None, last: bool) -> list[t
     return out
 
 
-def _flush(conv, part, block, whole, rows) -> tuple:
+def _flush(conv, part, block, whole, first, rows) -> tuple:
     turns, roles, texts = (list(x) for x in zip(*rows, strict=True))
     costs = chain(STEPS[normal_role(r)][0] for r in roles)
-    return conv, part, (part << 32) + block, whole, turns, roles, texts, costs.ravel()
+    return conv, part, (part << 32) + block, whole, first, turns, roles, texts, costs.ravel()
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -169,7 +171,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 BLOCK_NAMES = [x.split(" ")[0] for x in BLOCK_SCHEMA.split(", ")]
-BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())]
+BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,23 +183,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(whole: bool):
         nonlocal held, number
-        out.append(_flush(conv, part, number, whole, held))
+        out.append(_flush(conv, part, number, whole, blocks * BLOCK, held))
         number, held = number + 1, []
 
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            for c, *row in zip(*(x.to_pylist() for x in b.slice(at, 4096).columns), strict=True):
-                if c != conv and held:
-                    flush(not first and not blocks)
-                    first, blocks = False, 0
-                elif len(held) == BLOCK:
-                    flush(False)
-                    blocks += 1
-                conv = c
-                held.append(tuple(row))
-            if out:
-                yield _batch(out, BLOCK_NAMES, BLOCK_TYPES)
-                out = []
+    for b in slices(batches, 3, 4096):
+        for c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if c != conv and held:
+                flush(not first and not blocks)
+                first, blocks = False, 0
+            elif len(held) == BLOCK:
+                flush(False)
+                blocks += 1
+            conv = c
+            held.append(tuple(row))
+        if out:
+            yield _batch(out, BLOCK_NAMES, BLOCK_TYPES)
+            out = []
     if held:
         flush(False)  # the conversation may go on in the next partition
         yield _batch(out, BLOCK_NAMES, BLOCK_TYPES)
@@ -207,14 +208,15 @@ def _product(group: pa.Table) -> pa.Table:
     group = group.sort_by("block")
     m = chain(np.array(x).reshape(4, 4) for x in group["costs"].to_pylist())
     one = group.slice(0, 1).select(["conv_id", "part"])
-    return one.append_column("costs", pa.array([m.ravel()], pa.list_(pa.float64())))
+    turns = pa.array([sum(group["n"].to_pylist())], pa.int64())
+    return one.append_column("costs", pa.array([m.ravel()], pa.list_(pa.float64()))).append_column("n", turns)
 
 
 def _resolve_parts(group: pa.Table) -> pa.Table:
     group = group.sort_by("part")
     path = states([np.array(x).reshape(4, 4) for x in group["costs"].to_pylist()], START, None)
-    n = group.num_rows
-    out = group.select(["conv_id", "part"])
+    n, turns = group.num_rows, group["n"].to_numpy()
+    out = group.select(["conv_id", "part"]).append_column("base", pa.array(np.cumsum(turns) - turns, pa.int64()))
     return out.append_column("entry", pa.array(path[:-1], pa.int32())).append_column("leave", pa.array(path[1:], pa.int32())).append_column("last", pa.array([k == n - 1 for k in range(n)]))
 
 
@@ -222,40 +224,41 @@ def _resolve_blocks(group: pa.Table) -> pa.Table:
     group = group.sort_by("block")
     path = states([np.array(x).reshape(4, 4) for x in group["costs"].to_pylist()], group["entry"][0].as_py(), group["leave"][0].as_py())
     n, last = group.num_rows, group["last"][0].as_py()
-    return pa.table({"block": group["block"], "entry": pa.array(path[:-1], pa.int32()), "leave": pa.array(path[1:], pa.int32()), "last": pa.array([last and k == n - 1 for k in range(n)])})
+    before = pc.add(group["first"], group["base"])
+    return pa.table({"block": group["block"], "before": before, "entry": pa.array(path[:-1], pa.int32()), "leave": pa.array(path[1:], pa.int32()), "last": pa.array([last and k == n - 1 for k in range(n)])})
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in TURN_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string()]
     for b in batches:
-        for at in range(0, b.num_rows, 256):
+        for at in range(0, b.num_rows, 64):
             rows = []
-            for r in b.slice(at, 256).to_pylist():
+            for r in b.slice(at, 64).to_pylist():
                 entry = START if r["entry"] is None else r["entry"]
                 own = fragments(r["roles"], r["texts"], entry, r["leave"], r["last"] is not False)
-                rows += [(r["conv_id"], r["part"], r["block"], k, t, old, *x) for k, (t, old, x) in enumerate(zip(r["turns"], r["roles"], own, strict=True))]
+                rows += [(r["conv_id"], r["part"], r["block"], k, t, (r["before"] or 0) + k, old, *x) for k, (t, old, x) in enumerate(zip(r["turns"], r["roles"], own, strict=True))]
             if rows:
                 yield _batch(rows, names, types)
 
 
 def format_turns(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each turn (``TURN_SCHEMA``); (part, block, place) orders a conversation's fragments."""
+    """A row for each turn (``TURN_SCHEMA``); ``seq`` numbers a conversation's fragments from 0."""
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order[:3], F.xxhash64("text")).sortWithinPartitions(*order[:3], F.xxhash64("text"), F.col("text"))
     blocks, _ = materialize(dealt.mapInArrow(_cut, BLOCK_SCHEMA), "chat-blocks")
-    cut = blocks.where("not whole").select(F.col("conv_id"), "part", "block", "costs")
-    parts = cut.groupBy("conv_id", "part").applyInArrow(_product, "conv_id long, part int, costs array<double>")
-    ends = parts.groupBy("conv_id").applyInArrow(_resolve_parts, "conv_id long, part int, entry int, leave int, last boolean")
-    ends = ends.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "entry", "leave", "last")
-    known = cut.join(ends, cut["conv_id"].eqNullSafe(F.col("c")) & (cut["part"] == F.col("p"))).select("conv_id", "part", "block", "costs", "entry", "leave", "last")
-    resolved = known.groupBy("conv_id", "part").applyInArrow(_resolve_blocks, "block long, entry int, leave int, last boolean")
-    return blocks.drop("costs").join(resolved, "block", "left").select("conv_id", "part", "block", "turns", "roles", "texts", "entry", "leave", "last").mapInArrow(_replay, TURN_SCHEMA)
+    cut = blocks.where("not whole").select("conv_id", "part", "block", "costs", "first", F.size("turns").cast("long").alias("n"))
+    parts = cut.groupBy("conv_id", "part").applyInArrow(_product, "conv_id long, part int, costs array<double>, n long")
+    ends = parts.groupBy("conv_id").applyInArrow(_resolve_parts, "conv_id long, part int, base long, entry int, leave int, last boolean")
+    ends = ends.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "base", "entry", "leave", "last")
+    known = cut.join(ends, cut["conv_id"].eqNullSafe(F.col("c")) & (cut["part"] == F.col("p"))).select("conv_id", "part", "block", "costs", "first", "base", "entry", "leave", "last")
+    resolved = known.groupBy("conv_id", "part").applyInArrow(_resolve_blocks, "block long, before long, entry int, leave int, last boolean")
+    return blocks.drop("costs").join(resolved, "block", "left").select("conv_id", "part", "block", "turns", "roles", "texts", "before", "entry", "leave", "last").mapInArrow(_replay, TURN_SCHEMA)
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     turns = format_turns(table(spark, sf_dir, "conversations"))
     return turns.select(
-        "conv_id", "turn", "role_in", "role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256")
+        "conv_id", "seq", "turn", "role_in", "role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256")
     )

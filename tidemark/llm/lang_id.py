@@ -5,8 +5,10 @@ several widths, takes each filter's maximum over the window, and ends in a
 softmax. It is trained in numpy (Adam on the cross-entropy) on at most
 ``TRAIN_DOCS`` labelled rows of each language outside the held-out fold - those
 with the smallest hash of id and text, so any layout of the table gives the
-same sample; one row for each hash - one passage of at most ``PASSAGE`` characters at a hashed place of
-each, and at most ``WINDOWS_PER_LANG`` windows for each language. The weights (a few kB) travel inside the function.
+same sample; one row for each hash. Their whole texts are cut into windows on
+the executors, and the driver gets ``WINDOWS_PER_LANG`` windows of each
+language at most, those with the smallest hash of row and place. The weights (a
+few kB) travel inside the function.
 
 Prediction reads whole texts: every text is cut into consecutive windows of
 ``WINDOW`` bytes (the last one padded with zeros), the windows of many texts
@@ -14,7 +16,7 @@ form one batch, and a text's score is the mean of its windows' log
 probabilities weighted by their bytes, normalised.
 
 Edge cases: null text or text without a letter is ``und`` with score 0; rows
-with null lang are never learnt from; without a labelled row every text is
+with null lang are never learnt from; very long texts are read whole; without a labelled row every text is
 ``und``; with one language its score is 1; repeated rows are predicted each.
 Extra columns are ignored.
 """
@@ -29,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, slices, table
 
 WINDOW = 192
 TRAIN_DOCS = 4000
 WINDOWS_PER_LANG = 3000
-PASSAGE = 4096
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 DIM = 8
@@ -115,16 +116,14 @@ class ByteNet:
         return self
 
 
-def train(sample: list[tuple[str, str]], per_lang: int = WINDOWS_PER_LANG) -> tuple[ByteNet | None, list[str]]:
-    """A network and its languages from (text, lang) rows."""
+def train(sample: list[tuple[bytes, str]]) -> tuple[ByteNet | None, list[str]]:
+    """A network and its languages from (window, lang) rows."""
     langs = sorted({lang for _, lang in sample})
     if not langs:
         return None, []
     r, rows, target = np.random.default_rng(3), [], []
     for k, lang in enumerate(langs):
-        own, _, used = windows([t for t, x in sample if x == lang])
-        own = own[used >= min(WINDOW // 4, used.max(initial=0))]
-        own = own[r.permutation(len(own))[:per_lang]]
+        own = np.frombuffer(b"".join(w for w, x in sample if x == lang), np.uint8).reshape(-1, WINDOW)
         rows.append(own)
         target.append(np.full(len(own), k))
     rows_, target_ = np.concatenate(rows), np.concatenate(target)
@@ -138,47 +137,61 @@ def train(sample: list[tuple[str, str]], per_lang: int = WINDOWS_PER_LANG) -> tu
 
 def _predict(net: ByteNet | None, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                texts = [t if t and LETTER.search(t) else "" for t in b.column(2).to_pylist()]
-                named, score = [None] * len(texts), np.zeros(len(texts))
-                rows, owner, used = windows(texts)
-                if net is not None and len(rows):
-                    total = np.zeros((len(texts), len(langs)))
-                    for k in range(0, len(rows), 4096):  # bounded memory whatever the texts' length
-                        np.add.at(total, owner[k : k + 4096], net.log_probs(rows[k : k + 4096]) * used[k : k + 4096, None])
-                    total /= np.maximum(np.bincount(owner, weights=used, minlength=len(texts)), 1)[:, None]
-                    p = np.exp(total - total.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    best = p.argmax(axis=1)
-                    named, score = [langs[k] for k in best], p[np.arange(len(texts)), best]
-                ok = [bool(t) and x is not None for t, x in zip(texts, named, strict=True)]
-                columns = [b.column(0), b.column(1), pa.array([x if k else "und" for x, k in zip(named, ok, strict=True)], pa.string()), pa.array(np.where(ok, score, 0.0), pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+        for b in slices(batches, 2, rows=256, size=1 << 20):
+            texts = [t if t and LETTER.search(t) else "" for t in b.column(2).to_pylist()]
+            named, score = [None] * len(texts), np.zeros(len(texts))
+            rows, owner, used = windows(texts)
+            if net is not None and len(rows):
+                total = np.zeros((len(texts), len(langs)))
+                for k in range(0, len(rows), 4096):  # bounded memory whatever the texts' length
+                    np.add.at(total, owner[k : k + 4096], net.log_probs(rows[k : k + 4096]) * used[k : k + 4096, None])
+                total /= np.maximum(np.bincount(owner, weights=used, minlength=len(texts)), 1)[:, None]
+                p = np.exp(total - total.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                best = p.argmax(axis=1)
+                named, score = [langs[k] for k in best], p[np.arange(len(texts)), best]
+            ok = [bool(t) and x is not None for t, x in zip(texts, named, strict=True)]
+            columns = [b.column(0), b.column(1), pa.array([x if k else "und" for x, k in zip(named, ok, strict=True)], pa.string()), pa.array(np.where(ok, score, 0.0), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def training_rows(df: DataFrame, held_out: Column, bound: int, *, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``bound`` labelled rows of each language, those with the smallest hashes."""
+def training_rows(df: DataFrame, held_out: Column, bound: int, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``text, lang, k`` of at most ``bound`` labelled rows of each language, those with the smallest hashes ``k``."""
     rows = df.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col), F.length(text_col), F.substring(text_col, 1, 64))
+    key = F.xxhash64(F.col(id_col), text_col)
     keyed = rows.select(F.col(lang_col).alias("lang"), key.alias("k"))
     # Hashes are even, so a share of them holds ``bound`` of a language's keys (six deviations to spare): few rows meet by language.
     share = keyed.distinct().groupBy("lang").agg((F.lit(bound + 6 * bound**0.5 + 10) / F.count("*")).alias("share"))
-    span = F.pmod(F.xxhash64(id_col), F.greatest(F.length(text_col) - PASSAGE, F.lit(0)) + 1) + 1
-    passage = F.substring(F.col(text_col), span.cast("int"), F.lit(PASSAGE))
-    drawn = rows.select(F.col(lang_col).alias("lang"), key.alias("k"), passage.alias("text")).join(F.broadcast(share), "lang")
+    drawn = rows.select(F.col(lang_col).alias("lang"), key.alias("k"), F.col(text_col).alias("text")).join(F.broadcast(share), "lang")
     once = drawn.where(F.col("k") / 2.0**64 + 0.5 <= F.col("share")).groupBy("lang", "k").agg(F.min("text").alias("text"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
-    found = once.withColumn("turn", turn).where(F.col("turn") <= bound).select("text", "lang").orderBy("lang", "text")
-    return [(r.text, r.lang) for r in found.collect()]
+    return once.withColumn("turn", turn).where(F.col("turn") <= bound).select("text", "lang", "k")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of whole texts, but for a text's short rest: lang, k, place, window."""
+    for b in slices(batches, 0, rows=256, size=1 << 20):
+        rows, owner, used = windows(b.column(0).to_pylist())
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+        place = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+        own = np.flatnonzero((used >= WINDOW // 4) | (place == 0))
+        at = pa.array(owner[own])
+        yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(place[own], pa.int64()), pa.array([rows[i].tobytes() for i in own], pa.binary())], names=["lang", "k", "place", "window"])
+
+
+def training_windows(rows: DataFrame, per_lang: int = WINDOWS_PER_LANG) -> list[tuple[bytes, str]]:
+    """At most ``per_lang`` windows of each language, those with the smallest hashes."""
+    found = rows.select("text", "lang", "k").mapInArrow(_cut, "lang string, k long, place long, window binary")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("k", "place"), "k", "place")
+    drawn = found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang)
+    return [(bytes(r.window), r.lang) for r in drawn.orderBy("lang", "turn").select("window", "lang").collect()]
 
 
 def identify(df: DataFrame, held_out: Column, *, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row, learning from rows not held out."""
-    net, langs = train(training_rows(df, held_out, train_docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    net, langs = train(training_windows(training_rows(df, held_out, train_docs, id_col=id_col, text_col=text_col, lang_col=lang_col)))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(net, langs), SCHEMA)
 

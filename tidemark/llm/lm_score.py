@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, shuffle_partitions, table
+from .common import fold, materialize, shuffle_partitions, slices, table
 from .words import mix, word_hashes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a blank
@@ -108,15 +108,13 @@ def _block_row(block_id: int, parts: list[tuple]) -> pa.RecordBatch:
 def _blocks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, parts, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                tokens, lens = tokenize(b.column(2))
-                if parts and size + len(tokens) > limit:
-                    yield _block_row((part << 24) + seq, parts)
-                    seq, parts, size = seq + 1, [], 0
-                parts.append((b.column(0), b.column(1), tokens, lens))
-                size += len(tokens)
+        for b in slices(batches, 2):
+            tokens, lens = tokenize(b.column(2))
+            if parts and size + len(tokens) > limit:
+                yield _block_row((part << 24) + seq, parts)
+                seq, parts, size = seq + 1, [], 0
+            parts.append((b.column(0), b.column(1), tokens, lens))
+            size += len(tokens)
         if parts:
             yield _block_row((part << 24) + seq, parts)
 

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit signatures.
 
 1. A map over the texts gives each row its set of word shingles (as a digest
-   and a size) and a signature: ``VALUES`` min-hash values cut to 16 bits. Rows
-   of one digest are one *class*.
+   of 128 bits and a size) and a signature: ``VALUES`` min-hash values cut to 16
+   bits. Rows of one digest are one *class*, which gets a number.
 2. Two sets of similarity s differ in about ``(1 - s) * VALUES`` values. The
    distance limit ``t`` is the least one that a pair at the threshold exceeds
    with probability ``MISS`` at most (binomial tail). The values are split into
@@ -24,14 +24,17 @@
 5. Components come from alternating star steps; each class takes the smallest
    id of its component.
 
-Sets are rebuilt from text only for classes that take part in a comparison. The
+Sets are rebuilt from text only for classes that take part in a comparison, once
+each: a text with the id of a class counts if it has the class's digest. The
 ids of those classes are broadcast up to ``BROADCAST`` of them and joined by
-shuffle beyond.
+shuffle beyond. Joins on a key's pivot, a class or a component are salted where
+one of them has very many rows. Sets hold 64-bit hashes of shingles.
 
 Edge cases: null, empty or blank text has no shingles and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows without id
 are linked with nothing and get a null component; rows that repeat an id are
-one node where their text is equal. Extra columns are ignored.
+judged each by its own text, and rows that repeat id and text are one node.
+Very long texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,19 +49,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, remove, scratch, slices, spread_join, table
 from .graph import components
 from .words import shingles, word_hashes
 
 VALUES = 40
 ERRORS = 1
 MISS = 1e-4
-BLOCK = 1024
-BLOCK_SHINGLES = 400_000
-BROADCAST = 1_000_000
-SLICE = 512
+BLOCK = 256
+BLOCK_SHINGLES = 200_000
+BROADCAST = 500_000
 
-SIGN_SCHEMA = "doc_id long, n_shingles long, node long, digest binary, signature binary"
+SIGN_SCHEMA = "doc_id long, mark long, n_shingles long, digest binary, signature binary"
 
 
 def distance_limit(percent: int, values: int = VALUES, miss: float = MISS) -> int:
@@ -93,31 +95,37 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, values: int = VALUES) -> np.
     return out
 
 
+def _digests(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    ends = np.cumsum(sizes)
+    return [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for n, e in zip(sizes, ends, strict=True)]
+
+
 def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                b = batch.slice(at, SLICE)
-                sets, sizes = shingles(*word_hashes(b.column(1)), shingle)
-                ends = np.cumsum(sizes)
-                digests = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for n, e in zip(sizes, ends, strict=True)]
-                rows = iter(signatures(sets, sizes))
-                signs = [next(rows).tobytes() if n else None for n in sizes]
-                node = [d and int.from_bytes(d[:8], "little", signed=True) for d in digests]
-                columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "digest", "signature"])
+        for b in slices(batches, 2):
+            sets, sizes = shingles(*word_hashes(b.column(2)), shingle)
+            rows = iter(signatures(sets, sizes))
+            signs = [next(rows).tobytes() if n else None for n in sizes]
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(_digests(sets, sizes), pa.binary()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "digest", "signature"])
 
     return run
 
 
 def _sets(shingle: int):
+    """Sets of the texts that have the digest of their class, one for each class and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                b = batch.slice(at, SLICE)
-                sets, sizes = shingles(*word_hashes(b.column(1)), shingle)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "shingles"])
+        seen: set[int] = set()
+        for b in slices(batches, 2):
+            sets, sizes = shingles(*word_hashes(b.column(2)), shingle)
+            own = np.zeros(b.num_rows, bool)
+            for k, (node, want, digest) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _digests(sets, sizes), strict=True)):
+                if digest == want and node not in seen:
+                    seen.add(node)
+                    own[k] = True
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "shingles"]).filter(pa.array(own))
 
     return run
 
@@ -235,49 +243,58 @@ def _link(percent: int):
 
 
 class Join:
-    """The state of one near-duplicate join."""
+    """The state of one near-duplicate join. ``docs`` and ``classes`` are stored tables."""
 
     def __init__(self, df: DataFrame, shingle: int, percent: int, id_col: str, text_col: str):
         self.spark, self.shingle, self.percent = df.sparkSession, shingle, percent
         self.limit = distance_limit(percent)
         self.texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.docs, _ = materialize(self.texts.mapInArrow(_sign(shingle), SIGN_SCHEMA), "minhash-docs")
-        full = self.docs.where("node is not null and doc_id is not null")
-        classes = full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-        self.classes, _ = materialize(classes, "minhash-classes")
+        signed = self.texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_sign(shingle), SIGN_SCHEMA)
+        self.docs, _ = materialize(signed, "minhash-docs")
+        full = self.docs.where("digest is not null and doc_id is not null")
+        classes = full.groupBy("digest", "signature", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
+        self.classes, self.classes_at = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     def stars(self) -> DataFrame:
         """Pairs (p, node) of a key's pivot and its other classes."""
         keys = self.classes.select("node", "signature", "weight").mapInArrow(_keys(chunks(self.limit), ERRORS), "key long, node long, weight long")
-        pivots = keys.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("weight", "node")).alias("top")).where("c > 1").select("key", F.col("top.node").alias("p"))
-        return materialize(keys.join(pivots, "key").where("node <> p").select("p", "node").distinct(), "minhash-stars")[0]
+        # Primitive buffers keep this a hash aggregation; ties of a weight go by hash.
+        order = F.shiftleft(F.least("weight", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 21))
+        pivots = keys.groupBy("key").agg(F.count("*").alias("c"), F.max_by("node", order).alias("p")).where("c > 1")
+        pivots, _ = materialize(pivots, "minhash-pivots")
+        return materialize(spread_join(keys, pivots, "key", "c").where("node <> p").select("p", "node").distinct(), "minhash-stars")[0]
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given (distinct) classes, written once."""
-        nodes = nodes.join(self.classes, "node").select("node", F.col("id").alias("doc_id")).persist()
+        nodes = nodes.join(self.classes, "node").select("node", F.col("id").alias("doc_id"), "digest").persist()
         try:
-            ids = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
-            texts = self.texts.join(ids, "doc_id").select("node", "text")
-            return materialize(texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>"), "minhash-sets")[0]
+            n = nodes.count()
+            ids = F.broadcast(nodes) if n <= BROADCAST else nodes
+            texts = self.texts.join(ids, "doc_id").select("node", "digest", "text")
+            sets, _ = materialize(texts.mapInArrow(_sets(self.shingle), "node long, shingles array<long>"), "minhash-sets")
+            # Rows that repeat id and text give a set in each task that meets them.
+            return sets if sets.count() == n else materialize(sets.dropDuplicates(["node"]), "minhash-sets")[0]
         finally:
             nodes.unpersist()
 
     def confirm(self, stars: DataFrame) -> DataFrame:
         """The links (u, v) among pairs of pivots and classes."""
-        own = self.classes.select("node", "signature", "n")
-        a, b = (own.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-        sized = stars.select(F.col("p").alias("a"), F.col("node").alias("b")).join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        a, b = (self.classes.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        pairs = stars.select(F.col("p").alias("a"), F.col("node").alias("b"))
+        met = spread_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("c")).join(a, "a"), "a", "c")
+        sized = met.join(b, "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
         near, _ = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(_near(self.limit), "a long, b long"), "minhash-near", stars.count())
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sa, sb = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"x{k}")) for k in "ab")
-        met = near.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("i"), (F.size("xa") + F.size("xb")).alias("s"))
+        both = spread_join(near, near.groupBy("a").agg(F.count("*").alias("c")).join(sa, "a"), "a", "c").join(sb, "b")
+        met = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("i"), (F.size("xa") + F.size("xb")).alias("s"))
         return materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-links", near.count(), 5000)[0]
 
     def cells(self, groups: DataFrame) -> DataFrame:
         """Rows (p, i, j, own, node, n, root): each class of a group in every cell of its block."""
         size = groups.groupBy("p").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        size = size.select("p", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        own = groups.join(size, "p").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        size = size.select("p", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"), "c")
+        own = spread_join(groups, size, "p", "c").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return dealt.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root")
 
@@ -289,33 +306,60 @@ class Join:
         signs = self.cells(groups).join(self.classes.select("node", "signature"), "node").select("p", "i", "j", "own", "node", "n", "root", "signature")
         marked, _ = materialize(signs.groupBy("p", "i", "j").applyInArrow(_mark(self.limit, self.percent), "p long, node long").distinct(), "minhash-marked", groups.count())
         sets = self.sets(marked.select("node").distinct())
-        again = self.cells(groups.join(marked, ["p", "node"])).join(sets, "node").select("p", "i", "j", "own", "node", "root", "shingles")
+        left, _ = materialize(groups.join(marked, ["p", "node"]), "minhash-left", marked.count())
+        again = self.cells(left).join(sets, "node").select("p", "i", "j", "own", "node", "root", "shingles")
         return materialize(again.groupBy("p", "i", "j").applyInArrow(_link(self.percent), "u long, v long"), "minhash-more", marked.count(), 2000)[0]
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
-        stars = self.stars()
-        links = self.confirm(stars)
-        links = links.unionByName(self.rest(stars, links))
-        roots = self.classes.join(components(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-        low = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-        least = roots.join(low, "root").select("node", "component_id")
-        linked = self.docs.where("node is not null").join(least, "node", "left")
-        alone = self.docs.where("node is null").withColumn("component_id", F.col("doc_id"))
-        both = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
-        return both.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        """doc_id, mark, n_shingles, root, component_id of every row; root is null where nothing can be linked."""
+        with scratch(self.spark) as keep:
+            stars = self.stars()
+            links = self.confirm(stars)
+            links = links.unionByName(self.rest(stars, links))
+            roots = self.classes.join(components(links), "node", "left").select("digest", "id", "weight", F.coalesce("root", "node").alias("root"))
+            roots, _ = materialize(roots, "minhash-roots")
+            low = roots.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c"))
+            least, at = materialize(spread_join(roots, low, "root", "c").select("digest", "root", "component_id", "weight"), "minhash-least")
+            keep.append(at)
+        remove(self.spark, self.classes_at)
+        linked = spread_join(self.docs.where("digest is not null"), least, "digest", "weight", "left")
+        alone = self.docs.where("digest is null").select("*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+        columns = ["doc_id", "mark", "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(k)).alias(k) for k in ("root", "component_id"))]
+        return linked.select(*columns).unionByName(alone.select(*columns))
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of linked documents."""
     found = Join(df, shingle, percent, id_col, text_col).run()
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without the later documents of each group, columns as they were."""
-    gone = near_duplicates(df, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    """One row of each group, the columns as they were.
+
+    It is one of the smallest id; among several texts of that id, the one with
+    the least hash; among rows that repeat both, any one. Rows that are linked
+    with nothing (no words, no id) all stay.
+    """
+    j = Join(df, shingle, percent, id_col, text_col)
+    member = j.run().where("root is not null")
+    heads = member.where("doc_id = component_id").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("c"))
+    heads, _ = materialize(heads, "minhash-heads")
+    first = heads.groupBy("root").agg(F.min("mark").alias("low"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    gone = member.where("doc_id <> component_id").select("doc_id", "mark").distinct()
+    gone = gone.unionByName(heads.join(first, "root").where("mark <> low").select("doc_id", "mark"))
+    again, _ = materialize(heads.where("c > 1").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")), "minhash-again")
+
+    def same(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.toDF("_gone", "_mark")
+        return rows.join(ids, (rows[id_col].cast("long") == ids["_gone"]) & (F.xxhash64(rows[text_col]) == ids["_mark"]), how)
+
+    kept = same(df, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    row = F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row")
+    one = same(kept, again, "left_semi").groupBy(F.col(id_col).alias("_gone"), F.xxhash64(text_col).alias("_mark")).agg(row).select("_row.*")
+    return same(kept, again, "left_anti").unionByName(one)
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@
    means are taken by number of links (``STRATA``), and the least one counts.
    While it is under ``RECALL``, more tables and rounds follow, ``AUDITS`` times
    at most; then all classes are compared in blocks, which is exact and
-   quadratic. The last figures are kept in :data:`last_audit`.
+   quadratic. The recall that held (1 after an exact comparison) is a column.
 
 The number of tables grows with the bits of a cell, so that a pair at the
 threshold shares no cell with a probability of ``MISS`` at most.
@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,29 +59,25 @@ MISS = 0.02
 STRATA = (2, K)  # upper ends of the numbers of links audited together
 AUDITS = 3
 RECALL = 0.97
-BLOCK = 1024
+BLOCK = 256
 WIDE = 4096  # classes of a block where two different sets meet
 SLACK = 1e-4  # single precision, for the search only
 
-#: Of the last run in this process: recall, true links of the audited classes, exact (1 if all were compared).
-last_audit: dict[str, float] = {}
-
 
 def _unit(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, units = [], []
-            for x in batch.column(1).to_pylist():
-                node = unit = None
-                if x and None not in x:
-                    v = np.zeros(dim)
-                    v[: len(x)] = x
-                    if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                        v /= top  # the norm of huge or tiny components stays finite
-                        unit = (v / np.sqrt(v @ v)).tobytes()
-                        node = int.from_bytes(xxhash.xxh3_64_digest(unit), "little", signed=True)
-                nodes.append(node)
-                units.append(unit)
+            vectors = batch.column(1)
+            lens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+            v = np.zeros((len(lens), dim))
+            v[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
+            top = np.abs(v).max(axis=1, initial=0.0)
+            usable = np.isfinite(v).all(axis=1) & (top > 0)
+            v[usable] /= top[usable, None]  # the norm of huge or tiny components stays finite
+            v[usable] /= np.sqrt(np.einsum("ij,ij->i", v[usable], v[usable]))[:, None]
+            units = [x.tobytes() if ok else None for x, ok in zip(v, usable, strict=True)]
+            nodes = [u and int.from_bytes(xxhash.xxh3_64_digest(u), "little", signed=True) for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "node", "unit"])
 
     return run
@@ -410,13 +407,12 @@ class Search:
         met = self.against(asked, asked.count(), every, _links(self.threshold, False), LINKS)
         true = met.groupBy("node").agg(F.sum("m").alias("true")).where(F.col("true") > 0).join(self.known.select("node", "m"), "node")
         stratum = sum((F.col("true") > top).cast("int") for top in STRATA)
-        found = true.groupBy(stratum.alias("s")).agg(F.avg(F.least("m", "true") / F.col("true")).alias("r"), F.sum("true").alias("t")).collect()
-        last_audit.update(links=sum(x.t for x in found), recall=min((x.r for x in found), default=1.0), exact=0)
-        return last_audit["recall"]
+        found = true.groupBy(stratum.alias("s")).agg(F.avg(F.least("m", "true") / F.col("true")).alias("r")).collect()
+        return min((x.r for x in found), default=1.0)
 
 
 def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+    """``vec_id, n_links, component_id, kept`` of every row, and how it was found: ``recall`` of the audit, ``exact``."""
     s = Search(df, threshold, id_col, vector_col)
     for turn in range(AUDITS):
         s.start(turn)
@@ -427,12 +423,14 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id
                 break
             before = now
         found, _ = materialize(s.resolve(), "nn-found")
-        if s.recall() >= RECALL:
+        exact, recall = False, s.recall()
+        if recall >= RECALL:
             break
     else:
         found, _ = materialize(s.exact(), "nn-found")
-        last_audit.update(recall=1.0, exact=1)
-    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        exact, recall = True, 1.0
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), F.lit(recall).alias("recall"), F.lit(exact).alias("exact"))
 
 
 def op7_nn_descent(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ other kind of file. Documents longer than a sequence are cut into full pieces;
 the remainder, if any, is the first piece.
 
 Packing. Only piece lengths travel: pieces are spread evenly over partitions
-of about ``PIECES`` pieces by a hash of their key, and each partition runs a
+of about ``PIECES`` pieces by a hash of their columns and their place in the
+stored table, so equal rows do not meet, and each partition runs a
 bounded-space online best fit: windows of ``WINDOW`` pieces arrive one after
 another, longest piece first; open bins lie in stacks by free space, a bitset
 marks the stacks in use, the tightest bin that fits is one shift and one
@@ -19,7 +20,8 @@ underfull in each partition.
 
 Edge cases: null or empty text is the end id alone; null ids make pieces of
 their own; repeated rows (same id) are packed each, their pieces told apart by
-sequence and offset; an empty table gives no sequences. Extra columns are
+sequence and offset; very long texts are encoded whole, in slices bounded by
+bytes; an empty table gives no sequences. Extra columns are
 ignored by the tokeniser and kept by :func:`best_fit`.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
@@ -43,7 +45,6 @@ END_ID = 2
 OPEN_BINS = 4096
 PIECES = 100_000
 WINDOW = 8192
-SLICE = 512
 #: The pattern of a byte-level tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -97,17 +98,15 @@ def _pieces(tokenizer_file: str, size: int, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(tokenizer_file)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                b = batch.slice(at, SLICE)
-                rows = []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text or "") + end
-                    n = len(ids) // 4
-                    cuts = [0, *range(n % size or size, n + 1, size)]
-                    rows += [(doc_id, k, s, e - s, ids[4 * s : 4 * e]) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        for b in slices(batches, 1):
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = encoder.encode(text or "") + end
+                n = len(ids) // 4
+                cuts = [0, *range(n % size or size, n + 1, size)]
+                rows += [(doc_id, k, s, e - s, ids[4 * s : 4 * e]) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
@@ -167,17 +166,20 @@ def _place(at: int, size: int, limit: int, window: int):
     return run
 
 
-def best_fit(pieces: DataFrame, *, size: int = SEQUENCE, open_bins: int = OPEN_BINS, per_partition: int = PIECES, key: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", window: int = WINDOW) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows of lengths from 1 to ``size``.
+def best_fit(pieces: DataFrame, *, size: int = SEQUENCE, open_bins: int = OPEN_BINS, per_partition: int = PIECES, length_col: str = "length", window: int = WINDOW) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` (in place of columns of that name) to rows of lengths from 1 to ``size``.
 
     Takes one pass over a stored table of pieces: the count sizes the
     partitions, and the sort makes a task's repetition give the same bins.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     parts = max(1, -(-pieces.count() // per_partition))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     place = _place(pieces.columns.index(length_col), size, open_bins, window)
-    spread = F.xxhash64(*key)
-    return pieces.repartition(parts, spread).sortWithinPartitions(spread, *pieces.columns).mapInArrow(place, schema)
+    at = max(pieces.columns, key=len) + "_at"  # a name that no column has
+    dealt = pieces.withColumn(at, F.monotonically_increasing_id())
+    spread = F.xxhash64(at, *pieces.columns)
+    return dealt.repartition(parts, spread).sortWithinPartitions(spread, at).drop(at).mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, *, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ no band. A document is rejected when its whole ratio is outside its band, or
 when chunks outside theirs hold more than ``BAD_SHARE`` of its bytes.
 
 One map over the rows, no shuffle. Work inside a batch is vectorised over
-slices of ``SLICE`` documents.
+slices bounded by rows and bytes, so very long texts are judged whole.
 
 Edge cases: null text has no words, all counts are 0 and it fails the base
 rule, like an empty one; null ids are kept; repeated rows are judged each; an
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .words import fresh, mix, split_words
 
 MIN_WORDS = 20
@@ -40,7 +40,6 @@ CHUNK = 2048
 BAD_SHARE = 0.5
 #: From this many bytes on: the smallest and the largest ratio allowed.
 BANDS = ((128, 0.30, 1.10), (256, 0.28, 0.95), (512, 0.26, 0.85), (1024, 0.24, 0.80), (2048, 0.22, 0.75), (8192, 0.20, 0.72), (32768, 0.18, 0.70))
-SLICE = 512
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -94,21 +93,19 @@ def compression(data: bytes, z: zstandard.ZstdCompressor) -> tuple[bool, float |
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            b = batch.slice(at, SLICE)
-            texts = fresh(b.column(1))
-            words, n = split_words(texts)
-            repeated = repeat_words(words.indices.to_numpy().astype(np.uint64), n, WINDOW)
-            chars = pc.subtract(pc.utf8_length(texts), pc.count_substring_regex(texts, "[ \t-\r]")).cast(pa.int64())
-            symbols = pc.count_substring_regex(texts, "[#*$%&|<>]").cast(pa.int64())
-            plain = texts.to_pylist()
-            failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-            found = [(False, None, None, None, None, "base") if f else compression(t.encode(), z) for f, t in zip(failed, plain, strict=True)]
-            good, *rest = zip(*found, strict=True)
-            columns = [b.column(0), pa.array(n.astype(np.int64)), chars, symbols, pa.array([dup_lines(t) for t in plain], pa.int64()), pa.array(repeated)]
-            columns += [pa.array(failed), pa.array(good), *(pa.array(x, t) for x, t in zip(rest, [pa.float64()] * 4 + [pa.string()], strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
+    for b in slices(batches, 1):
+        texts = fresh(b.column(1))
+        words, n = split_words(texts)
+        repeated = repeat_words(words.indices.to_numpy().astype(np.uint64), n, WINDOW)
+        chars = pc.subtract(pc.utf8_length(texts), pc.count_substring_regex(texts, "[ \t-\r]")).cast(pa.int64())
+        symbols = pc.count_substring_regex(texts, "[#*$%&|<>]").cast(pa.int64())
+        plain = texts.to_pylist()
+        failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+        found = [(False, None, None, None, None, "base") if f else compression(t.encode(), z) for f, t in zip(failed, plain, strict=True)]
+        good, *rest = zip(*found, strict=True)
+        columns = [b.column(0), pa.array(n.astype(np.int64)), chars, symbols, pa.array([dup_lines(t) for t in plain], pa.int64()), pa.array(repeated)]
+        columns += [pa.array(failed), pa.array(good), *(pa.array(x, t) for x, t in zip(rest, [pa.float64()] * 4 + [pa.string()], strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
 
 
 def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,10 +115,10 @@ def quality(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _keep(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             ids = pa.array(np.arange(b.num_rows))
-            for k, found in enumerate(_judge([pa.RecordBatch.from_arrays([ids, b.column(at)], names=["doc_id", "text"])])):
-                yield b.slice(k * SLICE, SLICE).filter(found.column(7))
+            for found in _judge([pa.RecordBatch.from_arrays([ids, b.column(at)], names=["doc_id", "text"])]):
+                yield b.filter(found.column(7))
 
     return run
 

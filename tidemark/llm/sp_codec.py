@@ -12,7 +12,8 @@ it holds ``TABLE_CHUNKS`` chunks, and chunks over ``LONG_CHUNK`` characters
 stay out of it (they are segmented whenever they occur).
 
 Edge cases: null and empty texts have no ids and decode to ""; null ids are
-kept; repeated rows come out as often as they go in; literal U+2581 counts as
+kept; repeated rows come out as often as they go in; very long texts are encoded
+whole, in slices bounded by bytes; literal U+2581 counts as
 a marker, as in the library. Extra columns are ignored.
 """
 
@@ -26,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 MODEL = "piece_bpe_32k.model"
 TABLE_CHUNKS = 200_000
 LONG_CHUNK = 64
-SLICE = 512
 CHUNK = re.compile("\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
 CROSSES = re.compile("[^▁]▁|\n")
 
@@ -76,16 +76,14 @@ class ChunkTable:
 def _encode(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(model_file)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                b = batch.slice(at, SLICE)
-                ids, texts = chunks.encode([t or "" for t in b.column(1).to_pylist()])
-                ends = [0]
-                for i in ids:
-                    ends.append(ends[-1] + len(i) // 4)
-                flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        for b in slices(batches, 1):
+            ids, texts = chunks.encode([t or "" for t in b.column(1).to_pylist()])
+            ends = [0]
+            for i in ids:
+                ends.append(ends[-1] + len(i) // 4)
+            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 

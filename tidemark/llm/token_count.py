@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -61,7 +61,7 @@ def _count(model_file: str):
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = 1 << 62 if any(CROSSES.search(sp.id_to_piece(i)) for i in range(sp.get_piece_size())) else SEGMENT
-        for batch in batches:
+        for batch in slices(batches, 1, rows=10_000):
             parts, owner = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 own = segments(text or "", size)

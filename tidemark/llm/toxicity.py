@@ -23,7 +23,7 @@ labels, language, source or id.
    by ``FEATURES``) does it; there is no shuffle.
 
 Edge cases: null and empty texts have no feature and get the intercept's
-score; without labelled rows of both classes voters come from the fixed list
+score; very long texts are read whole; without labelled rows of both classes voters come from the fixed list
 alone; repeated rows are scored each; null ids are kept. Extra columns are
 ignored.
 """
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, slices, table
 
 TRAIN_DOCS = 10_000
 FEATURES = 2000
@@ -243,7 +243,7 @@ class Model:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 1):
         own = [read(t, bool(y)) for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         columns = [b.column(0), pa.array([r.words for r in own], pa.string()), pa.array([list(r.patterns) for r in own], pa.list_(pa.string())), b.column(2)]
         yield pa.RecordBatch.from_arrays(columns, names=["h", "words", "patterns", "y"])
@@ -272,7 +272,7 @@ def train(df: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, tr
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             score = [model.score(t or "") for t in b.column(2).to_pylist()]
             columns = [b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
@@ -288,7 +288,7 @@ def score_documents(df: DataFrame, model: Model, held_out: Column, *, id_col: st
 
 def _clean(model: Model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             yield b.filter(pa.array([model.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return run
