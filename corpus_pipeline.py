@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import minhash, packing, quality, toxicity
-from tidemark.llm.common import clear_since, materialize, remove, table, written
+from tidemark.llm.common import materialize, remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES[:-1]:
-        mark = written()
-        docs, at = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        clear_since(spark, mark, at)
+        with scratch(spark) as keep:
+            docs, at = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(at)
         if before:
             remove(spark, before)
         before = at

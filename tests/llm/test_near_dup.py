@@ -124,6 +124,7 @@ def test_salted_joins_and_shuffled_sets(spark, monkeypatch):
     for name in ("spread_join", "materialize"):
         assert getattr(minhash, name) is getattr(common, name)
     monkeypatch.setattr(common, "HEAVY", 3)
+    monkeypatch.setattr(minhash, "HEAVY_SETS", 2)
     monkeypatch.setattr("tidemark.llm.graph.HEAVY", 3)
     monkeypatch.setattr(minhash, "BROADCAST", 0)
     monkeypatch.setattr(minhash, "BLOCK", 8)

@@ -4,15 +4,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tidemark.llm import lang_id
+from tidemark.llm import lang_id, lm_score
 from tidemark.llm import quality as q
 from tidemark.llm.common import fold
 from tidemark.llm.lang_id import ByteNet, op9_language_id, windows
-from tidemark.llm.lm_score import BETAS, Smoothing, op1_lm_score, pack, pack_sorted, score_documents, unpack, unpack_sorted
+from tidemark.llm.lm_score import BETAS, Smoothing, _ask, _block_row, bucket_of, op1_lm_score, pack, pack_sorted, score_documents, tokenize, unpack, unpack_sorted
 
 from .fixtures import PROSE, TEXTS, documents, dump
 
@@ -25,40 +26,57 @@ def held(i, n, r):
 
 
 def lm_brute(texts):
-    """Scores by a plain walk over dictionaries."""
+    """Scores by a plain walk over dictionaries; no word holds the blank of the start's name."""
     docs = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in texts.items()}
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     for i, w in docs.items():
         if not held(i, 7, 2):
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w))
+            w = [" s", *w]
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+            tri.update(zip(w, w[1:], w[2:]))
     n, v = sum(uni.values()), len(uni)
 
     def discount(c):
         k = Counter(c.values())
         return min(max(k[1] / (k[1] + 2 * k[2]), 0.01), 0.99) if k[1] + k[2] else 0.5
 
-    d1, d2 = discount(uni), discount(bi)
-    beta = float(np.interp(np.log(len(bi)), np.log([sum(c**b for c in uni.values()) for b in BETAS]), BETAS))
+    def growth(states, arcs):
+        return float(np.interp(np.log(len(arcs)), np.log([sum(c**b for c in states) for b in BETAS]), BETAS))
+
+    states = {p: c for p, c in bi.items() if c > 1 and p[1] is not None}
+    tri = Counter({t: c for t, c in tri.items() if t[:2] in states})
+    d1, d2, d3 = discount(uni), discount(bi), discount(tri)
+    beta2, beta3 = growth(uni.values(), bi), growth(states.values(), tri)
+
+    def p1(w):
+        return (uni[w] - d1) / n if uni[w] else d1 * v / n
+
+    def p2(h, w):
+        c = uni[None] if h == " s" else uni[h]  # the start state counts as often as the end token
+        if not c:
+            return p1(w)
+        back = d2 * c ** (beta2 - 1)
+        return (1 - back) * bi[h, w] / c + back * p1(w)
+
+    def p3(g, h, w):
+        if (g, h) not in states:
+            return p2(h, w)
+        back = d3 * states[g, h] ** (beta3 - 1)
+        return (1 - back) * tri[g, h, w] / states[g, h] + back * p2(h, w)
+
     out = {}
     for i, w in docs.items():
-        base, score, h = 0.0, 0.0, None
-        for x in w:
-            base += math.log10((uni[x] + 1) / (n + v + 1))
-            u = (uni[x] - d1) / n if uni[x] else d1 * v / n
-            if c := uni[h]:  # the start state counts as often as the end token
-                back = d2 * c ** (beta - 1)
-                pair = bi["<s>" if h is None else h, x]
-                score += math.log10((1 - back) * pair / c + back * u) if pair else math.log10(back) + math.log10(u)
-            else:
-                score += math.log10(u)
-            h = x
+        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
+        own = [None, " s", *w]
+        score = sum(math.log10(p3(*own[k : k + 3])) for k in range(len(w)))
         out[i] = (held(i, 7, 2), len(w), sum(uni[x] > 0 for x in w), n, base, score)
     return out
 
 
-@pytest.mark.parametrize("block_tokens", [50, 4_000_000])
-def test_lm_equals_brute_force(spark, block_tokens):
+@pytest.mark.parametrize(("block_tokens", "walk"), [(50, 1_000_000), (4_000_000, 500)])
+def test_lm_equals_brute_force(spark, monkeypatch, block_tokens, walk):
+    monkeypatch.setattr(lm_score, "WALK_TOKENS", walk)
     texts = [*TEXTS, *(" ".join(f"w{(i * j) % 17}" for j in range(i)) for i in range(40)), *(f"Row {i}  of\tmany" for i in range(4000))]
     rows = score_documents(documents(spark, texts).repartition(3), fold("doc_id", 7) == 2, block_tokens=block_tokens).collect()
     want = lm_brute(dict(enumerate(texts)))
@@ -74,12 +92,19 @@ def test_smoothing_sums_to_one():
     c = np.bincount(r.zipf(1.6, 3000) % 400)
     c = c[c > 0]
     follow = r.multinomial(c[3], np.ones(len(c)) / len(c))
-    stats = [c.sum(), len(c), (c == 1).sum(), (c == 2).sum(), *((c.astype(float) ** b).sum() for b in BETAS), c.sum(), 1500, 900, 200]
-    m = Smoothing([float(x) for x in stats])
+    pairs = r.zipf(1.7, 1500)
+    pairs = np.concatenate([pairs, [2, 2, 3]])
+    one = [c.sum(), len(c), (c == 1).sum(), (c == 2).sum(), *((c.astype(float) ** b).sum() for b in BETAS)]
+    two = [pairs.sum(), len(pairs), (pairs == 1).sum(), (pairs == 2).sum(), (pairs == 1).sum(), *((pairs[pairs > 1].astype(float) ** b).sum() for b in BETAS)]
+    m = Smoothing([float(x) for x in [*one, *two, 4000, 2500, 2100, 200]])
     uni = m.unigram(np.append(c, 0))
+    assert abs(uni.sum() - 1) < 1e-12 and 0.3 <= m.beta2 <= 1 and 0.3 <= m.beta3 <= 1
     back = m.back(np.array([c[3]]))[0]
-    assert abs(uni.sum() - 1) < 1e-12 and 0.3 <= m.beta <= 1
-    assert abs(((1 - back) * np.append(follow, 0) / c[3] + back * uni).sum() - 1) < 1e-12
+    word = (1 - back) * np.append(follow, 0) / c[3] + back * uni
+    assert abs(word.sum() - 1) < 1e-12
+    after = r.multinomial(7, np.ones(len(c)) / len(c))
+    back = m.back(np.array([7]), 3)[0]
+    assert abs(((1 - back) * np.append(after, 0) / 7 + back * word).sum() - 1) < 1e-12
 
 
 def test_lm_edge_tables(spark, tmp_path):
@@ -96,6 +121,22 @@ def test_packed_arrays():
     a = np.array([0, 3, 3, 2**63, 2**64 - 1], np.uint64)
     assert (unpack_sorted(pack_sorted(a)) == a).all() and (unpack(pack(a), np.uint64) == a).all()
     assert len(unpack(pack(a[:0]), np.uint64)) == 0
+    r = np.random.default_rng(1)
+    for n in (1, 2, 9, 5000):  # planes of zeros, of noise, and in between
+        a = np.sort(r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        assert (unpack_sorted(pack_sorted(a)) == a).all()
+        assert (unpack(pack(a.astype(np.uint32)), np.uint32) == a.astype(np.uint32)).all()
+
+
+def test_rows_go_to_buckets_with_entries_only():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500, np.uint64) * np.uint64(2))
+    own = bucket_of(keys, 1 << 20)
+    assert (np.diff(own) >= 0).all() and own.min() >= 0 and own.max() < 1 << 20
+    tokens, lens = tokenize(pa.array(["a b c d e f", "a b c"]))
+    rows = _block_row(0, [(pa.array([1, 2]), pa.array([False, True]), tokens, lens)])
+    asked = next(iter(_ask(1 << 30)([rows])))
+    entries = sum(len(unpack_sorted(x)) for k in ("k1", "k2", "k3") for x in asked[k].to_pylist())
+    assert asked.num_rows <= entries == 7 + 8 + 7
 
 
 def inside_bands(data):

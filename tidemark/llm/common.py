@@ -19,7 +19,7 @@ _LOCAL: dict[str, str] = {}
 _SWEPT: set[str] = set()
 _SCOPES = threading.local()
 
-HEAVY = 10_000
+HEAVY = 2_000
 HOT_KEYS = 1_000_000
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
@@ -102,17 +102,17 @@ def _sweep(spark: SparkSession, base: str) -> None:
         pass
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", heavy: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key`` without bringing all rows of a heavy key to one task.
 
     ``right`` has one row a key, whose ``weight`` (dropped) is how many rows of
-    ``left`` have it, or more. Keys beyond ``HEAVY`` rows are salted: their rows of
+    ``left`` have it, or more. Keys beyond ``heavy`` (``HEAVY``) rows are salted: their rows of
     ``right`` are repeated, the rows of ``left`` dealt in turn. The numbers of salts
     are broadcast; as weights add up, the limit leaves ``HOT_KEYS`` of them at most.
     ``left`` should be a stored table, whose rows keep their order if a task is repeated.
     """
     total, most = right.agg(F.sum(weight), F.max(weight)).first()
-    limit = max(HEAVY, (total or 0) // HOT_KEYS)
+    limit = max(heavy or HEAVY, (total or 0) // HOT_KEYS)
     if (most or 0) <= limit:
         return left.join(right.drop(weight), key, how)
     parts = F.ceil(F.col(weight) / limit).cast("int")

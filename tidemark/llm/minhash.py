@@ -59,6 +59,7 @@ MISS = 1e-4
 BLOCK = 256
 BLOCK_SHINGLES = 200_000
 BROADCAST = 500_000
+HEAVY_SETS = 256  # rows with a set each that one key may bring to a task
 
 SIGN_SCHEMA = "doc_id long, mark long, n_shingles long, digest binary, signature binary"
 
@@ -286,7 +287,7 @@ class Join:
         near, _ = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(_near(self.limit), "a long, b long"), "minhash-near", stars.count())
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sa, sb = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"x{k}")) for k in "ab")
-        both = spread_join(near, near.groupBy("a").agg(F.count("*").alias("c")).join(sa, "a"), "a", "c").join(sb, "b")
+        both = spread_join(near, near.groupBy("a").agg(F.count("*").alias("c")).join(sa, "a"), "a", "c", heavy=HEAVY_SETS).join(sb, "b")
         met = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("i"), (F.size("xa") + F.size("xb")).alias("s"))
         return materialize(met.where(f"100 * i >= {self.percent} * (s - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-links", near.count(), 5000)[0]
 
