@@ -1,9 +1,11 @@
 """Overlapping token windows over the joined items of a session.
 
-Tokens are words with the white space before them (``regex`` tokenizer), so a
-window's text is exact and its place among the items follows from character
-offsets. Any other tokenizer is an array column of token strings whose
-concatenation is the text.
+A session's text is its items with a line feed between. Each item is tokenised
+apart, with the line feed before it, into strings whose concatenation is that
+text; by default (``regex`` tokenizer) a token is a word with the white space
+before it. Tokens are numbered by a running sum over the items, and each item
+sends its tokens to the windows that they fall into, so no row ever holds more
+than an item or a window and the work is linear in a session's length.
 """
 
 from __future__ import annotations
@@ -25,41 +27,48 @@ def windows(n: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(stride))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def spans(items: DataFrame, session: list[str], order: list[Column]) -> DataFrame:
-    """Character span of each item in its session's joined text (one line feed between)."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    before = F.coalesce(F.sum(F.length("item") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("start", before.cast("int")).withColumn("end", (before + F.length("item")).cast("int")).withColumn("seq", F.row_number().over(w))
+def spans(items: DataFrame, session: list[str], order: list[Column], tokenizer=tokens) -> DataFrame:
+    """Items numbered in their session (``seq``), with their ``tokens`` and how many stand before, in all, and in the session."""
+    numbered = items.withColumn("seq", F.row_number().over(Window.partitionBy(*session).orderBy(*order)))
+    text = F.when(F.col("seq") > 1, F.concat(F.lit("\n"), F.col("item"))).otherwise(F.col("item"))
+    cut = numbered.select(*session, "seq", "ts", "turn_index", tokenizer(text).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
+    own = Window.partitionBy(*session)
+    before = F.coalesce(F.sum("n").over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("before", before).withColumn("total", F.sum("n").over(own))
 
 
 def chunk(items: DataFrame, session: list[str], *, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, tokenizer=tokens, order: list[Column] | None = None) -> DataFrame:
     """Chunks of each session: content, times and turns of its first and last item.
 
-    ``items``: the session columns, item, ts, turn_index. A session is one text, as
-    the format defines it; sessions are spread over the cluster.
+    ``items``: the session columns, item, ts, turn_index.
     """
-    placed = spans(items, session, order or [F.col("turn_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("item")])
-    listed = F.array_sort(F.collect_list(F.struct("seq", "start", "end", "ts", "turn_index", "item")))
-    whole = placed.groupBy(*session).agg(listed.alias("items"))
-    text = F.array_join(F.transform("items", lambda x: x["item"]), "\n")
-    cut = whole.withColumn("tokens", tokenizer(text)).withColumn("n", F.size("tokens"))
-    rows = cut.select(*session, "items", "tokens", "n", F.posexplode(windows(F.col("n"), size, overlap)).alias("chunk_no", "s"))
-    head = F.array_join(F.slice("tokens", 1, F.col("s")), "")
-    body = F.array_join(F.slice("tokens", F.col("s") + 1, F.lit(size)), "")
-    rows = rows.select(*session, "items", "n", "chunk_no", "s", body.alias("content"), F.length(head).alias("from"))
-    until = F.col("from") + F.length("content")
-    met = F.filter("items", lambda x: (x["start"] < until) & (x["end"] > F.col("from")))
-    # A window over the separators alone meets no item: the first one stands in.
-    met = F.when(F.size(met) > 0, met).otherwise(F.slice("items", 1, 1))
-    first, last = F.element_at("met", 1), F.element_at("met", -1)
-    return rows.withColumn("met", met).select(
+    stride = size - overlap
+    placed = spans(items, session, order or [F.col("turn_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("item")], tokenizer)
+    last = F.floor(F.greatest(F.col("total") - overlap - 1, F.lit(0)) / stride)
+    low = F.greatest(F.floor((F.col("before") - size) / stride) + 1, F.lit(0))
+    high = F.least(F.floor((F.col("before") + F.col("n") - 1) / stride), last)
+
+    def part(k: Column) -> Column:
+        """The item's tokens in window ``k``, cut before rows are multiplied."""
+        start = F.greatest(k * stride - F.col("before"), F.lit(0))
+        end = F.least(k * stride + size - F.col("before"), F.col("n"))
+        body = F.array_join(F.slice("tokens", (start + 1).cast("int"), (end - start).cast("int")), "")
+        # A line feed alone, the item's separator, does not make the item one of the window's.
+        return F.struct(k.alias("k"), F.struct("seq", body.alias("body"), (F.length(body) > ((start == 0) & (F.col("seq") > 1)).cast("int")).alias("met"), "ts", "turn_index").alias("part"))
+
+    flat = placed.where("n > 0").select(*session, "total", F.explode(F.transform(F.sequence(low, high), part)).alias("x"))
+    whole = flat.groupBy(*session, F.col("x.k").alias("k")).agg(F.array_sort(F.collect_list("x.part")).alias("parts"), F.max("total").alias("n"))
+    met = F.filter("parts", lambda x: x["met"])
+    rows = whole.withColumn("own", F.when(F.size(met) > 0, met).otherwise(F.col("parts")))
+    first, final = F.element_at("own", 1), F.element_at("own", -1)
+    return rows.select(
         *session,
-        F.col("chunk_no").cast("int").alias("chunk_no"),
-        F.col("s").alias("token_start"),
-        F.least(F.col("s") + size, F.col("n")).alias("token_end"),
-        "content",
+        F.col("k").cast("int").alias("chunk_no"),
+        (F.col("k") * stride).cast("int").alias("token_start"),
+        F.least(F.col("k") * stride + size, F.col("n")).cast("int").alias("token_end"),
+        F.array_join(F.transform("parts", lambda x: x["body"]), "").alias("content"),
         first["ts"].alias("timestamp_start"),
-        last["ts"].alias("timestamp_end"),
+        final["ts"].alias("timestamp_end"),
         first["turn_index"].alias("turn_index_start"),
-        last["turn_index"].alias("turn_index_end"),
+        final["turn_index"].alias("turn_index_end"),
     )

@@ -51,6 +51,11 @@ def grouped(rows: DataFrame, by: tuple[str, ...], values: tuple[str, ...]) -> Da
     return rows.groupingSets([[c] for c in by], *by).agg(name.alias("grouping"), value.alias("value"), F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values)).drop(*by)
 
 
+def by_bucket(rows: DataFrame, ledger: DataFrame, values: tuple[str, ...], by: tuple[str, ...] = ("config", "bucket")) -> DataFrame:
+    """Means of each configuration over the buckets that the ledger (query_id, bucket) gives the queries."""
+    return rows.join(ledger.select("query_id", "bucket"), "query_id").groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
+
+
 def percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, nearest-rank median and 95th percentile, mean."""
     return rows.groupBy(*by).agg(

@@ -196,23 +196,27 @@ def explain_summary(spark, d):
     return s.select("query_id", "pool_limit", "dense_fetched", "lexical_fetched", "exact_fetched", "fused_candidate_count", "lexical_method")
 
 
+KEPT = """twins AS (SELECT r.query_id, r.id FROM ranked r JOIN ranked e ON e.query_id = r.query_id AND e.rank < r.rank AND e.content = r.content AND e.session_id = r.session_id AND e.source_type = r.source_type
+    WHERE r.embedding IS NOT NULL AND e.embedding IS NOT NULL AND list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0.85),
+  kept AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS place FROM ranked r ANTI JOIN twins t ON t.query_id = r.query_id AND t.id = r.id)"""
+
+
 @register(
-    f"""{BASE}, {DENSE}, {LEXICAL}, {TRIGRAM}, {EXACT}, lex AS (SELECT query_id, id, rank FROM words UNION ALL SELECT query_id, id, rank FROM tri),
+    f"""{ALL}, {RANKED}, {KEPT}, lex AS (SELECT query_id, id, rank FROM words UNION ALL SELECT query_id, id, rank FROM tri),
     parts AS (SELECT query_id, id, 'd' AS ch, 1.0::DOUBLE / (60 + rank) AS w FROM dense UNION ALL SELECT query_id, id, 'l', 1.0::DOUBLE / (60 + rank) FROM lex UNION ALL SELECT query_id, id, 'e', 1.0::DOUBLE / 61 FROM exact),
     configs AS (SELECT * FROM (VALUES ('dense-only', 'd'), ('lexical-only', 'l'), ('rrf', 'dl'), ('+exact', 'dle')) c(config, chs))
     SELECT config, query_id, id, rank, round(score, 9) AS score FROM (SELECT config, query_id, id, score, row_number() OVER (PARTITION BY config, query_id ORDER BY round(score, 12) DESC, id) AS rank FROM (
-      SELECT config, query_id, id, sum(w) AS score FROM parts JOIN configs ON contains(chs, ch) GROUP BY ALL)) WHERE rank <= 5"""
+      SELECT config, query_id, id, sum(w) AS score FROM parts JOIN configs ON contains(chs, ch) GROUP BY ALL)) WHERE rank <= 5
+    UNION ALL SELECT '+temporal', query_id, id, rank, round(score, 9) FROM ranked WHERE rank <= 5
+    UNION ALL SELECT '+dedup', query_id, id, place, round(score, 9) FROM kept WHERE place <= 5"""
 )
 def ablation_matrix(spark, d):
-    """The configurations without decay, side by side."""
+    """The six configurations side by side."""
     base = plan(spark, d)
-    parts = [base.variant(CONFIGS[c]).results.select(F.lit(c).alias("config"), "query_id", "id", F.col("place").alias("rank"), F.round("score", 9).alias("score")) for c in ("dense-only", "lexical-only", "rrf", "+exact")]
+    parts = [base.variant(stages).results.select(F.lit(c).alias("config"), "query_id", "id", F.col("place").alias("rank"), F.round("score", 9).alias("score")) for c, stages in CONFIGS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-KEPT = """twins AS (SELECT r.query_id, r.id FROM ranked r JOIN ranked e ON e.query_id = r.query_id AND e.rank < r.rank AND e.content = r.content AND e.session_id = r.session_id AND e.source_type = r.source_type
-    WHERE r.embedding IS NOT NULL AND e.embedding IS NOT NULL AND list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) > 0.85),
-  kept AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS place FROM ranked r ANTI JOIN twins t ON t.query_id = r.query_id AND t.id = r.id)"""
 EVENTS = " UNION ALL ".join(
     f"SELECT query_id, '{stage}' AS stage, '{reason}' AS reason, count(*) AS n FROM {rel} GROUP BY query_id"
     for stage, reason, rel in (
@@ -413,7 +417,7 @@ def store_incremental(spark, d):
     SELECT CAST(c.conv_id AS VARCHAR) AS session_id, count(*) AS n, min(c.turn) AS first_new FROM conversations c LEFT JOIN m ON m.conv_id = c.conv_id WHERE c.turn > coalesce(m.t, 0) GROUP BY c.conv_id"""
 )
 def grown_sessions(spark, d):
-    """Turns after the last stored one."""
+    """Turns after the last stored one."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_index"), "conv_id")
     stored = rows.where("turn_index < 3 and conv_id % 2 = 0").withColumn("turn_index_end", F.col("turn_index"))
     return incremental.new_turns(rows, stored).groupBy("session_id").agg(F.count("*").alias("n"), F.min("turn_index").alias("first_new"))
@@ -501,21 +505,66 @@ def scope_delete(spark, d):
 
 @register(f"WITH {CHUNKS} SELECT substr(sha256(session_id), 1, 16) AS session, source_type, {_sql_redact('content')} AS content FROM chunks WHERE session_id IN ('src1', 'src2')")
 def scope_export_rows(spark, d):
-    """Redacted rows of a scope."""
+    """Redacted rows of a scope."""
     c = chunks(spark, d).withColumn("metadata", F.lit(None).cast("string"))
     own = spark.createDataFrame([("src1",), ("src2",)], "session_id string")
     return lifecycle.export_rows(c, own).select("session", "source_type", "content")
 
 
 @register(
-    f"""WITH {CHUNKS}, new AS (SELECT * FROM chunks WHERE session_id IN ('src1', 'src2') AND doc_id < 100 AND embedding IS NOT NULL)
-    SELECT id, content FROM chunks WHERE session_id NOT IN (SELECT session_id FROM new) UNION ALL SELECT id, 'new ' || content FROM new"""
+    f"""WITH {CHUNKS}, late AS (SELECT bool_and(embedding IS NOT NULL) AS complete FROM chunks WHERE session_id = 'src3')
+    SELECT id, CASE WHEN session_id IN ('src1', 'src2') THEN 'new ' || content WHEN session_id = 'src3' AND complete THEN 'late ' || content ELSE content END AS content FROM chunks, late"""
 )
 def replace_by_session(spark, d):
-    """K1, K5, T5: sessions replaced as a whole."""
-    old = chunks(spark, d).select("id", "session_id", "content", "embedding", "doc_id")
-    new = old.where("session_id in ('src1', 'src2') and doc_id < 100 and embedding is not null").withColumn("content", F.concat(F.lit("new "), "content"))
-    return incremental.replace_sessions(old, new).select("id", "content")
+    """K1, T5: sessions replaced as a whole, again with the same result, and not at all if a vector is missing."""
+    old = chunks(spark, d).select("id", "session_id", "content", "embedding")
+    new = old.where("session_id in ('src1', 'src2')").withColumn("content", F.concat(F.lit("new "), "content")).withColumn("embedding", F.coalesce("embedding", F.array(F.lit(0.5).cast("float"))))
+    late = old.where("session_id = 'src3'").withColumn("content", F.concat(F.lit("late "), "content"))
+    once = incremental.replace_sessions(old, new)
+    return incremental.replace_sessions(incremental.replace_sessions(once, new), late).select("id", "content")
+
+
+@register(
+    f"""WITH {CHUNKS}, old AS (SELECT * FROM chunks WHERE doc_id % 4 <> 0), whole AS (SELECT * FROM chunks WHERE doc_id % 4 = 0 AND embedding IS NOT NULL)
+    SELECT 'complete' AS batch, id FROM old UNION ALL SELECT 'complete', id FROM whole UNION ALL SELECT 'partial', id FROM old
+    UNION ALL SELECT 'partial', id FROM chunks WHERE doc_id % 4 = 0 AND (SELECT bool_and(embedding IS NOT NULL) FROM chunks WHERE doc_id % 4 = 0)"""
+)
+def append_mode(spark, d):
+    """K2: rows appended without deleting, all of a batch or none."""
+    c = chunks(spark, d).select("id", "embedding", "doc_id")
+    old, new = c.where("doc_id % 4 <> 0"), c.where("doc_id % 4 = 0")
+    parts = [incremental.append_rows(old, rows).select(F.lit(name).alias("batch"), "id") for name, rows in (("complete", new.where("embedding is not null")), ("partial", new))]
+    return parts[0].unionByName(parts[1])
+
+
+@register(
+    """WITH gone AS (SELECT conv_id FROM conversations EXCEPT SELECT conv_id FROM conversations WHERE role = 'user' AND length(text) > 40)
+    SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.conv_id = c.conv_id)"""
+)
+def purge_sessions(spark, d):
+    """K5: sessions without a message left lose their rows."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("session_id"), "role", "text")
+    left = rows.where("role = 'user' and length(text) > 40").select("session_id").distinct()
+    return incremental.purge(rows, rows.select("session_id").distinct().join(left, "session_id", "left_anti")).select("conv_id", "turn")
+
+
+@register(
+    """WITH s AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS s, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 HOUR END AS e, ts - INTERVAL 1 DAY AS f FROM events)
+    SELECT event_id, epoch_us(coalesce(s, f)) AS span_start, epoch_us(CASE WHEN s IS NULL THEN f ELSE coalesce(e, s) END) AS span_end FROM s"""
+)
+def chunk_spans(spark, d):
+    """A missing end is the start, a missing start the file's time."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    start, end = times.fill_span(F.when(k % 3 != 0, t), F.when(k % 4 != 0, t + F.expr("INTERVAL 1 HOUR")), t - F.expr("INTERVAL 1 DAY"))
+    return table(spark, d, "events").select("event_id", F.unix_micros(start).alias("span_start"), F.unix_micros(end).alias("span_end"))
+
+
+@register(f"SELECT doc_id, {_sql_redact('text')} AS plain, {_sql_redact('text')} AS nested FROM documents")
+def redact_metadata(spark, d):
+    """Strings redacted at any depth of JSON."""
+    packed = F.to_json(F.struct(F.col("text").alias("plain"), F.array(F.struct(F.col("text").alias("x"))).alias("deep")))
+    rows = table(spark, d, "documents").select("doc_id", text.redact_json(packed).alias("m"))
+    return rows.select("doc_id", F.get_json_object("m", "$.plain").alias("plain"), F.get_json_object("m", "$.deep[0].x").alias("nested"))
 
 
 # -- evaluation -------------------------------------------------------------
@@ -548,7 +597,7 @@ def retrieval_metrics(spark, d):
     FROM tagged GROUP BY GROUPING SETS ((class), (lang))"""
 )
 def metric_groups(spark, d):
-    """Means over independent groupings."""
+    """Means over independent groupings."""
     m = evaluate.metrics(plan(spark, d).dense, _judged(spark, d))
     tagged = m.withColumn("class", F.when(F.col("query_id") % 2 == 0, "exact").otherwise("paraphrase")).withColumn("lang", F.when(F.col("query_id") < 3, "en"))
     g = evaluate.grouped(tagged, ("class", "lang"), ("recall", "ndcg"))
@@ -577,7 +626,7 @@ def duplicate_groups(spark, d):
     SELECT s.query_id, s.n, coalesce(hit, 0) AS groups_hit, CAST(coalesce(extra, 0) AS BIGINT) AS redundant, round(coalesce(extra, 0) / s.n::DOUBLE, 9) AS rate FROM (SELECT query_id, count(*) AS n FROM r GROUP BY query_id) s LEFT JOIN x ON x.query_id = s.query_id"""
 )
 def duplicate_rate(spark, d):
-    """Repeated groups in rankings."""
+    """Repeated groups in rankings."""
     c = chunks(spark, d)
     groups = evaluate.duplicate_groups(c).withColumn("g", F.xxhash64("content"))
     return evaluate.duplicate_rate(c.select((F.col("doc_id") % 50).alias("query_id"), "id"), groups).withColumn("rate", F.round("rate", 9))
@@ -589,17 +638,103 @@ def duplicate_rate(spark, d):
     FROM dense d JOIN rules USING (query_id) JOIN chunks c ON c.id = d.id GROUP BY tag"""
 )
 def filter_leakage(spark, d):
-    """Results that break a rule."""
+    """Results that break a rule."""
     rules = spark.createDataFrame([(0, "source_filter", "en", None), (1, "session_filter", "src1", None), (2, "time_filter", "2024-01-15", "before"), (3, "time_filter", "2024-01-15", "after")], "query_id int, tag string, value string, op string")
     return evaluate.leakage(plan(spark, d).dense.withColumn("config", F.lit("dense-only")), rules, chunks(spark, d))
 
 
+@register(
+    f"""{BASE}, own AS (SELECT q.query_id, c.id, c.session_id, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.id) AS place
+      FROM chunks c, queries q WHERE c.embedding IS NOT NULL AND q.embedding IS NOT NULL AND c.embedding_model = '{MODEL}' AND {WHERE}) SELECT query_id, id, session_id, place FROM own WHERE place <= 5"""
+)
+def guarded_search(spark, d):
+    """A filtered search whose candidates and results pass the guards."""
+    return plan(spark, d, filters=FILTER, stages=CONFIGS["dense-only"]).results.select("query_id", "id", "session_id", "place")
+
+
+@register(
+    f"""{ALL}, {RANKED}, {KEPT}, {JUDGED}, x AS (SELECT r.query_id, r.id IN (SELECT t.id FROM twins t WHERE t.query_id = r.query_id) AS gone, coalesce(j.grade > 0, false) AS good FROM ranked r LEFT JOIN judged j ON j.query_id = r.query_id AND j.id = r.id)
+    SELECT query_id, count(*) FILTER (gone) AS dropped, count(*) AS n, round(count(*) FILTER (gone) / count(*)::DOUBLE, 9) AS rate, bool_or(gone AND good) AS dropped_relevant FROM x GROUP BY query_id"""
+)
+def dedup_drop_rate(spark, d):
+    """How much deduplication drops, and whether any of it was relevant."""
+    return evaluate.drop_rate(fusion.dedup(plan(spark, d).ranked), _judged(spark, d)).withColumn("rate", F.round("rate", 9))
+
+
+@register(
+    f"""{BASE}, {DENSE}, {LEXICAL}, {JUDGED}, r AS (SELECT 'dense-only' AS config, query_id, id, rank FROM dense UNION ALL SELECT 'lexical-only', query_id, id, rank FROM words),
+    good AS (SELECT * FROM judged WHERE grade > 0), n AS (SELECT query_id, count(*) AS n_relevant FROM good GROUP BY query_id),
+    m AS (SELECT config, query_id, count(*) FILTER (g.id IS NOT NULL AND rank <= 5) / any_value(n_relevant)::DOUBLE AS recall, coalesce(1.0::DOUBLE / min(rank) FILTER (g.id IS NOT NULL AND rank <= 10), 0) AS rr
+      FROM r JOIN n USING (query_id) LEFT JOIN good g USING (query_id, id) GROUP BY config, query_id)
+    SELECT config, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS bucket, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS reciprocal_rank FROM m GROUP BY ALL"""
+)
+def config_buckets(spark, d):
+    """Means by configuration and the ledger's bucket."""
+    p = plan(spark, d)
+    ranked = p.dense.select(F.lit("dense-only").alias("config"), "query_id", "id", "rank").unionByName(p.words.select(F.lit("lexical-only").alias("config"), "query_id", "id", "rank"))
+    ledger = spark.createDataFrame([(q, "odd" if q % 2 else "even") for q, *_ in BATCH], "query_id int, bucket string")
+    m = evaluate.by_bucket(evaluate.metrics(ranked, _judged(spark, d), keys=("config", "query_id")), ledger, ("recall", "reciprocal_rank"))
+    return m.select("config", "bucket", "n", *(F.round(c, 9).alias(c) for c in ("recall", "reciprocal_rank")))
+
+
+STAGE_OF = "CASE event_id % 9 WHEN 0 THEN 'dense' WHEN 1 THEN 'lexical' WHEN 2 THEN 'exact' WHEN 3 THEN 'fused' WHEN 4 THEN 'temporal' WHEN 5 THEN 'dedup' WHEN 6 THEN 'final' WHEN 7 THEN 'other' END"
+SCORE_OF = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END"
+
+
+@register(
+    f"""WITH t AS (SELECT event_id, {STAGE_OF} AS stage, event_id % 5 AS rank, {SCORE_OF} AS score FROM events)
+    SELECT event_id FROM t WHERE stage IS NULL OR stage = 'other' OR rank < 1 OR score IS NULL OR NOT isfinite(score)"""
+)
+def trace_contract(spark, d):
+    """Events with an unknown stage, a rank under 1 or a score that is no number."""
+    rows = table(spark, d, "events").select("event_id", F.expr(STAGE_OF).alias("stage"), (F.col("event_id") % 5).alias("rank"), F.expr(SCORE_OF).alias("score"))
+    return evaluate.check_trace(rows).select("event_id")
+
+
+@register(
+    """SELECT doc_id % 50 AS query_id, doc_id AS rank, doc_id % 5 <> 0 AS is_traced FROM documents WHERE (doc_id % 5 = 0 AND text IS NOT NULL) OR (doc_id % 5 <> 0 AND doc_id % 7 = 0 AND text IS NOT NULL)"""
+)
+def trace_consistency(spark, d):
+    """Places where the returned and the traced contents differ."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("place"), F.col("text").alias("content"))
+    other = F.when(F.col("place") % 7 == 0, F.concat(F.lit("other "), "content")).otherwise(F.col("content"))
+    traced = rows.where("place % 5 <> 0").select("query_id", F.col("place").alias("rank"), other.alias("content"))
+    return evaluate.consistent(rows, traced).select("query_id", "rank", F.col("traced").isNotNull().alias("is_traced"))
+
+
+@register(
+    """SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 2 = 0 AND turn % 3 <> 0 THEN concat_ws(' ', role || ' said', text) ELSE text END, '\\s+', ' ', 'g')) AS query FROM conversations"""
+)
+def canonical_queries(spark, d):
+    """The conversation before a query, white space squeezed."""
+    none = F.expr("cast(array() as array<string>)")
+    context = F.when(F.col("turn") % 3 != 0, F.array("role", F.lit("said"))).otherwise(none)
+    kind = F.when(F.col("turn") % 2 == 0, "multi_turn").otherwise("single")
+    return table(spark, d, "conversations").select("conv_id", "turn", evaluate.canonical_query(kind, context, F.col("text")).alias("query"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 > 0 THEN 'false_return' ELSE 'correct_empty' END WHEN doc_id % 3 = 0 THEN 'missed' ELSE 'answered' END AS label FROM documents")
+def evidence_labels(spark, d):
+    """Whether anything should and did come back."""
+    return table(spark, d, "documents").select("doc_id", evaluate.no_evidence(F.col("doc_id") % 3, F.col("doc_id") % 2 == 0).alias("label"))
+
+
+@register("SELECT 'tune and holdout' AS pair, true AS isolated UNION ALL SELECT 'documents and labels', NOT EXISTS (SELECT 1 FROM documents JOIN labels USING (doc_id))")
+def split_isolation(spark, d):
+    """Whether two sets share a key."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("bucket"))
+    own = evaluate.split(docs, {"en": 20, "de": 5})
+    other = table(spark, d, "labels").select(F.col("doc_id").alias("query_id"))
+    pairs = (("tune and holdout", own.where("split = 'tune'"), own.where("split = 'holdout'")), ("documents and labels", docs, other))
+    return spark.createDataFrame([(name, evaluate.isolated(a, b)) for name, a, b in pairs], "pair string, isolated boolean")
+
+
 @register(
     """WITH q AS (SELECT doc_id AS query_id, lang AS bucket FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY query_id) AS r, count(*) OVER (PARTITION BY bucket) AS c FROM q)
     SELECT query_id, bucket, CASE WHEN r <= c - CASE bucket WHEN 'en' THEN 20 WHEN 'de' THEN 5 ELSE 0 END THEN 'tune' ELSE 'holdout' END AS split FROM n"""
 )
 def split_assign(spark, d):
-    """Mechanical split by bucket."""
+    """Mechanical split by bucket."""
     return evaluate.split(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("bucket")), {"en": 20, "de": 5})
 
 
@@ -689,7 +824,7 @@ def replay_lookup(spark, d):
     """SELECT event_id, epoch_us(date_trunc('second', ts)) AS iso, epoch_us(ts) // 1000 * 1000 AS millis, (epoch_us(ts) // 1000000) * 1000000 AS seconds, NULL::BIGINT AS bad FROM events"""
 )
 def timestamp_forms(spark, d):
-    """ISO text, milliseconds and seconds as one time."""
+    """ISO text, milliseconds and seconds as one time."""
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
     ms = F.unix_millis("t").cast("string")
     return e.select(
