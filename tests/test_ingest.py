@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import re
 import sqlite3
 from datetime import UTC, datetime
 
@@ -277,6 +278,52 @@ def test_command_line(spark, root, monkeypatch):
     assert "embedder" in run("privacy", "providers")[1] and run("ingest", "chat")[2].startswith("error[source_not_configured]")
 
 
+def test_search_with_stored_vectors(spark, root, monkeypatch):
+    from tidemark.functions.vector import replay_key
+
+    texts = [("document", "[user] the ferry leaves at nine", [1.0, 0.0]), ("query", "ferry", [1.0, 0.0])]
+    keys = spark.createDataFrame(texts, "kind string, t string, embedding array<float>").select(replay_key(F.lit("m"), F.lit("r"), "kind", "t").alias("key"), "embedding")
+    keys.write.parquet(str(root / "vectors"))
+    write(root / "one" / "u7.jsonl", message("user", "the ferry leaves at nine"))
+    for k, v in {"EMBEDDING_MODEL": "m", "EMBEDDING_REVISION": "r", "EMBEDDING_DIM": "2", "SESSIONS_ROOT": str(root / "one")}.items():
+        monkeypatch.setenv("TIDEMARK_" + k, v)
+
+    def run(*args):
+        out, err = io.StringIO(), io.StringIO()
+        return cli.main(["--warehouse", str(root / "cli2"), *args], out, err, spark), out.getvalue(), err.getvalue()
+
+    run("migrate")
+    assert run("ingest", "sessions")[0] == 2  # no table of vectors is named
+    monkeypatch.setenv("TIDEMARK_EMBEDDING_TABLE", str(root / "vectors"))
+    assert "done=1" in run("ingest", "sessions")[1]
+    assert run("query", "ferry")[1].startswith("#1 score=") and "embedding_unavailable" in run("query", "boat")[2]
+    other = Store(spark, str(root / "cli2"))
+    assert other.lock("writer") and run("ingest", "sessions")[::2] == (1, "error[ingest_locked]: another run holds the lock\n")
+    own = Store(spark, str(root / "cli2"))
+    own.unlock("writer")  # not its own
+    assert not own.lock("writer") and own.lock("writer", -1)  # a lock that is too old is taken over
+    other.unlock("writer")
+    assert not Store(spark, str(root / "cli2")).lock("writer")
+    own.unlock("writer")
+    state = own.table("ingestion_state")
+    own.commit("ingestion_state", state.unionByName(state.withColumn("file_path", F.lit("store://u7"))))
+    assert "scope_conflict" in run("privacy", "delete", "--scope", "sessions", "--confirm")[2] and own.table("session_chunks").count() == 1
+    assert "source_not_configured" in run("privacy", "delete", "--scope", "chat")[2]
+
+
+def test_long_session_is_cut_like_a_short_one(spark):
+    words = [f"w{k}" for k in range(5000)]
+    items = [" ".join(words[a:b]) for a, b in ((0, 1), (1, 900), (900, 903), (903, 4990), (4990, 5000))]
+    rows = spark.createDataFrame([(None, x, None, k) for k, x in enumerate(items)], "session_id string, item string, ts timestamp, turn_index int")
+    got = chunking.chunk(rows, ["session_id"]).orderBy("chunk_no").collect()
+    text, joined = "\n".join(items), ""
+    tokens = re.findall(r"\s*\S+", text)
+    for k, r in enumerate(got):
+        assert r.content == "".join(tokens[320 * k : 320 * k + 400]) and (r.token_start, r.token_end) == (320 * k, min(320 * k + 400, 5000))
+        joined += r.content if k == 0 else "".join(tokens[320 * k + 80 : r.token_end])
+    assert joined == text and [(r.turn_index_start, r.turn_index_end) for r in got][:4] == [(0, 1), (1, 1), (1, 3), (3, 3)]
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.toml"
     f.write_text('warehouse = "from-file"\nchunk_tokens = 100\n')

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from . import config, session
-from .errors import CodedError
+from .embedding import query_embedder, stored_vectors
+from .errors import CodedError, ConfigError, IngestError
 from .functions.vector import hashed_local
 from .ingest import Run
 from .operators import lifecycle
@@ -17,6 +20,13 @@ from .plans.search import search_page
 from .store import Store
 
 
+def _root(path: str) -> str:
+    """A source folder as checkpoints name it."""
+    if path.startswith("file:"):
+        return "file:/" + path[5:].lstrip("/")
+    return path if "://" in path else "file:" + os.path.abspath(path)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark")
     p.add_argument("--config")
@@ -50,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _query(args, settings, store, out, err) -> None:
     filters = SearchFilters.of(source_types=args.source_type, session_ids=args.session_id, time_from=args.time_from, time_to=args.time_to)
-    embed = (lambda t: hashed_local(t, settings.embedding_dim)) if settings.embedding_provider == "hashed" else None
+    embed = (lambda t: hashed_local(t, settings.embedding_dim)) if settings.embedding_provider == "hashed" else query_embedder(store.spark, settings)
     page = search_page(store.table("session_chunks"), args.text, embed, args.limit, args.offset, filters=filters, explain=args.explain, model=settings.embedding_model, dim=settings.embedding_dim)
     for n, r in enumerate(page.results, start=args.offset + 1):
         text = r.content if len(r.content) <= 500 else r.content[:500] + "..."
@@ -65,13 +75,19 @@ def _query(args, settings, store, out, err) -> None:
         print(f"more from offset {page.next_offset}", file=out)
 
 
-def _privacy(args, store, out) -> None:
+def _privacy(args, settings, store, out) -> None:
     bound = lifecycle.bindings(store.table("ingestion_state"))
     if args.action == "providers":
         for r in lifecycle.disclosures(store.spark).collect():
             print(f"{r.component}: {r.provider}{' (local)' if r.local_only else ''}", file=out)
         return
-    own = lifecycle.resolve(bound, args.scope)
+    places = {"sessions": settings.sessions_root, "chat": settings.chat_root, "store": settings.store_path}
+    if args.scope != "all" and not places[args.scope]:
+        settings.source(args.scope)  # says that it is not configured
+    if args.scope == "all" and not any(places.values()):
+        raise ConfigError("no source is configured", code="source_not_configured")
+    roots = tuple(_root(r) for r in (settings.sessions_root, settings.chat_root) if r)
+    own = lifecycle.resolve(bound, args.scope, roots)
     if args.action == "retention":
         for r in lifecycle.retention_report(own, F.current_timestamp()).collect():
             print(f"{r.scope}: {r.n} bindings, {r.expired} expired after {r.retention_days} days", file=out)
@@ -80,8 +96,10 @@ def _privacy(args, store, out) -> None:
     if args.older_than is not None:
         sessions = lifecycle.old_enough(own, F.current_timestamp(), args.older_than)
     if args.action == "export":
+        lifecycle.require_unclaimed(bound, args.scope)
         print(lifecycle.write_export(lifecycle.export_rows(store.table("session_chunks"), sessions), args.dest, confirm=args.confirm), file=out)
         return
+    lifecycle.require_unclaimed(bound, args.scope)
     tables = {n: store.table(n) for n in ("session_chunks", "session_facts")}
     kept, counts = lifecycle.delete(tables, sessions)
     for r in counts.collect():
@@ -90,8 +108,20 @@ def _privacy(args, store, out) -> None:
         store.require_current()
         gone = own.join(sessions.distinct(), "session_id", "left_semi").select("file_path")
         state = store.table("ingestion_state").join(gone.distinct(), "file_path", "left_anti")
-        for name, rows in [*kept.items(), ("ingestion_state", state)]:
-            store.commit(name, rows)
+        with _writer(store):
+            for name, rows in [*kept.items(), ("ingestion_state", state)]:
+                store.commit(name, rows)
+
+
+@contextmanager
+def _writer(store):
+    """One writer at a time in a store, whatever its source: all of them replace the same tables."""
+    if not store.lock("writer"):
+        raise IngestError("another run holds the lock", code="ingest_locked")
+    try:
+        yield
+    finally:
+        store.unlock("writer")
 
 
 def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
@@ -107,24 +137,21 @@ def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
             print(store.health(), file=out)
         elif args.command == "ingest":
             store.require_current()
-            if not store.lock(args.source):
-                print("error[ingest_locked]: another run holds the lock", file=err)
-                return 1
-            try:
-                stored = spark.read.parquet(settings.embedding_table) if settings.embedding_table else None
-                counters = getattr(Run(spark, store, settings, stored), args.source)(force=args.force, dry_run=args.dry_run)
+            with _writer(store):
+                counters = getattr(Run(spark, store, settings, stored_vectors(spark, settings)), args.source)(force=args.force, dry_run=args.dry_run)
                 print(*(f"{k}={v}" for k, v in counters.items()), file=out)
-            finally:
-                store.unlock(args.source)
         elif args.command == "query":
             _query(args, settings, store, out, err)
         elif args.command == "privacy":
-            _privacy(args, store, out)
+            _privacy(args, settings, store, out)
         elif args.command == "backup":
             print(store.backup(args.path)["digest"], file=out)
         else:
             print(store.restore(args.path)["digest"], file=out)
         return 0
+    except IngestError as e:
+        print(f"error[{e.code}]: {e}", file=err)
+        return 1 if e.code == "ingest_locked" else 2
     except CodedError as e:
         print(f"error[{e.code}]: {e}", file=err)
         return 2

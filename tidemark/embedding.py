@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .errors import ReplayError
+from .errors import ConfigError, QueryError, ReplayError
 from .functions import vector
 from .schema import MAX_EMBED_CHARS
 
@@ -62,6 +62,32 @@ def read_replay(spark, manifest_path: str, vectors_path: str, settings: Settings
     return check_replay(manifest, spark.read.schema("key string, embedding array<float>").json(vectors_path), settings, joined)
 
 
+def stored_vectors(spark, settings: Settings) -> DataFrame | None:
+    """The (key, embedding) rows of the configured provider; none where vectors are computed."""
+    if settings.embedding_provider == "replay":
+        if not settings.replay_manifest or not settings.replay_vectors:
+            raise ReplayError("no replay set is configured", code="replay_manifest_invalid")
+        return read_replay(spark, settings.replay_manifest, settings.replay_vectors, settings)
+    if settings.embedding_provider == "table":
+        if not settings.embedding_table:
+            raise ConfigError("embedding_table is not set", code="invalid_config_value")
+        return spark.read.parquet(settings.embedding_table)
+    return None
+
+
+def query_embedder(spark, settings: Settings) -> Callable[[str], list[float]]:
+    """From a query's text to its vector, by the configured provider; a text without one is an error."""
+
+    def run(text: str) -> list[float]:
+        rows = embed(spark.createDataFrame([(text,)], "content string"), settings, stored_vectors(spark, settings), "query")
+        vector = rows.select("embedding").first().embedding
+        if vector is None:
+            raise QueryError("no vector is stored for this text", code="embedding_unavailable")
+        return [float(x) for x in vector]
+
+    return run
+
+
 def require_vectors(rows: DataFrame) -> DataFrame:
     """Fail the query at the first row without a vector."""
     return rows.where(F.when(F.col("embedding").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("replay_vector_missing")).cast("boolean")))

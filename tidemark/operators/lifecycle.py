@@ -51,6 +51,14 @@ def conflicts(bound: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def require_unclaimed(bound: DataFrame, scope: str) -> None:
+    """Refuse a scope whose sessions or paths another scope claims too."""
+    own = bound if scope == "all" else bound.where(F.col("scope") == scope)
+    keys = own.select(F.explode(F.array("session_id", "file_path")).alias("key")).distinct()
+    if not conflicts(bound).join(keys, "key", "left_semi").isEmpty():
+        raise PrivacyError("a session or path belongs to several scopes", code="scope_conflict")
+
+
 def old_enough(bound: DataFrame, now: Column, days: int) -> DataFrame:
     """Sessions all of whose bindings are older than ``days``; an unknown time keeps a session."""
     if isinstance(days, bool) or not isinstance(days, int) or days < 0:

@@ -9,6 +9,7 @@ Hadoop file system of the path, local or remote.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from hashlib import sha256
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from .errors import MigrationError, SnapshotError
 from .schema import TABLES
 
+#: A run that holds a lock for longer is taken for dead.
+LOCK_SECONDS = 24 * 3600.0
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -68,11 +72,26 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def age(self, name: str) -> float | None:
+        """Seconds since a file was written; none if it is gone."""
+        try:
+            return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Exception:
+            return None
+
+    def move(self, name: str, to: str) -> bool:
+        """Rename a file; false if another has moved it first."""
+        try:
+            return bool(self.fs.rename(self._path(name), self._path(to)))
+        except Exception:
+            return False
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
         self.root = root.rstrip("/")
+        self.owned: dict[str, str] = {}
 
     # -- tables --
 
@@ -105,11 +124,27 @@ class Store:
 
     # -- a single writer --
 
-    def lock(self, source: str) -> bool:
-        return self.files.create(f"_locks/{source}")
+    def lock(self, name: str, ttl_seconds: float = LOCK_SECONDS) -> bool:
+        """Take a lock; false if another holds it. A lock older than ``ttl_seconds`` was left by a run that died.
 
-    def unlock(self, source: str) -> None:
-        self.files.delete(f"_locks/{source}")
+        Its text names the owner. A stale lock is renamed away first, which one of
+        several contenders can do.
+        """
+        path = f"_locks/{name}"
+        if self.files.create(path):
+            self.owned[name] = uuid.uuid4().hex
+            self.files.write(path, json.dumps({"owner": self.owned[name]}))
+            return True
+        age = self.files.age(path)
+        if age is not None and age > ttl_seconds and self.files.move(path, f"_locks/.stale-{uuid.uuid4().hex}"):
+            return self.lock(name, ttl_seconds)
+        return False
+
+    def unlock(self, name: str) -> None:
+        """Give a lock back; one that another run has taken over stays."""
+        path, own = f"_locks/{name}", self.owned.pop(name, None)
+        if own and self.files.exists(path) and own in self.files.read(path):
+            self.files.delete(path)
 
     # -- schema ledger --
 
