@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import cli, config
 from tidemark.embedding import call_batches, check_replay, embed
-from tidemark.errors import ConfigError, IngestError, MigrationError, PrivacyError, ReplayError, SnapshotError
+from tidemark.errors import ConfigError, EvaluationError, IngestError, MigrationError, PrivacyError, ReplayError, SnapshotError
 from tidemark.ingest import Run
-from tidemark.operators import chunking, lifecycle, messages
+from tidemark.operators import chunking, lifecycle, messages, report
+from tidemark.schema import TABLES
 from tidemark.sources import evaluation, sessions, store
 from tidemark.store import Step, Store
 from tidemark.streaming import sessions as stream
@@ -124,6 +125,10 @@ def test_ingest_chat(spark, root, target):
     assert (r.session_id, r.source_type, r.channel) == ("chat-general", "chat", "general")
     assert r.content.split("\n") == ["[2024-01-02 00:00] Bo: first", "[2024-01-02 00:05] ann: second", "[2024-01-03 00:00] unknown: reply", "[bad time here ye] ann: [attachment: a.png] [embed: T]"]
     assert Run(spark, target, settings(root)).chat() == {"found": 0}
+    assert Run(spark, target, settings(root)).chat(force=True, file="general.jsonl")["done"] == 1
+    with pytest.raises(IngestError) as e:
+        Run(spark, target, settings(root)).chat(file="none.jsonl")
+    assert e.value.code == "chat_file_missing"
 
 
 @pytest.fixture
@@ -212,6 +217,7 @@ def test_lifecycle(spark, root, target):
     assert lifecycle.write_export(rows, dest) == "dry_run" and not os.path.exists(dest)
     assert [lifecycle.write_export(rows, dest, confirm=True) for _ in range(2)] == ["exported", "already_exported"]
     data = json.load(open(dest))
+    assert all(set(r) == set(lifecycle.EXPORTED["chunk"]) and r["kind"] == "chunk" for r in data)
     assert len(data) == 3 and len(data[0]["session"]) == 16 and oct(os.stat(dest).st_mode)[-3:] == "600" and "a@b.org" not in open(dest).read()
     for path, code in ((str(root / "no" / "x.json"), "export_dest_missing_parent"), (dest, "export_dest_content_mismatch")):
         with pytest.raises(PrivacyError) as e:
@@ -219,8 +225,57 @@ def test_lifecycle(spark, root, target):
         assert e.value.code == code
     now = F.lit(datetime(2030, 1, 1))
     assert lifecycle.old_enough(bound, now, 90).count() == 5 and lifecycle.old_enough(bound, now, 9000).isEmpty()
-    report = lifecycle.retention_report(bound, now).first()
-    assert (report.n, report.expired, report.retention_days) == (5, 5, 90)
+    ages = lifecycle.retention_report(bound, now).first()
+    assert (ages.n, ages.expired, ages.retention_days) == (5, 5, 90)
+    assert lifecycle.retention_report(bound, now, {"sessions": 9000}).first().expired == 0
+
+
+def test_export_holds_facts_after_chunks(spark, tmp_path):
+    at = [datetime(2024, 1, k) for k in (1, 2, 3)]
+    chunks = spark.createDataFrame([("c2", "s", "chat", "later", at[1], None), ("c1", "s", "chat", "sooner a@b.org", at[0], None), ("c3", "t", "chat", "other", at[0], None), ("c0", "s", "chat", "no time", None, None)], "id string, session_id string, source_type string, content string, timestamp_start timestamp, metadata string")
+    facts = spark.createDataFrame([("f1", "s", "b", "x", at[0], "sum", '{"k": "a@b.org"}'), ("f2", "s", "a", "y", at[2], None, None), ("f3", "t", "a", "z", at[0], None, None)], "id string, session_id string, category string, content string, timestamp timestamp, task_summary string, metadata string")
+    own = spark.createDataFrame([("s",), ("s",)], "session_id string")
+    dest = str(tmp_path / "out.json")
+    assert lifecycle.write_export(lifecycle.export_rows(chunks, own, facts), dest, confirm=True) == "exported"
+    data = json.load(open(dest))
+    assert [(r["kind"], r["content"].split(" ")[0], r.get("category")) for r in data] == [("chunk", "sooner", None), ("chunk", "later", None), ("chunk", "no", None), ("fact", "y", "a"), ("fact", "x", "b")]
+    assert all(set(r) == set(lifecycle.EXPORTED[r["kind"]]) for r in data) and "a@b.org" not in open(dest).read()
+
+
+def test_commits_touch_only_folders_that_hold_replaced_rows(spark, tmp_path, monkeypatch):
+    own = Store(spark, str(tmp_path / "w"))
+    own.migrate()
+
+    def rows(*pairs):
+        return spark.createDataFrame(pairs, "session_id string, content string").select(*((F.col(f.name) if f.name in ("session_id", "content") else F.lit(None).cast(f.dataType)).alias(f.name) for f in TABLES["session_chunks"].fields))
+
+    def stored():
+        return sorted((r.session_id or "", r.content) for r in own.table("session_chunks").collect())
+
+    own.publish({"session_chunks": own.replaced("session_chunks", rows(("a", "1"), ("b", "1"), (None, "n")), "session_id")})
+    first = own.current()["session_chunks"]
+    own.publish({"session_chunks": own.replaced("session_chunks", rows(("c", "1")), "session_id")})
+    assert own.current()["session_chunks"][: len(first)] == first  # a new session leaves the others' folders alone
+    own.publish({"session_chunks": own.added("session_chunks", rows(("c", "2")))})
+    before = own.current()["session_chunks"]
+    folders = own.replaced("session_chunks", rows(("c", "3"), ("c", "4")), "session_id")
+    assert own.current()["session_chunks"] == before and ("c", "3") not in stored()  # not published yet
+    own.publish({"session_chunks": folders})
+    assert stored() == [("", "n"), ("a", "1"), ("b", "1"), ("c", "3"), ("c", "4")] and first[-1] in folders
+    own.publish({"session_chunks": own.removed("session_chunks", spark.createDataFrame([("a",), ("zz",)], "session_id string"), "session_id")})
+    assert stored() == [("", "n"), ("b", "1"), ("c", "3"), ("c", "4")]
+    monkeypatch.setattr("tidemark.store.MAX_FOLDERS", 3)
+    for k in range(4):
+        own.publish({"session_chunks": own.added("session_chunks", rows((f"x{k}", "1")))})
+    assert len(own.current()["session_chunks"]) < 3 and len(stored()) == 8
+    assert own.vacuum("session_chunks") and len(stored()) == 8
+
+
+def test_a_report_leaves_no_row_out(spark):
+    assert len(report.rows_of(spark.range(5), limit=5)) == 5
+    with pytest.raises(EvaluationError) as e:
+        report.rows_of(spark.range(6), limit=5)
+    assert e.value.code == "report_too_large"
 
 
 def test_store_versions_and_snapshots(spark, root, target):

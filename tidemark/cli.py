@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("health")
     i = sub.add_parser("ingest")
     i.add_argument("source", choices=["sessions", "chat", "store"])
+    i.add_argument("--file", help="one chat file")
     i.add_argument("--force", action="store_true")
     i.add_argument("--dry-run", action="store_true")
     q = sub.add_parser("query")
@@ -61,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
 def _query(args, settings, store, out, err) -> None:
     filters = SearchFilters.of(source_types=args.source_type, session_ids=args.session_id, time_from=args.time_from, time_to=args.time_to)
     embed = (lambda t: hashed_local(t, settings.embedding_dim)) if settings.embedding_provider == "hashed" else query_embedder(store.spark, settings)
-    page = search_page(store.table("session_chunks"), args.text, embed, args.limit, args.offset, filters=filters, explain=args.explain, model=settings.embedding_model, dim=settings.embedding_dim)
+    page = search_page(store.table("session_chunks"), args.text, embed, args.limit, args.offset, filters=filters, explain=args.explain, model=settings.embedding_model, dim=settings.embedding_dim, trigram_threshold=settings.trigram_threshold)
     for n, r in enumerate(page.results, start=args.offset + 1):
         text = r.content if len(r.content) <= 500 else r.content[:500] + "..."
         print(f"#{n} score={r.score:.4f} session={r.session_id} source={r.source_type} time={r.timestamp_start}\n{text}\n", file=out)
@@ -89,7 +90,8 @@ def _privacy(args, settings, store, out) -> None:
     roots = tuple(_root(r) for r in (settings.sessions_root, settings.chat_root) if r)
     own = lifecycle.resolve(bound, args.scope, roots)
     if args.action == "retention":
-        for r in lifecycle.retention_report(own, F.current_timestamp()).collect():
+        days = {"sessions": settings.retention_sessions, "store": settings.retention_store, "chat": settings.retention_chat}
+        for r in lifecycle.retention_report(own, F.current_timestamp(), days).collect():
             print(f"{r.scope}: {r.n} bindings, {r.expired} expired after {r.retention_days} days", file=out)
         return
     sessions = own.select("session_id")
@@ -97,20 +99,19 @@ def _privacy(args, settings, store, out) -> None:
         sessions = lifecycle.old_enough(own, F.current_timestamp(), args.older_than)
     if args.action == "export":
         lifecycle.require_unclaimed(bound, args.scope)
-        print(lifecycle.write_export(lifecycle.export_rows(store.table("session_chunks"), sessions), args.dest, confirm=args.confirm), file=out)
+        print(lifecycle.write_export(lifecycle.export_rows(store.table("session_chunks"), sessions, store.table("session_facts")), args.dest, confirm=args.confirm), file=out)
         return
     lifecycle.require_unclaimed(bound, args.scope)
     tables = {n: store.table(n) for n in ("session_chunks", "session_facts")}
-    kept, counts = lifecycle.delete(tables, sessions)
+    _, counts = lifecycle.delete(tables, sessions)
     for r in counts.collect():
         print(f"{r.table}: {'deleted' if args.confirm else 'would delete'} {r.would_delete}", file=out)
     if args.confirm:
         store.require_current()
         gone = own.join(sessions.distinct(), "session_id", "left_semi").select("file_path")
-        state = store.table("ingestion_state").join(gone.distinct(), "file_path", "left_anti")
         with _writer(store):
-            for name, rows in [*kept.items(), ("ingestion_state", state)]:
-                store.commit(name, rows)
+            folders = {name: store.removed(name, sessions, "session_id") for name in tables}
+            store.publish(folders | {"ingestion_state": store.removed("ingestion_state", gone, "file_path")})
 
 
 @contextmanager
@@ -138,7 +139,10 @@ def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
         elif args.command == "ingest":
             store.require_current()
             with _writer(store):
-                counters = getattr(Run(spark, store, settings, stored_vectors(spark, settings)), args.source)(force=args.force, dry_run=args.dry_run)
+                if args.file and args.source != "chat":
+                    raise ConfigError("only chat has files to choose from", code="invalid_config_value")
+                chosen = {"file": args.file} if args.file else {}
+                counters = getattr(Run(spark, store, settings, stored_vectors(spark, settings)), args.source)(force=args.force, dry_run=args.dry_run, **chosen)
                 print(*(f"{k}={v}" for k, v in counters.items()), file=out)
         elif args.command == "query":
             _query(args, settings, store, out, err)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,10 +157,15 @@ def minimize(value: str) -> str:
     return value
 
 
-def audit_matches(text: Column | str) -> Column:
-    """First match of each category that occurs: array<struct<category, match>>."""
+def audit_matches(text: Column | str, private_folders: tuple[str, ...] = ()) -> Column:
+    """First match of each category that occurs: array<struct<category, match>>.
+
+    ``private_folders``: further folders of a home (``.name``) whose paths are a ``host_path``.
+    """
     text = _col(text)
-    found = [F.struct(F.lit(name).alias("category"), F.regexp_substr(text, F.lit(pattern)).alias("match")) for name, pattern in AUDIT.items()]
+    more = "".join(re.escape(x) + "|" for x in private_folders)
+    patterns = AUDIT | {"host_path": AUDIT["host_path"].replace("~/(?:", "~/(?:" + more)}
+    found = [F.struct(F.lit(name).alias("category"), F.regexp_substr(text, F.lit(pattern)).alias("match")) for name, pattern in patterns.items()]
     return F.filter(F.array(*found), lambda x: x["match"].isNotNull())
 
 

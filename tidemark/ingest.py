@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +56,14 @@ class Run:
         counters = incremental.run_counters(status.withColumn("chunks", F.when(F.col("status") == "done", F.col("chunks")).otherwise(0))).first().asDict()
         if dry_run:
             return counters
-        old = self.target.table("session_chunks")
-        self.target.commit("session_chunks", incremental.replace_sessions(old, ready) if replace else incremental.append_rows(old, ready))
         marks = status.select(
             "file_path", "file_mtime", "file_size", F.col("offset").alias("processed_offset"), F.lit(self.now).alias("processed_at"),
             F.when(F.col("status").isin("cron", "empty"), F.col("status")).otherwise(F.col("source_type")).alias("source_type"),
             F.coalesce("chunks", F.lit(0)).cast("int").alias("chunks_created"), F.lit(0).alias("facts_created"), "partial",
         )
-        self.target.commit("ingestion_state", incremental.upsert_checkpoints(self.target.table("ingestion_state"), marks))
+        folders = self.target.replaced("session_chunks", ready, "session_id") if replace else self.target.added("session_chunks", ready)
+        state = self.target.write("ingestion_state", incremental.upsert_checkpoints(self.target.table("ingestion_state"), marks))
+        self.target.publish({"session_chunks": folders, "ingestion_state": [state]})  # rows and checkpoints at once
         return counters
 
     def sessions(self, *, force: bool = False, dry_run: bool = False) -> dict:
@@ -81,10 +82,15 @@ class Run:
         kind = done.select("session_id", "source_type", F.col("file_mtime").alias("mtime")).dropDuplicates(["session_id"])
         return self._finish(to_rows(cut, kind, F.coalesce("source_type", F.lit("main_user"))), done, dry_run)
 
-    def chat(self, *, force: bool = False, dry_run: bool = False) -> dict:
+    def chat(self, *, force: bool = False, dry_run: bool = False, file: str | None = None) -> dict:
+        """All chat files, or the one that ``file`` names."""
         root = self.settings.source("chat")
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(root)
         found = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        if file is not None:
+            found = found.where(F.col("name") == os.path.basename(file))
+            if found.isEmpty():
+                raise IngestError("no such chat file", code="chat_file_missing")
         files = self._files(root, found, force)
         paths = [r.file_path for r in files.select("file_path").collect()]
         if not paths:
@@ -121,5 +127,5 @@ class Run:
             left = store.visible_messages(all_messages).select("session_id").distinct()
             empty = store.read_table(self.spark, path, "sessions").select(F.col("id").alias("session_id")).join(left, "session_id", "left_anti")
             if not empty.isEmpty():
-                self.target.commit("session_chunks", incremental.purge(self.target.table("session_chunks"), empty))
+                self.target.publish({"session_chunks": self.target.removed("session_chunks", empty, "session_id")})
         return totals or {"found": 0}

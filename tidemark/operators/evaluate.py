@@ -73,14 +73,19 @@ def cold_and_warm(rows: DataFrame, order: str, *by: str) -> DataFrame:
 
 
 def duplicate_groups(chunks: DataFrame) -> DataFrame:
-    """Contents stored more than once and their rows."""
-    return chunks.groupBy("content").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+    """``g, id, n, first``: the rows of contents stored more than once, the digest of
+    the content, the number of its rows and the first of them.
+
+    A group is as many rows, so none is gathered in one; contents themselves are not shuffled.
+    """
+    rows = chunks.select(F.coalesce(F.sha2("content", 256), F.lit("")).alias("g"), "id").distinct()
+    size = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    return rows.join(size, "g")
 
 
 def duplicate_rate(ranked: DataFrame, groups: DataFrame) -> DataFrame:
-    """Share of each ranking that repeats a group already present."""
-    flat = groups.select(F.monotonically_increasing_id().alias("g"), F.explode("ids").alias("id")) if "g" not in groups.columns else groups.select("g", F.explode("ids").alias("id"))
-    per = ranked.join(flat, "id").groupBy("query_id", "g").agg(F.count("*").alias("h"))
+    """Share of each ranking that repeats a group already present (groups: g, id)."""
+    per = ranked.join(groups.select("g", "id"), "id").groupBy("query_id", "g").agg(F.count("*").alias("h"))
     extra = per.groupBy("query_id").agg(F.sum(F.greatest(F.col("h") - 1, F.lit(0))).alias("extra"), F.count("*").alias("groups_hit"))
     size = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
     return size.join(extra, "query_id", "left").select("query_id", "n", F.coalesce("groups_hit", F.lit(0)).alias("groups_hit"), F.coalesce("extra", F.lit(0)).alias("redundant"), (F.coalesce("extra", F.lit(0)) / F.col("n")).alias("rate"))

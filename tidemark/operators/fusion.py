@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
 from ..functions.times import decay
-from ..functions.vector import cosine
+from ..functions.vector import cosine, norm
 from ..schema import RRF_K, SAME_CONTENT_COSINE
 
 
@@ -43,12 +44,18 @@ def dedup(rows: DataFrame, threshold: float = SAME_CONTENT_COSINE) -> DataFrame:
     source and a cosine over the threshold.
 
     A row can only be dropped by one of its own group, so the walk in rank order
-    is a fold over each group's rows (a pool's worth at most). Rows without a
-    vector are kept and drop nothing.
+    is a fold over each group's rows (a pool's worth at most). Of equal vectors
+    the first alone takes part: it is kept or dropped, and the others are dropped
+    in either case. Rows without a vector, or with one of no length, are kept and
+    drop nothing. ``threshold`` is at least 0 and under 1.
     """
+    if not 0 <= threshold < 1 - 1e-9:
+        raise QueryError("the threshold is from 0 to under 1", code="invalid_threshold")
     group = ["query_id", "content", "session_id", "source_type"]
+    rows = rows.withColumn("_free", F.coalesce(norm("embedding") == 0, F.lit(True)))
     vectors = F.col("embedding").cast("array<double>")
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "id", vectors.alias("e")))).alias("own"))
+    firsts = rows.where(~F.col("_free")).groupBy(*group, vectors.alias("e")).agg(F.min(F.struct("rank", "id")).alias("at"))
+    listed = firsts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at.rank", "at.id", "e"))).alias("own"))
     empty = F.expr("cast(array() as array<struct<rank: bigint, id: string, e: array<double>>>)")
 
     def step(kept: Column, x: Column) -> Column:
@@ -56,8 +63,8 @@ def dedup(rows: DataFrame, threshold: float = SAME_CONTENT_COSINE) -> DataFrame:
         return F.when(twin, kept).otherwise(F.concat(kept, F.array(x)))
 
     keep = listed.withColumn("kept_ids", F.transform(F.aggregate("own", empty, step), lambda x: x["id"]))
-    flat = keep.select("query_id", F.explode("own").alias("x"), "kept_ids").select("query_id", F.col("x.id").alias("id"), F.array_contains("kept_ids", F.col("x.id")).alias("kept"))
-    return rows.join(flat, ["query_id", "id"])
+    flat = keep.select("query_id", F.explode("kept_ids").alias("id"), F.lit(True).alias("_kept"))
+    return rows.join(flat, ["query_id", "id"], "left").withColumn("kept", F.col("_free") | F.coalesce("_kept", F.lit(False))).drop("_free", "_kept")
 
 
 def cut(rows: DataFrame, window: Column | int) -> DataFrame:

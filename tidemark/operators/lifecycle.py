@@ -78,15 +78,43 @@ def delete(tables: dict[str, DataFrame], sessions: DataFrame) -> tuple[dict[str,
     return kept, counts
 
 
-def export_rows(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Rows of a scope, redacted, the session hashed, in their export order."""
-    own = chunks.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
-    order = [F.col(c).asc_nulls_last() for c in ("session_id", "timestamp_start", "content", "id")]
-    return own.orderBy(*order).select(short_hash("session_id").alias("session"), "source_type", redact("content").alias("content"), "timestamp_start", redact_json("metadata").alias("metadata"))
+#: What an exported row of each kind holds (fixed values).
+EXPORTED = {
+    "chunk": ("kind", "session", "source_type", "content", "timestamp_start", "timestamp_end", "metadata"),
+    "fact": ("kind", "session", "category", "content", "timestamp", "task_summary", "metadata"),
+}
+
+
+def export_rows(chunks: DataFrame, sessions: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Rows of a scope, redacted, the session hashed, in their export order: chunks
+    by session, time, content and id, then facts by session, category, time, content and id.
+
+    A column that a kind does not have is null.
+    """
+    ids = sessions.select("session_id").distinct()
+    plain = ("source_type", "category", "task_summary")
+    columns = tuple(dict.fromkeys(c for kind in EXPORTED.values() for c in kind if c not in ("kind", "session")))
+
+    def part(rows: DataFrame, kind: str, at: str) -> DataFrame:
+        given = [c for c in EXPORTED[kind] if c in rows.columns]
+        own = rows.join(ids, "session_id", "left_semi")
+        values = {c: redact(c) if c in (*plain, "content") else redact_json(c) if c == "metadata" else F.col(c) for c in given}
+        types = {c: "timestamp" if c.startswith("timestamp") else "string" for c in columns}
+        return own.select(
+            F.lit(kind).alias("kind"), short_hash("session_id").alias("session"), *(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in columns),
+            F.struct(F.col("session_id"), (F.col("category") if kind == "fact" else F.lit(None)).cast("string").alias("category"), F.col(at).cast("timestamp").alias("at"), F.col("content"), F.col("id")).alias("_order"),
+        )
+
+    rows = part(chunks, "chunk", "timestamp_start")
+    if facts is not None:
+        rows = rows.unionByName(part(facts, "fact", "timestamp"))
+    order = [F.col(f"_order.{c}").asc_nulls_last() for c in ("session_id", "category", "at", "content", "id")]
+    return rows.orderBy("kind", *order).drop("_order")
 
 
 def write_export(rows: DataFrame, dest: str, *, confirm: bool = False) -> str:
     """Write rows as one JSON document: atomic, private, never over different content.
+    A row holds what its kind has.
 
     The result is one file on the driver by contract; rows arrive partition by
     partition.
@@ -103,7 +131,9 @@ def write_export(rows: DataFrame, dest: str, *, confirm: bool = False) -> str:
         with os.fdopen(fd, "w", encoding="utf-8") as out:
             out.write("[")
             for n, r in enumerate(rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-                out.write((",\n" if n else "\n") + json.dumps(json.loads(r.j), ensure_ascii=False, sort_keys=True))
+                row = json.loads(r.j)
+                own = {k: row[k] for k in EXPORTED.get(row.get("kind"), row)}
+                out.write((",\n" if n else "\n") + json.dumps(own, ensure_ascii=False, sort_keys=True))
             out.write("\n]\n")
             out.flush()
             os.fsync(out.fileno())
@@ -120,9 +150,9 @@ def write_export(rows: DataFrame, dest: str, *, confirm: bool = False) -> str:
             os.unlink(temp)
 
 
-def retention_report(bound: DataFrame, now: Column) -> DataFrame:
-    """Ages of each scope's bindings against its policy."""
-    policy = F.create_map(*(F.lit(x) for pair in RETENTION_DAYS.items() for x in pair))
+def retention_report(bound: DataFrame, now: Column, days: dict[str, int] | None = None) -> DataFrame:
+    """Ages of each scope's bindings against its policy (``RETENTION_DAYS`` where ``days`` does not say)."""
+    policy = F.create_map(*(F.lit(x) for pair in (RETENTION_DAYS | (days or {})).items() for x in pair))
     age = days_between(now, "processed_at")
     rows = bound.withColumn("age", age).withColumn("days", policy[F.col("scope")])
     return rows.groupBy("scope").agg(

@@ -13,12 +13,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EvaluationError
 from ..schema import CHUNKS
 
 
 def rows_of(df: DataFrame, limit: int = 10_000) -> list[dict]:
-    """An aggregate's rows as plain values."""
-    return [json.loads(x) for x in df.limit(limit).toJSON().collect()]
+    """An aggregate's rows as plain values. More rows than ``limit`` are an error: none is left out."""
+    found = df.limit(limit + 1).toJSON().collect()
+    if len(found) > limit:
+        raise EvaluationError(f"a part has more than {limit} rows", code="report_too_large")
+    return [json.loads(x) for x in found]
 
 
 def write_json(path: str, value) -> None:

@@ -617,7 +617,8 @@ def latency_percentiles(spark, d):
 @register(f"WITH {CHUNKS} SELECT content, count(*) AS n, min(id) AS first FROM chunks GROUP BY content HAVING count(DISTINCT id) > 1")
 def duplicate_groups(spark, d):
     """Contents stored several times."""
-    return evaluate.duplicate_groups(chunks(spark, d)).select("content", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
+    c = chunks(spark, d).select("id", "content")
+    return c.join(evaluate.duplicate_groups(c).where("id = first").select("id", "n", "first"), "id").select("content", "n", "first")
 
 
 @register(
@@ -628,8 +629,7 @@ def duplicate_groups(spark, d):
 def duplicate_rate(spark, d):
     """Repeated groups in rankings."""
     c = chunks(spark, d)
-    groups = evaluate.duplicate_groups(c).withColumn("g", F.xxhash64("content"))
-    return evaluate.duplicate_rate(c.select((F.col("doc_id") % 50).alias("query_id"), "id"), groups).withColumn("rate", F.round("rate", 9))
+    return evaluate.duplicate_rate(c.select((F.col("doc_id") % 50).alias("query_id"), "id"), evaluate.duplicate_groups(c)).withColumn("rate", F.round("rate", 9))
 
 
 @register(

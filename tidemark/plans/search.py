@@ -14,7 +14,7 @@ from ..functions.intent import recent
 from ..functions.vector import check_vector
 from ..operators import channels, fusion
 from ..operators.filters import SearchFilters, bounds, compatible, query_text
-from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR
+from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR, TRIGRAM_THRESHOLD
 
 BASE = ("session_id", "source_type", "timestamp_start", "created_at", "embedding_model")
 
@@ -62,6 +62,7 @@ class Search:
     dim: int = EMBED_DIM
     filters: SearchFilters = field(default_factory=SearchFilters)
     stages: Stages = field(default_factory=Stages)
+    trigram_threshold: float = TRIGRAM_THRESHOLD
 
     @cached_property
     def asked(self) -> DataFrame:
@@ -90,7 +91,7 @@ class Search:
 
     @cached_property
     def grams(self) -> DataFrame:
-        return channels.trigram(self.base(False), self.unmatched).persist()
+        return channels.trigram(self.base(False), self.unmatched, self.trigram_threshold).persist()
 
     @cached_property
     def lexical(self) -> DataFrame:
@@ -202,22 +203,22 @@ class SearchPage:
     explain_summary: dict | None = None
 
 
-def _one(chunks: DataFrame, text: str, vector, limit: int, offset: int, filters, stages, model, now, dim) -> Search:
+def _one(chunks: DataFrame, text: str, vector, limit: int, offset: int, filters, stages, model, now, dim, threshold) -> Search:
     stages = stages or Stages()
     vector = check_vector(vector, dim) if stages.dense else None
     schema = "query_id int, text string, embedding array<double>, limit int, offset int"
     queries = chunks.sparkSession.createDataFrame([(0, text, vector, limit, offset)], schema)
-    return Search(chunks, queries, model, now or datetime.now(UTC), dim, filters or SearchFilters(), stages)
+    return Search(chunks, queries, model, now or datetime.now(UTC), dim, filters or SearchFilters(), stages, threshold)
 
 
-def search(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: int = 0, *, filters: SearchFilters | None = None, stages: Stages | None = None, model: str = "default", now=None, dim: int = EMBED_DIM, explain: bool = False):
+def search(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: int = 0, *, filters: SearchFilters | None = None, stages: Stages | None = None, model: str = "default", now=None, dim: int = EMBED_DIM, explain: bool = False, trigram_threshold: float = TRIGRAM_THRESHOLD):
     """Rows of one query. ``embed`` maps text to a vector and is called only when dense is on."""
     text = query_text(query)
     limit, offset = bounds(limit, offset)
     vector = embed(text) if (stages or Stages()).dense and embed is not None else None
     if (stages or Stages()).dense and embed is None:
         raise QueryError("no embedder is configured", code="embedding_unavailable")
-    s = _one(chunks, text, vector, limit, offset, filters, stages, model, now, dim)
+    s = _one(chunks, text, vector, limit, offset, filters, stages, model, now, dim, trigram_threshold)
     columns = [*RESULT, F.size("embedding").alias("embedding_dimension"), "id", *(["explain"] if explain else [])]
     try:
         rows = s.results.orderBy("place").select(*columns).collect()

@@ -1,8 +1,10 @@
 """Managed tables on shared storage: versions, schema ledger, health, snapshots.
 
-A table is a folder of immutable versions. A commit writes a new version, then
-moves a pointer file; readers follow the pointer, so a failed or abandoned
-write is never seen, and every commit is atomic. All access goes through the
+A table is a list of immutable folders. A commit writes new folders, then
+replaces one pointer file that names the folders of every table; readers follow
+the pointer, so a failed or abandoned write is never seen, and a commit of
+several tables is atomic. An append adds a folder, and a replacement writes
+those folders anew that hold a row to be replaced. All access goes through the
 Hadoop file system of the path, local or remote.
 """
 
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .errors import MigrationError, SnapshotError
 from .schema import TABLES
 
+#: One file names the folders of every table.
+POINTER = "_current.json"
+#: A table of more folders is written as one.
+MAX_FOLDERS = 64
 #: A run that holds a lock for longer is taken for dead.
 LOCK_SECONDS = 24 * 3600.0
 
@@ -95,28 +101,76 @@ class Store:
 
     # -- tables --
 
+    def current(self) -> dict[str, list[str]]:
+        """The folders of each table."""
+        return json.loads(self.files.read(POINTER)) if self.files.exists(POINTER) else {}
+
     def version(self, name: str) -> str | None:
-        pointer = f"{name}/CURRENT"
-        return self.files.read(pointer).strip() if self.files.exists(pointer) else None
+        """What names a table's present state; none if it was never written."""
+        own = self.current().get(name)
+        return None if own is None else "+".join(own)
 
     def table(self, name: str) -> DataFrame:
-        current = self.version(name)
-        if current is None:
+        return self._read(name, self.current().get(name, []))
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{current}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{x}" for x in folders))
 
-    def commit(self, name: str, rows: DataFrame, *, partition: str | None = None) -> str:
-        """Write a new version and make it current."""
+    def write(self, name: str, rows: DataFrame) -> str:
+        """Write rows as a folder that no reader sees before it is published."""
         own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
         target = f"v-{len([x for x in self.files.names(name) if x.startswith('v-')]):06d}-{uuid.uuid4().hex[:8]}"
-        writer = own.write.option("compression", "zstd")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/{name}/{target}")
-        self.files.write(f"{name}/CURRENT", target)
+        own.write.option("compression", "zstd").parquet(f"{self.root}/{name}/{target}")
+        return target
+
+    def publish(self, folders: dict[str, list[str]]) -> None:
+        """Make folders the present state of their tables, of all at once."""
+        self.files.write(POINTER, json.dumps(self.current() | folders, sort_keys=True))
+
+    def commit(self, name: str, rows: DataFrame) -> str:
+        """Write a whole table anew and publish it."""
+        target = self.write(name, rows)
+        self.publish({name: [target]})
         return target
 
+    def added(self, name: str, rows: DataFrame) -> list[str]:
+        """The folders of a table after an append: the old ones stay as they are."""
+        return self._compact(name, [*self.current().get(name, []), self.write(name, rows)])
+
+    def replaced(self, name: str, rows: DataFrame, key: str) -> list[str]:
+        """The folders of a table whose rows with a key of ``rows`` give way to ``rows``.
+
+        Folders without such a key stay as they are, the others are written anew.
+        """
+        new = self.write(name, rows)
+        return self._without(name, self._read(name, [new]), key) + [new]
+
+    def removed(self, name: str, keys: DataFrame, key: str) -> list[str]:
+        """The folders of a table without the rows that have one of the keys."""
+        return self._without(name, keys, key) or [self.write(name, self._read(name, []))]
+
+    def _without(self, name: str, keys: DataFrame, key: str) -> list[str]:
+        folders, gone = self.current().get(name, []), keys.select(key).distinct()
+        if not folders:
+            return []
+        place = F.regexp_extract(F.col("_metadata.file_path"), f"/{name}/(v-[^/]+)/", 1)
+        met = self._read(name, folders).select(key, place.alias("folder")).join(gone, key, "left_semi")
+        touched = {r.folder for r in met.select("folder").distinct().collect()}  # MAX_FOLDERS at most
+        kept = [x for x in folders if x not in touched]
+        if touched:
+            rest = self._read(name, [x for x in folders if x in touched]).join(gone, key, "left_anti")
+            kept.append(self.write(name, rest))
+        return self._compact(name, kept)
+
+    def _compact(self, name: str, folders: list[str]) -> list[str]:
+        return folders if len(folders) < MAX_FOLDERS else [self.write(name, self._read(name, folders))]
+
     def vacuum(self, name: str, keep: int = 2) -> list[str]:
-        """Delete old versions, never the current one."""
-        found = [x for x in self.files.names(name) if x.startswith("v-") and x != self.version(name)]
+        """Delete old folders, never a current one."""
+        own = self.current().get(name, [])
+        found = [x for x in self.files.names(name) if x.startswith("v-") and x not in own]
         gone = found[: max(0, len(found) - keep + 1)]
         for x in gone:
             self.files.delete(f"{name}/{x}")
@@ -205,7 +259,7 @@ class Store:
 
     def digests(self, name: str) -> dict[str, str]:
         """sha256 of each data file of a table's current version, by file name."""
-        at = f"{self.root}/{name}/{self.version(name)}"
+        at = [f"{self.root}/{name}/{x}" for x in self.current().get(name, [])]
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(at)
         rows = files.select(F.element_at(F.split("path", "/"), -1).alias("n"), F.sha2("content", 256).alias("d")).collect()
         return {r.n: r.d for r in rows}
