@@ -511,6 +511,22 @@ def scope_export_rows(spark, d):
     return lifecycle.export_rows(c, own).select("session", "source_type", "content")
 
 
+@register(
+    f"""WITH {CHUNKS}, own AS (
+      SELECT 'chunk' AS kind, session_id, source_type, NULL AS category, content, timestamp_start AS t0, id FROM chunks WHERE doc_id % 3 = 0 AND session_id <> 'src0'
+      UNION ALL SELECT 'fact', session_id, NULL, source_type, content, timestamp_start, id FROM chunks WHERE doc_id % 3 = 1 AND session_id <> 'src0')
+    SELECT kind, substr(sha256(session_id), 1, 16) AS session, source_type, category, {_sql_redact('content')} AS content,
+      CASE WHEN kind = 'chunk' THEN t0 END AS timestamp_start, CASE WHEN kind = 'fact' THEN t0 END AS "timestamp" FROM own"""
+)
+def scope_export_facts(spark, d):
+    """K7: chunks and facts of a scope, each with what its kind holds."""
+    c = chunks(spark, d).withColumn("metadata", F.lit(None).cast("string"))
+    facts = c.where("doc_id % 3 = 1").select("id", "session_id", F.col("source_type").alias("category"), "content", F.col("timestamp_start").alias("timestamp"), F.lit(None).cast("string").alias("task_summary"), "metadata")
+    own = c.select("session_id").distinct().where("session_id <> 'src0'")
+    rows = lifecycle.export_rows(c.where("doc_id % 3 = 0"), own, facts)
+    return rows.select("kind", "session", "source_type", "category", "content", "timestamp_start", "timestamp")
+
+
 @register(
     f"""WITH {CHUNKS}, late AS (SELECT bool_and(embedding IS NOT NULL) AS complete FROM chunks WHERE session_id = 'src3')
     SELECT id, CASE WHEN session_id IN ('src1', 'src2') THEN 'new ' || content WHEN session_id = 'src3' AND complete THEN 'late ' || content ELSE content END AS content FROM chunks, late"""
