@@ -15,12 +15,13 @@ from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .sp_codec import op3_sentencepiece
 from .spelling import op12_spelling_variants
+from .suffix_dedup import op11_suffix_array_dedup
 from .token_count import op8_token_count
 from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    found = [op1_lm_score, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_minhash_near_dedup, op6_best_fit_packing, op7_nn_descent, op8_token_count, op9_language_id, op10_chat_format, op12_spelling_variants, op13_fill_in_middle]
+    found = [op1_lm_score, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_minhash_near_dedup, op6_best_fit_packing, op7_nn_descent, op8_token_count, op9_language_id, op10_chat_format, op11_suffix_array_dedup, op12_spelling_variants, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
