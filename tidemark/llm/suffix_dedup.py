@@ -58,7 +58,7 @@ LENGTH = 400
 GRAM = 128
 PART = 32
 BLOCK = 1 << 20
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: Low bits of the identifiers give way to the place, so that the first of equal ones is least.
 PLACE_BITS = np.uint64(24)
 BLOCK_SCHEMA = "block long, ids array<long>, lens array<long>, text binary"
@@ -66,6 +66,17 @@ PART_SCHEMA = "at long, size int, anchor int, inner long, outer long, check int"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Identifiers of pairs of identifiers; few passes over arrays that stay in a core's cache."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    y = b + np.uint64(0x7F4A7C15F39CC060)
+    x ^= y
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(x, np.uint64(32), out=y)
+    x ^= y
+    return x
+
+
 def identifiers(data: np.ndarray, most: int = 256) -> dict[int, np.ndarray]:
     """Bucket identifiers of the strings of 8, 16, ... ``most`` bytes at each place where they fit."""
     n = max(len(data) - 7, 0)
@@ -75,7 +86,7 @@ def identifiers(data: np.ndarray, most: int = 256) -> dict[int, np.ndarray]:
     while size < most:
         short = out[size]
         m = max(len(short) - size, 0)
-        out[2 * size] = mix(short[:m], short[size : size + m])
+        out[2 * size] = pair(short[:m], short[size : size + m])
         size *= 2
     return out
 
@@ -119,9 +130,13 @@ def runs(data: np.ndarray, lens: np.ndarray, length: int = LENGTH) -> tuple[np.n
         ids = identifiers(data[base : base + PIECE + length - 1], GRAM)[GRAM]
         place = np.arange(len(ids), dtype=np.uint64)
         anchor = (least(ids >> PLACE_BITS << PLACE_BITS | place, length - GRAM + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        start = np.arange(len(anchor))
-        inside = ends[np.minimum(np.searchsorted(ends, base + start, side="right"), len(ends) - 1)] - base - start >= length
-        start, anchor = start[inside], anchor[inside]
+        inside = np.ones(len(anchor), bool)
+        for end in ends[np.searchsorted(ends, base, side="right") :].tolist():
+            if end - length + 1 >= base + len(anchor):
+                break
+            inside[max(end - length + 1 - base, 0) : end - base] = False  # strings over the end of a text
+        start = np.flatnonzero(inside)
+        anchor = anchor[start]
         if len(start):
             new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
             last = start[np.append(new[1:], len(start)) - 1]
