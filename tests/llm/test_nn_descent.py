@@ -128,3 +128,32 @@ def test_tables_grow_with_the_cells():
     for s.n in (10, 1000, 1_000_000):
         bits, n = s.tables()
         assert n >= nn.TABLES and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** n <= nn.MISS
+
+
+def pairs_without_audited_ids(n=900):
+    """Triples of near vectors; no id is divisible by 50."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(n // 3, 24))
+    x = np.concatenate([base, base + r.normal(size=base.shape) * 0.1, base + r.normal(size=base.shape) * 0.1])
+    return [(50 * i + 1, [float(f) for f in v], 0) for i, v in enumerate(x)]
+
+
+def test_recall_is_measured_where_no_id_is_audited(spark, monkeypatch):
+    rows = pairs_without_audited_ids()
+    want = brute(rows, 0.9)
+    monkeypatch.setattr(nn, "AUDITS", 1)
+    monkeypatch.setattr(nn, "ROUNDS", 0)
+    monkeypatch.setattr(nn.Search, "tables", lambda self: (6, 1))  # a search that misses many links
+    out = nn.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((False, r.vec_id, r.n_links, r.component_id) for r in out) == want and {(r.exact, r.recall) for r in out} == {(True, 1.0)}
+    monkeypatch.setattr(nn, "SMALL", 10)  # as in a table too large to ask all
+    out = nn.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((False, r.vec_id, r.n_links, r.component_id) for r in out) == want and {r.exact for r in out} == {True}
+
+
+def test_recall_without_any_link(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([(50 * i + 1, [float(f) for f in v], 0) for i, v in enumerate(r.normal(size=(60, 40)))], SCHEMA)
+    assert {x.recall for x in nn.near_vectors(df).collect()} == {1.0}  # all classes were asked
+    monkeypatch.setattr(nn, "SMALL", 10)
+    assert {x.recall for x in nn.near_vectors(df).collect()} == {None}  # nothing was measured

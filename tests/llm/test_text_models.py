@@ -248,3 +248,29 @@ def test_training_windows_come_from_whole_texts(spark):
     assert len(got) == 151 and [w for w, x in got if x == "bb"] == [b"a" * 192]
     starts = {w[:1] for w, x in got if x == "aa"}
     assert len(starts) > 20 and len([w for w, x in lang_id.training_windows(rows, 1000) if x == "aa"]) == 201
+
+
+def test_numbers_of_other_forms_are_no_letters(spark, tmp_path):
+    rows = [(i, "kala moro" if i % 2 else "brzeg wzgorze", "aa" if i % 2 else "bb", "s", 0) for i in range(60)]
+    rows += [(100, "½ ² Ⅷ 12", None, "s", 0), (101, "①٣ _ 4", None, "s", 0), (102, "漢", None, "s", 0), (103, "ª", None, "s", 0)]
+    at = dump(spark, tmp_path, spark.createDataFrame(rows, documents(spark).schema))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op9_language_id(spark, at).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] != "und" and got[103][0] != "und"
+
+
+def test_network_equals_plain_loops():
+    """The forward pass again, byte by byte."""
+    from tidemark.llm.lang_id import DIM, FILTERS, WIDTHS
+
+    net = ByteNet(3)
+    p = {k: v.tolist() for k, v in net.p.items()}
+    rows = np.random.default_rng(2).integers(0, 256, (3, 24)).astype(np.uint8)
+    for row, got in zip(rows, net.log_probs(rows), strict=True):
+        hidden = []
+        for w in WIDTHS:
+            for f in range(FILTERS):
+                sums = [sum(p["e"][row[i + j]][d] * p[f"w{w}"][j * DIM + d][f] for j in range(w) for d in range(DIM)) for i in range(len(row) - w + 1)]
+                hidden.append(max(max(sums) + p[f"b{w}"][f], 0.0))
+        z = [p["c"][c] + sum(h * p["o"][k][c] for k, h in enumerate(hidden)) for c in range(3)]
+        total = np.log(np.sum(np.exp(z)))
+        assert np.allclose(got, np.array(z) - total, atol=1e-4)

@@ -23,11 +23,11 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,8 @@ DIM = 8
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; numbers of whatever form are none.
+LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 

@@ -21,7 +21,10 @@
    means are taken by number of links (``STRATA``), and the least one counts.
    While it is under ``RECALL``, more tables and rounds follow, ``AUDITS`` times
    at most; then all classes are compared in blocks, which is exact and
-   quadratic. The recall that held (1 after an exact comparison) is a column.
+   quadratic. Where under ``LINKED`` audited classes are linked, classes drawn by
+   hash are audited too (one of ``DRAWN``; all, up to ``SMALL`` classes). The
+   recall that held is a column: 1 after an exact comparison, null if no audited
+   class has a link, so that nothing was measured.
 
 The number of tables grows with the bits of a cell, so that a pair at the
 threshold shares no cell with a probability of ``MISS`` at most.
@@ -58,6 +61,8 @@ ROUNDS = 3
 MISS = 0.02
 STRATA = (2, K)  # upper ends of the numbers of links audited together
 AUDITS = 3
+#: Linked classes that an audit should meet, the size at which it asks all classes instead, and else its share (one of so many).
+LINKED, SMALL, DRAWN = 300, 20_000, 10
 RECALL = 0.97
 BLOCK = 256
 WIDE = 4096  # classes of a block where two different sets meet
@@ -399,16 +404,32 @@ class Search:
         alone = self.rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return linked.unionByName(alone)
 
-    def recall(self) -> float:
-        """Least mean, over the strata, of the audited classes' shares of linked classes that :meth:`resolve` counted."""
-        asked = self.rows.where("node is not null and vec_id % 50 = 0").select("node").distinct()
+    def audited(self, asked: DataFrame) -> list[tuple[int, float]]:
+        """By stratum: how many of the ``asked`` classes are linked, and their mean share of linked classes that :meth:`resolve` counted."""
         every = self.classes.select("node", "unit", "weight")
         asked, _ = materialize(every.join(asked, "node"), "nn-asked")
         met = self.against(asked, asked.count(), every, _links(self.threshold, False), LINKS)
         true = met.groupBy("node").agg(F.sum("m").alias("true")).where(F.col("true") > 0).join(self.known.select("node", "m"), "node")
         stratum = sum((F.col("true") > top).cast("int") for top in STRATA)
-        found = true.groupBy(stratum.alias("s")).agg(F.avg(F.least("m", "true") / F.col("true")).alias("r")).collect()
-        return min((x.r for x in found), default=1.0)
+        found = true.groupBy(stratum.alias("s")).agg(F.count("*").alias("n"), F.avg(F.least("m", "true") / F.col("true")).alias("r")).collect()
+        return [(x.n, x.r) for x in found]
+
+    def recall(self) -> float | None:
+        """Least mean recall over the strata of the audited classes; None if no audited class has a link.
+
+        Those with an id divisible by 50 are asked first. Where under ``LINKED`` of
+        them are linked, classes drawn by hash are asked too, and in a table of up
+        to ``SMALL`` classes all of them, so that there a recall of 1 without any
+        link is measured as well.
+        """
+        ids = self.rows.where("node is not null and vec_id % 50 = 0").select("node").distinct()
+        found = self.audited(ids)
+        if sum(n for n, _ in found) < LINKED:
+            if self.n <= SMALL:
+                found = self.audited(self.classes.select("node")) or [(0, 1.0)]
+            else:
+                found = self.audited(ids.unionByName(self.classes.where(F.pmod(F.xxhash64("node"), F.lit(DRAWN)) == 0).select("node")).distinct())
+        return min((r for _, r in found), default=None)
 
 
 def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -424,13 +445,13 @@ def near_vectors(df: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id
             before = now
         found, _ = materialize(s.resolve(), "nn-found")
         exact, recall = False, s.recall()
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
     else:
         found, _ = materialize(s.exact(), "nn-found")
         exact, recall = True, 1.0
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), F.lit(recall).alias("recall"), F.lit(exact).alias("exact"))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"), F.lit(recall).cast("double").alias("recall"), F.lit(exact).alias("exact"))
 
 
 def op7_nn_descent(spark, sf_dir: str) -> DataFrame:
