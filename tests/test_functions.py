@@ -172,3 +172,29 @@ def test_arguments():
             query_text(bad)
         assert e.value.code == code
     assert window_and_pool(45, 0) == (45, 225) and window_and_pool(250, 0)[1] == 1000 and window_and_pool(5, 0) == (5, 30)
+
+
+@pytest.mark.parametrize(
+    "given",
+    [
+        "authorization: bearer\u00a0abc.def123",
+        "authorization\u3000: bearer tok123",
+        "Authorization:\u2003\u2028bearer\x85\x1ctok",
+        "éghp_A1 ghp_B2 _ghp_C3 ½sk_live_x (sk_live_y)",
+        "漢github_pat_a,github_pat_b",
+        "ghp_A1 ghp_B2\u00a0ghp_C3",
+        "u@h.org/p C:\\\\x y",
+    ],
+)
+def test_redactions_agree(spark, given):
+    want = text.minimize(given)
+    assert one(spark, text.redact("v"), given) == one(spark, text.redact_json("v"), given) == want
+    import json
+
+    assert json.loads(one(spark, text.redact_json("v"), json.dumps([given]))) == [want]
+
+
+def test_redaction_of_blanks_and_letters_beyond_ascii():
+    assert text.minimize("authorization: bearer\u00a0abc.def123") == "[redacted] [redacted]"
+    assert text.minimize("authorization\u3000: bearer tok123") == "[redacted] [redacted]"
+    assert text.minimize("éghp_A1 ghp_B2") == "éghp_A1 [redacted]"

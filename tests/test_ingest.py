@@ -3,6 +3,7 @@ import json
 import os
 import re
 import sqlite3
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -455,3 +456,27 @@ def test_evaluation_sources(spark, tmp_path):
             evaluation.zipped_collection(spark, str(tmp_path / "c.zip"), *bad)
     with pytest.raises(ValueError):
         evaluation.contract({"language": "ja"})
+
+
+def test_vacuum_leaves_open_commits_alone(spark, root, target):
+    row = lambda i: spark.createDataFrame([(i, "s")], "id string, session_id string").select(*(F.col(f.name) if f.name in ("id", "session_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in target.table("session_chunks").schema))
+    for i in "abc":
+        target.commit("session_chunks", row(i))
+    folders = target.replaced("session_chunks", row("d"), "session_id")
+    assert len(target.vacuum("session_chunks", keep=1)) == 3  # the old folders go, the open one stays
+    target.publish({"session_chunks": folders})
+    assert [r.id for r in target.table("session_chunks").collect()] == ["d"]
+    other = Store(spark, target.root)
+    with target.writing(every=0.1):
+        folders = target.replaced("session_chunks", row("e"), "session_id")
+        before = other.files.age("_locks/writer")
+        for attempt in (lambda: other.vacuum("session_chunks"), lambda: other.publish({}), lambda: Run(spark, other, settings(root)).sessions()):
+            with pytest.raises(IngestError) as e:
+                attempt()
+            assert e.value.code == "ingest_locked"
+        time.sleep(1.5)
+        assert other.files.age("_locks/writer") < before + 1.5  # renewed
+        target.publish({"session_chunks": folders})
+    assert other.vacuum("session_chunks") is not None and [r.id for r in other.table("session_chunks").collect()] == ["e"]
+    names = [x for x in target.files.names("session_chunks") if x.startswith("v-")]
+    assert target.write("session_chunks", row("f")) > max(names)  # numbers grow, whatever was deleted

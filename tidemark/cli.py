@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -109,22 +108,11 @@ def _privacy(args, settings, store, out) -> None:
     if args.confirm:
         store.require_current()
         gone = own.join(sessions.distinct(), "session_id", "left_semi").select("file_path")
-        with _writer(store):
+        with store.writing():
             folders = {name: store.removed(name, sessions, "session_id") for name in tables}
             store.publish(folders | {"ingestion_state": store.removed("ingestion_state", gone, "file_path")})
 
 
-@contextmanager
-def _writer(store):
-    """One writer at a time in a store, whatever its source: all of them replace the same tables."""
-    if not store.lock("writer"):
-        raise IngestError("another run holds the lock", code="ingest_locked")
-    try:
-        yield
-    finally:
-        store.unlock("writer")
-
-
 def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
     out, err = out or sys.stdout, err or sys.stderr
     args = parser().parse_args(argv)
@@ -138,7 +126,7 @@ def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
             print(store.health(), file=out)
         elif args.command == "ingest":
             store.require_current()
-            with _writer(store):
+            with store.writing():
                 if args.file and args.source != "chat":
                     raise ConfigError("only chat has files to choose from", code="invalid_config_value")
                 chosen = {"file": args.file} if args.file else {}

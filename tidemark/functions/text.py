@@ -12,12 +12,16 @@ from ..errors import PrivacyError
 
 MARK = "[redacted]"
 
+#: Where a word begins, and white space, spelled out: engines disagree on their short forms.
+EDGE = r"(?<![\p{L}\p{N}_])"
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 #: Sensitive shapes in the order in which they are replaced (fixed values).
 REDACTIONS = (
-    (r"\b(?:sk|pk|rk)_live_[A-Za-z0-9]+", MARK),
-    (r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", MARK),
-    (r"\bgithub_pat_[A-Za-z0-9_]+", MARK),
-    (r"(?i)\bauthorization\s*:\s*bearer\s+[A-Za-z0-9._~-]+", f"{MARK} {MARK}"),
+    (EDGE + r"(?:sk|pk|rk)_live_[A-Za-z0-9]+", MARK),
+    (EDGE + r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", MARK),
+    (EDGE + r"github_pat_[A-Za-z0-9_]+", MARK),
+    ("(?i)" + EDGE + "authorization" + SPACE + "*:" + SPACE + "*bearer" + SPACE + "+[A-Za-z0-9._~-]+", f"{MARK} {MARK}"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", MARK),
     (r"[A-Za-z]:\\[A-Za-z0-9_ .~\\-]+", MARK),
     (r"/[A-Za-z0-9_.~/-]+", MARK),
@@ -120,9 +124,10 @@ def redact_json(text: Column | str) -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         import json
-        import re
 
-        rules = [(re.compile(p, re.ASCII), m) for p, m in patterns]
+        import regex
+
+        rules = [(regex.compile(p), m) for p, m in patterns]
 
         def clean(v):
             if isinstance(v, str):
@@ -148,24 +153,22 @@ def redact_json(text: Column | str) -> Column:
 
 def minimize(value: str) -> str:
     """Redact one string on the driver; anything but a string is refused."""
-    import re
+    import regex
 
     if not isinstance(value, str):
         raise PrivacyError("a string is needed", code="invalid_minimize_input")
     for pattern, mark in REDACTIONS:
-        value = re.sub(pattern, mark, value)
+        value = regex.sub(pattern, mark, value)
     return value
 
 
-def audit_matches(text: Column | str, private_folders: tuple[str, ...] = ()) -> Column:
+def audit_matches(text: Column | str) -> Column:
     """First match of each category that occurs: array<struct<category, match>>.
 
-    ``private_folders``: further folders of a home (``.name``) whose paths are a ``host_path``.
+    Of the homes' private folders in ``host_path`` only the two of general tools are listed.
     """
     text = _col(text)
-    more = "".join(re.escape(x) + "|" for x in private_folders)
-    patterns = AUDIT | {"host_path": AUDIT["host_path"].replace("~/(?:", "~/(?:" + more)}
-    found = [F.struct(F.lit(name).alias("category"), F.regexp_substr(text, F.lit(pattern)).alias("match")) for name, pattern in patterns.items()]
+    found = [F.struct(F.lit(name).alias("category"), F.regexp_substr(text, F.lit(pattern)).alias("match")) for name, pattern in AUDIT.items()]
     return F.filter(F.array(*found), lambda x: x["match"].isNotNull())
 
 

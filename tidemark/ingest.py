@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 from datetime import UTC, datetime
 
@@ -28,6 +30,17 @@ def to_rows(cut: DataFrame, mtimes: DataFrame, kind, channel=None) -> DataFrame:
     )
 
 
+def _alone(method):
+    """A run holds the writer's lock of its store; a dry run writes nothing and needs none."""
+
+    @functools.wraps(method)
+    def run(self, **options):
+        with contextlib.nullcontext() if options.get("dry_run") else self.target.writing():
+            return method(self, **options)
+
+    return run
+
+
 class Run:
     """One source into one store. Counters come back; nothing is written in a dry run."""
 
@@ -66,6 +79,7 @@ class Run:
         self.target.publish({"session_chunks": folders, "ingestion_state": [state]})  # rows and checkpoints at once
         return counters
 
+    @_alone
     def sessions(self, *, force: bool = False, dry_run: bool = False) -> dict:
         root = self.settings.source("sessions")
         files = self._files(root, sessions.discover(self.spark, root), force)
@@ -82,6 +96,7 @@ class Run:
         kind = done.select("session_id", "source_type", F.col("file_mtime").alias("mtime")).dropDuplicates(["session_id"])
         return self._finish(to_rows(cut, kind, F.coalesce("source_type", F.lit("main_user"))), done, dry_run)
 
+    @_alone
     def chat(self, *, force: bool = False, dry_run: bool = False, file: str | None = None) -> dict:
         """All chat files, or the one that ``file`` names."""
         root = self.settings.source("chat")
@@ -102,6 +117,7 @@ class Run:
         done = files.withColumn("session_id", messages.chat_session_id(channel)).withColumn("source_type", F.lit("chat")).withColumn("offset", F.col("file_size"))
         return self._finish(to_rows(cut, done.select("session_id", F.col("file_mtime").alias("mtime")), F.lit("chat"), F.col("channel")), done, dry_run)
 
+    @_alone
     def store(self, *, force: bool = False, dry_run: bool = False) -> dict:
         path = self.settings.source("store")
         all_messages = store.read_table(self.spark, path, "messages")

@@ -250,7 +250,10 @@ def search_trace(spark, d):
 # -- ingest -----------------------------------------------------------------
 
 def _sql_redact(column: str) -> str:
+    """The redactions for an engine without lookbehind: what stands before a word is put back."""
     for pattern, mark in text.REDACTIONS:
+        if text.EDGE in pattern:
+            pattern, mark = pattern.replace(text.EDGE, r"(^|[^\p{L}\p{N}_])"), r"\1" + mark
         column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"
     return column
 
@@ -322,10 +325,14 @@ def source_map(spark, d):
     return table(spark, d, "documents").groupBy("source", messages.source_type("source").alias("source_type")).agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT doc_id, {_sql_redact('text')} AS text FROM documents")
+WIDE = "'é' || 'ghp_' || doc_id || ' Authorization' || chr(12288) || ': bearer' || chr(160) || doc_id || '.t ' || 'ghp_' || doc_id || chr(8195) || text"
+
+
+@register(f"SELECT doc_id, {_sql_redact('text')} AS text, {_sql_redact(WIDE)} AS wide FROM documents")
 def redact_documents(spark, d):
-    """Sensitive shapes in documents."""
-    return table(spark, d, "documents").select("doc_id", text.redact("text").alias("text"))
+    """Sensitive shapes in documents, also behind white space and letters beyond ASCII."""
+    wide = F.expr("concat('éghp_', doc_id, ' Authorization\u3000: bearer\u00a0', doc_id, '.t ghp_', doc_id, '\u2003', text)")
+    return table(spark, d, "documents").select("doc_id", text.redact("text").alias("text"), text.redact(wide).alias("wide"))
 
 
 @register(f"SELECT page_id, {_sql_redact('html')} AS html FROM pages")

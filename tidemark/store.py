@@ -11,15 +11,17 @@ Hadoop file system of the path, local or remote.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import MigrationError, SnapshotError
+from .errors import IngestError, MigrationError, SnapshotError
 from .schema import TABLES
 
 #: One file names the folders of every table.
@@ -98,6 +100,7 @@ class Store:
         self.spark, self.files = spark, Files(spark, root)
         self.root = root.rstrip("/")
         self.owned: dict[str, str] = {}
+        self.pending: set[str] = set()  # folders written and not published yet
 
     # -- tables --
 
@@ -121,12 +124,22 @@ class Store:
     def write(self, name: str, rows: DataFrame) -> str:
         """Write rows as a folder that no reader sees before it is published."""
         own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
-        target = f"v-{len([x for x in self.files.names(name) if x.startswith('v-')]):06d}-{uuid.uuid4().hex[:8]}"
+        last = max((int(x.split("-")[1]) for x in self.files.names(name) if x.startswith("v-")), default=-1)
+        target = f"v-{last + 1:06d}-{uuid.uuid4().hex[:8]}"
+        self.pending.add(f"{name}/{target}")
         own.write.option("compression", "zstd").parquet(f"{self.root}/{name}/{target}")
         return target
 
     def publish(self, folders: dict[str, list[str]]) -> None:
-        """Make folders the present state of their tables, of all at once."""
+        """Make folders the present state of their tables, of all at once.
+
+        Another writer's lock is respected: the pointer is read and written, and two
+        writers could lose one's change.
+        """
+        if "writer" not in self.owned and self.files.exists("_locks/writer"):
+            raise IngestError("another run holds the lock", code="ingest_locked")
+        self.renew("writer")
+        self.pending.clear()
         self.files.write(POINTER, json.dumps(self.current() | folders, sort_keys=True))
 
     def commit(self, name: str, rows: DataFrame) -> str:
@@ -168,13 +181,18 @@ class Store:
         return folders if len(folders) < MAX_FOLDERS else [self.write(name, self._read(name, folders))]
 
     def vacuum(self, name: str, keep: int = 2) -> list[str]:
-        """Delete old folders, never a current one."""
-        own = self.current().get(name, [])
-        found = [x for x in self.files.names(name) if x.startswith("v-") and x not in own]
-        gone = found[: max(0, len(found) - keep + 1)]
-        for x in gone:
-            self.files.delete(f"{name}/{x}")
-        return gone
+        """Delete old folders, the oldest first; never a current one or one of an open commit.
+
+        This store's open commits are known to it; any other writer has the lock
+        while its commit is open, and then this is an error.
+        """
+        with self.writing():
+            own = self.current().get(name, [])
+            found = [x for x in self.files.names(name) if x.startswith("v-") and x not in own and f"{name}/{x}" not in self.pending]
+            gone = found[: max(0, len(found) - keep + 1)]
+            for x in gone:
+                self.files.delete(f"{name}/{x}")
+            return gone
 
     # -- a single writer --
 
@@ -194,6 +212,33 @@ class Store:
             return self.lock(name, ttl_seconds)
         return False
 
+    def renew(self, name: str) -> None:
+        """Show that the owner of a lock still runs."""
+        path, own = f"_locks/{name}", self.owned.get(name)
+        if own and self.files.exists(path) and own in self.files.read(path):
+            self.files.write(path, json.dumps({"owner": own}))
+
+    @contextmanager
+    def writing(self, every: float = LOCK_SECONDS / 8) -> Iterator[None]:
+        """Hold the writer's lock, renewed while the block runs; inside another such block nothing is taken."""
+        if "writer" in self.owned:
+            yield
+            return
+        if not self.lock("writer"):
+            raise IngestError("another run holds the lock", code="ingest_locked")
+        done = threading.Event()
+
+        def keep() -> None:
+            while not done.wait(every):
+                self.renew("writer")
+
+        threading.Thread(target=keep, daemon=True).start()
+        try:
+            yield
+        finally:
+            done.set()
+            self.unlock("writer")
+
     def unlock(self, name: str) -> None:
         """Give a lock back; one that another run has taken over stays."""
         path, own = f"_locks/{name}", self.owned.pop(name, None)
