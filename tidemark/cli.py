@@ -1,4 +1,4 @@
-"""Command line: migrate, health, ingest, query, privacy, backup, restore."""
+"""Command line: migrate, health, ingest, reindex, query, privacy, backup, restore."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from . import config, session
+from . import config, indexing, session
 from .embedding import query_embedder, stored_vectors
 from .errors import CodedError, ConfigError, IngestError
 from .functions.vector import hashed_local
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("migrate").add_argument("--target", type=int)
     sub.add_parser("health")
+    sub.add_parser("reindex")
     i = sub.add_parser("ingest")
     i.add_argument("source", choices=["sessions", "chat", "store"])
     i.add_argument("--file", help="one chat file")
@@ -61,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
 def _query(args, settings, store, out, err) -> None:
     filters = SearchFilters.of(source_types=args.source_type, session_ids=args.session_id, time_from=args.time_from, time_to=args.time_to)
     embed = (lambda t: hashed_local(t, settings.embedding_dim)) if settings.embedding_provider == "hashed" else query_embedder(store.spark, settings)
-    page = search_page(store.table("session_chunks"), args.text, embed, args.limit, args.offset, filters=filters, explain=args.explain, model=settings.embedding_model, dim=settings.embedding_dim, trigram_threshold=settings.trigram_threshold)
+    page = search_page(store.table("session_chunks"), args.text, embed, args.limit, args.offset, filters=filters, explain=args.explain, model=settings.embedding_model, dim=settings.embedding_dim, trigram_threshold=settings.trigram_threshold, index=indexing.stored(store))
     for n, r in enumerate(page.results, start=args.offset + 1):
         text = r.content if len(r.content) <= 500 else r.content[:500] + "..."
         print(f"#{n} score={r.score:.4f} session={r.session_id} source={r.source_type} time={r.timestamp_start}\n{text}\n", file=out)
@@ -110,7 +111,7 @@ def _privacy(args, settings, store, out) -> None:
         gone = own.join(sessions.distinct(), "session_id", "left_semi").select("file_path")
         with store.writing():
             folders = {name: store.removed(name, sessions, "session_id") for name in tables}
-            store.publish(folders | {"ingestion_state": store.removed("ingestion_state", gone, "file_path")})
+            store.publish(folders | indexing.without(store, sessions) | {"ingestion_state": store.removed("ingestion_state", gone, "file_path")})
 
 
 def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
@@ -132,6 +133,10 @@ def main(argv: list[str] | None = None, out=None, err=None, spark=None) -> int:
                 chosen = {"file": args.file} if args.file else {}
                 counters = getattr(Run(spark, store, settings, stored_vectors(spark, settings)), args.source)(force=args.force, dry_run=args.dry_run, **chosen)
                 print(*(f"{k}={v}" for k, v in counters.items()), file=out)
+        elif args.command == "reindex":
+            store.require_current()
+            made = indexing.rebuild(store, settings.embedding_dim)
+            print(f"cells={made['cells']} probes={made['probes']}", file=out)
         elif args.command == "query":
             _query(args, settings, store, out, err)
         elif args.command == "privacy":

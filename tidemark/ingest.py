@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import indexing
 from .config import Settings
 from .embedding import embed
 from .errors import IngestError
@@ -59,30 +60,42 @@ class Run:
         if len(bad) > most:
             raise IngestError(f"more than {most} files can't be read", code="ingest_too_many_errors")
 
-    def _finish(self, rows: DataFrame, done: DataFrame, dry_run: bool, replace: bool = True) -> dict:
-        """Store rows, then checkpoints. Sessions with a missing vector are not written and stay due."""
+    def _finish(self, rows: DataFrame, done: DataFrame, dry_run: bool, replace: bool = True, unchanged: int = 0) -> dict:
+        """Store rows, then checkpoints. Sessions with a missing vector are not written and stay due.
+
+        Rows are embedded and written once; counters, completeness, checkpoints and
+        indexes read what was written. Only if a session is not complete are the
+        others written again without it.
+        """
         rows = embed(rows, self.settings, self.stored)
+        if not dry_run:
+            staged = self.target.write("session_chunks", rows)
+            rows = self.target.read("session_chunks", [staged])
         whole = rows.groupBy("session_id").agg(F.bool_and(F.col("embedding").isNotNull()).alias("complete"), F.count("*").alias("chunks"))
         status = done.join(whole, "session_id", "left").withColumn("partial", ~F.coalesce("complete", F.lit(True)))
         status = status.withColumn("status", F.when(F.col("source_type") == "cron", "cron").when(F.coalesce("chunks", F.lit(0)) == 0, "empty").when(F.col("partial"), "partial").otherwise("done"))
-        ready = rows.join(whole.where("complete").select("session_id"), "session_id", "left_semi")
-        counters = incremental.run_counters(status.withColumn("chunks", F.when(F.col("status") == "done", F.col("chunks")).otherwise(0))).first().asDict()
+        counters = incremental.run_counters(status.withColumn("chunks", F.when(F.col("status") == "done", F.col("chunks")).otherwise(0))).first().asDict() | {"unchanged": unchanged}
         if dry_run:
             return counters
+        if counters["partial"]:
+            staged = self.target.write("session_chunks", rows.join(whole.where("complete").select("session_id"), "session_id", "left_semi"))
+            rows = self.target.read("session_chunks", [staged])
         marks = status.select(
             "file_path", "file_mtime", "file_size", F.col("offset").alias("processed_offset"), F.lit(self.now).alias("processed_at"),
             F.when(F.col("status").isin("cron", "empty"), F.col("status")).otherwise(F.col("source_type")).alias("source_type"),
             F.coalesce("chunks", F.lit(0)).cast("int").alias("chunks_created"), F.lit(0).alias("facts_created"), "partial",
         )
-        folders = self.target.replaced("session_chunks", ready, "session_id") if replace else self.target.added("session_chunks", ready)
+        keys = rows.select("session_id") if replace else None
+        folders = indexing.changed(self.target, rows, keys) | {"session_chunks": self.target.placed("session_chunks", staged, keys, "session_id")}
         state = self.target.write("ingestion_state", incremental.upsert_checkpoints(self.target.table("ingestion_state"), marks))
-        self.target.publish({"session_chunks": folders, "ingestion_state": [state]})  # rows and checkpoints at once
+        self.target.publish(folders | {"ingestion_state": [state]})  # rows, indexes and checkpoints at once
         return counters
 
     @_alone
     def sessions(self, *, force: bool = False, dry_run: bool = False) -> dict:
         root = self.settings.source("sessions")
-        files = self._files(root, sessions.discover(self.spark, root), force)
+        found = sessions.discover(self.spark, root)
+        files = self._files(root, found, force)
         paths = [r.file_path for r in files.select("file_path").collect()]
         if not paths:
             return {"found": 0}
@@ -94,7 +107,7 @@ class Run:
         cut = chunking.chunk(items, ["session_id"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap)
         done = files.join(kinds.withColumnRenamed("path", "file_path"), "file_path", "left").withColumn("session_id", messages.session_id("name")).withColumn("offset", F.col("file_size"))
         kind = done.select("session_id", "source_type", F.col("file_mtime").alias("mtime")).dropDuplicates(["session_id"])
-        return self._finish(to_rows(cut, kind, F.coalesce("source_type", F.lit("main_user"))), done, dry_run)
+        return self._finish(to_rows(cut, kind, F.coalesce("source_type", F.lit("main_user"))), done, dry_run, unchanged=found.count() - len(paths))
 
     @_alone
     def chat(self, *, force: bool = False, dry_run: bool = False, file: str | None = None) -> dict:
@@ -115,7 +128,7 @@ class Run:
         cut = chunking.chunk(items.withColumn("session_id", messages.chat_session_id("channel")), ["session_id", "channel"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap, order=[F.col("turn_index")])
         channel = F.regexp_replace("name", r"\.jsonl$", "")
         done = files.withColumn("session_id", messages.chat_session_id(channel)).withColumn("source_type", F.lit("chat")).withColumn("offset", F.col("file_size"))
-        return self._finish(to_rows(cut, done.select("session_id", F.col("file_mtime").alias("mtime")), F.lit("chat"), F.col("channel")), done, dry_run)
+        return self._finish(to_rows(cut, done.select("session_id", F.col("file_mtime").alias("mtime")), F.lit("chat"), F.col("channel")), done, dry_run, unchanged=found.count() - len(paths))
 
     @_alone
     def store(self, *, force: bool = False, dry_run: bool = False) -> dict:
@@ -143,5 +156,5 @@ class Run:
             left = store.visible_messages(all_messages).select("session_id").distinct()
             empty = store.read_table(self.spark, path, "sessions").select(F.col("id").alias("session_id")).join(left, "session_id", "left_anti")
             if not empty.isEmpty():
-                self.target.publish({"session_chunks": self.target.removed("session_chunks", empty, "session_id")})
+                self.target.publish(indexing.without(self.target, empty) | {"session_chunks": self.target.removed("session_chunks", empty, "session_id")})
         return totals or {"found": 0}

@@ -9,6 +9,7 @@ channel shuffles only rows that match or survive a task's own top-k.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -112,20 +113,17 @@ def cover_density(positions: list[list[int]]) -> float:
     return total
 
 
-def _cover_scores(positions: Column) -> Column:
+def cover_scores(positions: Column, gaps: bool = False) -> Column:
+    """Cover density of the terms' positions, which may be given as gaps."""
+
     @F.pandas_udf("double")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda terms: cover_density([list(p) for p in terms]))
+        read = itertools.accumulate if gaps else iter
+        return column.map(lambda terms: cover_density([list(read(p)) for p in terms]))
 
     return run(positions)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, positions of every word (materialise and bucket by term for many batches)."""
-    flat = chunks.select("id", F.posexplode(words("content")).alias("at", "term"))
-    return flat.groupBy("term", "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
-
-
 def lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows that hold every query term, by cover density; ties by id.
 
@@ -138,7 +136,7 @@ def lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     met = hits.join(wanted, "term").groupBy("query_id", "id").agg(F.first("pool").alias("pool"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("found"))
     full = met.where(F.size("found") == F.col("n"))
     one = full.where("n = 1").withColumn("score", F.lit(0.1) * F.size(F.col("found")[0]["positions"]))
-    many = full.where("n > 1").withColumn("score", _cover_scores(F.col("found")["positions"]))
+    many = full.where("n > 1").withColumn("score", cover_scores(F.col("found")["positions"]))
     scored = one.unionByName(many).select("query_id", "id", "pool", "score")
     return top(scored, F.col("score").desc(), F.col("id"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index as indexes
+from ..schema import CELLS, POSTINGS
+
 NOW = datetime(2024, 2, 1)
 MODEL, DIM = "model-a", 64
 
@@ -44,6 +49,41 @@ CHUNKS = """chunks AS (
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN events v ON v.event_id = d.doc_id)"""
 
 
+_BUILT: dict[tuple, indexes.Index] = {}
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells the present state of the tables that chunks come from."""
+    out = []
+    for name in ("documents", "embeddings", "events"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        own = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((own.getModificationTime(), own.getLen()))
+    return tuple(out)
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The stored indexes of :func:`chunks`, built at their first use in a session, as ingest would have.
+
+    They go to ``spark.checkpoint.dir``; a local session without it uses a temporary folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _marks(spark, sf_dir))
+    if key not in _BUILT:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tidemark-index-")
+        at = f"{base.rstrip('/')}/tidemark-index-{uuid.uuid4().hex[:12]}"
+        rows = chunks(spark, sf_dir)
+        indexes.postings(rows).write.option("compression", "zstd").parquet(f"{at}/postings")
+        centre = indexes.train(rows.where("embedding IS NOT NULL").select("id", "embedding"), DIM)
+        indexes.cells(rows, centre).write.option("compression", "zstd").parquet(f"{at}/cells")
+        cells = indexes.Cells(spark.read.schema(CELLS).parquet(f"{at}/cells"), centre, len(centre))
+        _BUILT[key] = indexes.Index(spark.read.schema(POSTINGS).parquet(f"{at}/postings"), cells)
+    return _BUILT[key]
+
+
 def queries(spark: SparkSession, sf_dir: str, limit: int = 5, offset: int = 0) -> DataFrame:
     asked = spark.createDataFrame(BATCH, "query_id int, text string, vec_id long")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent, text, times, vector
+from ..operators import index as indexes
 from ..operators import channels, chunking, evaluate, filters, fusion, incremental, lifecycle, messages
-from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, queries, table
+from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, index, queries, table
 from .search import CONFIGS, Search, Stages
 
 QUERY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,9 @@ def register(sql: str | None = None):
 
 
 def plan(spark, d, limit=5, offset=0, **options) -> Search:
-    return Search(chunks(spark, d), queries(spark, d, limit, offset), MODEL, NOW, DIM, **options)
+    """A search that reads words from stored postings."""
+    stored = indexes.Index(postings=index(spark, d).postings)
+    return Search(chunks(spark, d), queries(spark, d, limit, offset), MODEL, NOW, DIM, index=stored, **options)
 
 
 # -- channels ---------------------------------------------------------------
@@ -74,12 +77,40 @@ def dense_topk(spark, d):
     return found.select("id", "rank", F.round("score", 6).alias("score"))
 
 
+@register(f"{BASE}, {DENSE} SELECT query_id, id, rank, round(score, 6) AS score FROM dense")
+def dense_cells(spark, d):
+    """The same from the stored cells of vectors, with all cells probed."""
+    p = plan(spark, d)
+    found = index(spark, d).cells.dense(p.base(True), p.asked)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @register(f"{BASE}, {LEXICAL} SELECT query_id, id, rank, round(score, 6) AS score FROM words")
 def lexical_rank(spark, d):
-    """Every term, cover density."""
+    """Every term, cover density, from the stored postings."""
     return plan(spark, d).words.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@register(f"{BASE}, {LEXICAL} SELECT query_id, id, rank, round(score, 6) AS score FROM words")
+def lexical_scan(spark, d):
+    """The same by a scan of the texts, for stores without postings."""
+    p = plan(spark, d)
+    return channels.lexical(p.base(False), p.asked).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@register(
+    f"""WITH {CHUNKS}, flat AS (SELECT session_id, id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT session_id, id, {WORDS.format("content")} AS w FROM chunks))
+    SELECT term, id, count(*) AS n, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos, sum(pos)::BIGINT AS positions FROM flat GROUP BY term, id"""
+)
+def posting_rows(spark, d):
+    """The stored postings, read back: every word of every chunk and where it stands."""
+    rows = index(spark, d).postings.select("term", F.explode("docs").alias("doc")).select("term", "doc.id", "doc.gaps")
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("gaps")), lambda k: F.struct((F.size("gaps") - k + 1).alias("after"), F.element_at("gaps", k).alias("gap"))))
+    one = rows.select("term", "id", F.size("gaps").alias("n"), F.element_at("gaps", 1).alias("first_pos"), at.alias("g"))
+    # A gap counts in the positions of all occurrences from it on.
+    return one.groupBy("term", "id").agg(F.first("n").cast("long").alias("n"), F.first("first_pos").alias("first_pos"), F.sum("g.gap").cast("int").alias("last_pos"), F.sum(F.col("g.gap") * F.col("g.after")).alias("positions"))
+
+
 @register(
     f"""{BASE}, s AS (SELECT q.query_id, c.id, CAST(len(list_intersect(c.g, q.g)) AS DOUBLE) / len(list_distinct(list_concat(c.g, q.g))) AS score
       FROM (SELECT id, {GRAMS.format("content")} AS g FROM chunks) c, (SELECT query_id, {GRAMS.format("text")} AS g FROM queries) q)

@@ -13,6 +13,7 @@ from ..errors import QueryError
 from ..functions.intent import recent
 from ..functions.vector import check_vector
 from ..operators import channels, fusion
+from ..operators import index as indexes
 from ..operators.filters import SearchFilters, bounds, compatible, query_text
 from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR, TRIGRAM_THRESHOLD
 
@@ -63,6 +64,7 @@ class Search:
     filters: SearchFilters = field(default_factory=SearchFilters)
     stages: Stages = field(default_factory=Stages)
     trigram_threshold: float = TRIGRAM_THRESHOLD
+    index: indexes.Index | None = None
 
     @cached_property
     def asked(self) -> DataFrame:
@@ -78,10 +80,14 @@ class Search:
 
     @cached_property
     def dense(self) -> DataFrame:
+        if self.index and self.index.cells:
+            return self.index.cells.dense(self.base(True), self.asked).persist()
         return channels.dense(self.base(True), self.asked).persist()
 
     @cached_property
     def words(self) -> DataFrame:
+        if self.index and self.index.postings is not None:
+            return indexes.lexical(self.index.postings, self.base(False), self.asked).persist()
         return channels.lexical(self.base(False), self.asked).persist()
 
     @cached_property
@@ -203,22 +209,22 @@ class SearchPage:
     explain_summary: dict | None = None
 
 
-def _one(chunks: DataFrame, text: str, vector, limit: int, offset: int, filters, stages, model, now, dim, threshold) -> Search:
+def _one(chunks: DataFrame, text: str, vector, limit: int, offset: int, filters, stages, model, now, dim, threshold, index=None) -> Search:
     stages = stages or Stages()
     vector = check_vector(vector, dim) if stages.dense else None
     schema = "query_id int, text string, embedding array<double>, limit int, offset int"
     queries = chunks.sparkSession.createDataFrame([(0, text, vector, limit, offset)], schema)
-    return Search(chunks, queries, model, now or datetime.now(UTC), dim, filters or SearchFilters(), stages, threshold)
+    return Search(chunks, queries, model, now or datetime.now(UTC), dim, filters or SearchFilters(), stages, threshold, index)
 
 
-def search(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: int = 0, *, filters: SearchFilters | None = None, stages: Stages | None = None, model: str = "default", now=None, dim: int = EMBED_DIM, explain: bool = False, trigram_threshold: float = TRIGRAM_THRESHOLD):
+def search(chunks: DataFrame, query: str, embed=None, limit: int = 5, offset: int = 0, *, filters: SearchFilters | None = None, stages: Stages | None = None, model: str = "default", now=None, dim: int = EMBED_DIM, explain: bool = False, trigram_threshold: float = TRIGRAM_THRESHOLD, index: indexes.Index | None = None):
     """Rows of one query. ``embed`` maps text to a vector and is called only when dense is on."""
     text = query_text(query)
     limit, offset = bounds(limit, offset)
     vector = embed(text) if (stages or Stages()).dense and embed is not None else None
     if (stages or Stages()).dense and embed is None:
         raise QueryError("no embedder is configured", code="embedding_unavailable")
-    s = _one(chunks, text, vector, limit, offset, filters, stages, model, now, dim, trigram_threshold)
+    s = _one(chunks, text, vector, limit, offset, filters, stages, model, now, dim, trigram_threshold, index)
     columns = [*RESULT, F.size("embedding").alias("embedding_dimension"), "id", *(["explain"] if explain else [])]
     try:
         rows = s.results.orderBy("place").select(*columns).collect()

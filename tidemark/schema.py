@@ -49,6 +49,12 @@ FACTS = _struct(
     ("created_at", T.TimestampType()),
 )
 
+#: Indexes derived from chunks; always possible to rebuild, so in no ledger and no backup.
+POSTINGS = _struct(("term", T.StringType()), ("session_id", T.StringType()), ("docs", T.ArrayType(_struct(("id", T.StringType()), ("gaps", T.ArrayType(T.IntegerType()))))))
+CELLS = _struct(("cell", T.IntegerType()), ("session_id", T.StringType()), ("id", T.StringType()), ("embedding", T.ArrayType(T.FloatType())))
+CENTROIDS = _struct(("cell", T.IntegerType()), ("centroid", T.ArrayType(T.FloatType())), ("probes", T.IntegerType()))
+DERIVED = {"chunk_postings": POSTINGS, "chunk_cells": CELLS, "chunk_centroids": CENTROIDS}
+
 TABLES = {"session_chunks": CHUNKS, "ingestion_state": CHECKPOINTS, "session_facts": FACTS}
 
 # Fixed values of the retrieval contract.

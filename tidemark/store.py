@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import IngestError, MigrationError, SnapshotError
-from .schema import TABLES
+from .schema import DERIVED, TABLES
+
+SCHEMAS = TABLES | DERIVED
 
 #: One file names the folders of every table.
 POINTER = "_current.json"
@@ -114,16 +116,16 @@ class Store:
         return None if own is None else "+".join(own)
 
     def table(self, name: str) -> DataFrame:
-        return self._read(name, self.current().get(name, []))
+        return self.read(name, self.current().get(name, []))
 
-    def _read(self, name: str, folders: list[str]) -> DataFrame:
+    def read(self, name: str, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{x}" for x in folders))
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{name}/{x}" for x in folders))
 
     def write(self, name: str, rows: DataFrame) -> str:
         """Write rows as a folder that no reader sees before it is published."""
-        own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
+        own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields))
         last = max((int(x.split("-")[1]) for x in self.files.names(name) if x.startswith("v-")), default=-1)
         target = f"v-{last + 1:06d}-{uuid.uuid4().hex[:8]}"
         self.pending.add(f"{name}/{target}")
@@ -158,27 +160,32 @@ class Store:
         Folders without such a key stay as they are, the others are written anew.
         """
         new = self.write(name, rows)
-        return self._without(name, self._read(name, [new]), key) + [new]
+        return self._without(name, self.read(name, [new]), key) + [new]
+
+    def placed(self, name: str, folder: str, keys: DataFrame | None, key: str) -> list[str]:
+        """The folders of a table with a written folder, in place of the rows with one of ``keys`` (None: beside all rows)."""
+        old = self.current().get(name, []) if keys is None else self._without(name, keys, key)
+        return self._compact(name, [*old, folder])
 
     def removed(self, name: str, keys: DataFrame, key: str) -> list[str]:
         """The folders of a table without the rows that have one of the keys."""
-        return self._without(name, keys, key) or [self.write(name, self._read(name, []))]
+        return self._without(name, keys, key) or [self.write(name, self.read(name, []))]
 
     def _without(self, name: str, keys: DataFrame, key: str) -> list[str]:
         folders, gone = self.current().get(name, []), keys.select(key).distinct()
         if not folders:
             return []
         place = F.regexp_extract(F.col("_metadata.file_path"), f"/{name}/(v-[^/]+)/", 1)
-        met = self._read(name, folders).select(key, place.alias("folder")).join(gone, key, "left_semi")
+        met = self.read(name, folders).select(key, place.alias("folder")).join(gone, key, "left_semi")
         touched = {r.folder for r in met.select("folder").distinct().collect()}  # MAX_FOLDERS at most
         kept = [x for x in folders if x not in touched]
         if touched:
-            rest = self._read(name, [x for x in folders if x in touched]).join(gone, key, "left_anti")
+            rest = self.read(name, [x for x in folders if x in touched]).join(gone, key, "left_anti")
             kept.append(self.write(name, rest))
         return self._compact(name, kept)
 
     def _compact(self, name: str, folders: list[str]) -> list[str]:
-        return folders if len(folders) < MAX_FOLDERS else [self.write(name, self._read(name, folders))]
+        return folders if len(folders) < MAX_FOLDERS else [self.write(name, self.read(name, folders))]
 
     def vacuum(self, name: str, keep: int = 2) -> list[str]:
         """Delete old folders, the oldest first; never a current one or one of an open commit.
