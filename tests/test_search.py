@@ -2,9 +2,11 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.errors import QueryError
 from tidemark.operators.filters import SearchFilters
-from tidemark.plans.search import CONFIGS, Stages, run_search, search, search_page
+from tidemark.plans.search import CONFIGS, Search, Stages, run_search, search, search_page
 
 NOW = datetime(2024, 6, 1, tzinfo=UTC)
 Q, FAR = [1.0, 0.0, 0.0], [0.5, 0.8660254, 0.0]
@@ -131,3 +133,31 @@ def test_empty_corpus(spark):
     df = spark.createDataFrame([], SCHEMA)
     rows, summary = search(df, "anything", lambda t: Q, model="m", now=NOW, dim=3, explain=True)
     assert rows == [] and summary["pool_limit"] == 30 and summary["returned_count"] == 0
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_filters_by_query_equal_single_searches(spark, indexed):
+    """A batch with a filter for each query finds what each query finds alone, and decays alike."""
+    from tidemark.operators import index
+    from tidemark.operators.filters import QueryFilters
+    from tidemark.plans import corpus, registry
+
+    sf = "/root/testdata/sf0.001"
+    own = corpus.index(spark, sf) if indexed else None
+    chunks, asked = corpus.chunks(spark, sf), corpus.queries(spark, sf)
+    each = {q: f for q, f in registry.EACH.items() if q != 1}  # the second query has none
+
+    def found(queries, filters):
+        s = Search(chunks, queries, corpus.MODEL, corpus.NOW, corpus.DIM, filters=filters, index=own)
+        rows = s.results.select("query_id", "place", "id", F.round("score", 9).alias("score"), "decayed").collect()
+        s.release()
+        return sorted(map(tuple, rows))
+
+    together = found(asked, QueryFilters(each, asked))
+    alone = [found(asked.where(F.col("query_id") == q), each.get(q, SearchFilters())) for q in range(5)]
+    assert together == [r for rows in alone for r in rows] and {r[0] for r in together} >= {0, 1, 2}
+    with pytest.raises(QueryError):
+        QueryFilters({99: SearchFilters()}, asked)
+    union = QueryFilters({q: SearchFilters.of(source_types=[t]) for q, t in enumerate(("en", "fr", "de", "es", "en"))}, asked)
+    plan = chunks.where(union.predicate())._jdf.queryExecution().executedPlan().toString()
+    assert "In(lang, [de,en,es,fr])" in plan.replace(", ", ",").replace("In(lang,", "In(lang, ")

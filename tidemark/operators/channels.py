@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions.text import contains_fold, query_terms, trigrams, words
-from ..schema import MAX_EXACT_CHARS, TRIGRAM_THRESHOLD
+from ..schema import MAX_BATCH, MAX_EXACT_CHARS, TRIGRAM_THRESHOLD
 
-MAX_QUERIES = 10_000
+MAX_QUERIES = MAX_BATCH
+#: Columns that filters by query look at.
+META = ("source_type", "session_id", "timestamp_start")
 
 
 def top(rows: DataFrame, *order: Column) -> DataFrame:
@@ -39,8 +41,19 @@ def collected(queries: DataFrame, *columns: str) -> list:
     return rows
 
 
-def _best(ids: list, matrix: np.ndarray, pools: np.ndarray, types: list[pa.DataType]):
-    """Each batch's nearest rows for every query: a task's part of the top-k."""
+def nearest(cos: np.ndarray, pool: int, mask: np.ndarray | None = None) -> np.ndarray:
+    """The places of the ``pool`` best (ties of the last place stay) among those of the mask."""
+    own = np.arange(len(cos)) if mask is None else np.flatnonzero(mask)
+    if len(own) <= pool:
+        return own
+    return own[cos[own] >= np.partition(cos[own], len(own) - pool)[len(own) - pool]]
+
+
+def _best(ids: list, matrix: np.ndarray, pools: np.ndarray, types: list[pa.DataType], masks=None):
+    """Each batch's nearest rows for every query: a task's part of the top-k.
+
+    ``masks`` (ids and ``META`` columns to masks by a query's place) tells which rows a query may meet.
+    """
     size = np.sqrt((matrix * matrix).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,12 +66,9 @@ def _best(ids: list, matrix: np.ndarray, pools: np.ndarray, types: list[pa.DataT
                     cos = np.where(n > 0, (x @ matrix.T) / n, 0.0)
                 keys = np.array(b.column(0).to_pylist(), object)
                 out: tuple[list, list, list] = [], [], []
+                seen = masks(ids, *(b.column(k) for k in (2, 3, 4))) if masks else {}
                 for q, pool in enumerate(pools):
-                    if len(keys) > pool:  # ties of the last place stay
-                        least = np.partition(cos[:, q], len(keys) - pool)[len(keys) - pool]
-                        own = np.flatnonzero(cos[:, q] >= least)
-                    else:
-                        own = np.arange(len(keys))
+                    own = nearest(cos[:, q], pool, seen.get(q))
                     out[0].extend([ids[q]] * len(own))
                     out[1].extend(keys[own])
                     out[2].extend(cos[own, q])
@@ -67,7 +77,7 @@ def _best(ids: list, matrix: np.ndarray, pools: np.ndarray, types: list[pa.DataT
     return run
 
 
-def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def dense(chunks: DataFrame, queries: DataFrame, masks=None) -> DataFrame:
     """Cosine similarity, best first, ties by id. Exact, not approximate.
 
     A task multiplies blocks of chunk vectors with all query vectors and keeps
@@ -79,8 +89,8 @@ def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     if not rows:
         return top(chunks.sparkSession.createDataFrame([], f"{schema}, pool int"), F.col("id"))
     types = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.string(), pa.float64()]
-    best = _best([r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64), np.array([r.pool for r in rows]), types)
-    found = chunks.select("id", "embedding").mapInArrow(best, schema)
+    best = _best([r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64), np.array([r.pool for r in rows]), types, masks)
+    found = chunks.select("id", "embedding", *(META if masks else ())).mapInArrow(best, schema)
     return top(found.join(queries.select("query_id", "pool"), "query_id"), F.col("score").desc(), F.col("id"))
 
 
@@ -124,9 +134,11 @@ def cover_scores(positions: Column, gaps: bool = False) -> Column:
     return run(positions)
 
 
-def lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def lexical(chunks: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
     """Rows that hold every query term, by cover density; ties by id.
 
+    ``keep``, here and below, takes hits (query_id, id, ...) before the pool is cut to those that may be found.
+
     Words are joined to the batch's terms before anything is shuffled.
     """
     asked = queries.select("query_id", "pool", query_terms("text").alias("terms")).where(F.size("terms") > 0)
@@ -135,6 +147,7 @@ def lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     hits = flat.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
     met = hits.join(wanted, "term").groupBy("query_id", "id").agg(F.first("pool").alias("pool"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("found"))
     full = met.where(F.size("found") == F.col("n"))
+    full = keep(full) if keep else full
     one = full.where("n = 1").withColumn("score", F.lit(0.1) * F.size(F.col("found")[0]["positions"]))
     many = full.where("n > 1").withColumn("score", cover_scores(F.col("found")["positions"]))
     scored = one.unionByName(many).select("query_id", "id", "pool", "score")
@@ -181,7 +194,7 @@ def _shared_trigrams(wanted: frozenset[str], limit: float):
     return run
 
 
-def trigram(chunks: DataFrame, queries: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+def trigram(chunks: DataFrame, queries: DataFrame, threshold: float = TRIGRAM_THRESHOLD, keep=None) -> DataFrame:
     """Rows whose trigram sets are similar enough; ties by id.
 
     A text similar to a query of n trigrams by t has n / t trigrams at most, so
@@ -194,12 +207,16 @@ def trigram(chunks: DataFrame, queries: DataFrame, threshold: float = TRIGRAM_TH
     flat = chunks.select("id", "content").mapInArrow(_shared_trigrams(frozenset().union(*sets), limit), "id string, m int, gram string")
     met = flat.join(wanted, "gram").groupBy("query_id", "id").agg(F.first("pool").alias("pool"), F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
     scored = met.select("query_id", "id", "pool", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")).where(F.col("score") >= threshold)
-    return top(scored, F.col("score").desc(), F.col("id"))
+    return top(keep(scored) if keep else scored, F.col("score").desc(), F.col("id"))
 
 
-def exact(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Case-insensitive substring of a short query, newest first (no time last), ties by id."""
+def exact(chunks: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
+    """Case-insensitive substring of a short query, newest first (no time last), ties by id.
+
+    Every text meets every needle, so the needles are a bounded batch and broadcast.
+    """
+    collected(queries, "query_id")
     short = queries.where(F.length(F.trim("text")) <= MAX_EXACT_CHARS).select("query_id", "pool", F.trim("text").alias("needle"))
-    met = chunks.select("id", "content", "timestamp_start").join(short, contains_fold("content", "needle"))
+    met = chunks.select("id", "content", "timestamp_start").join(F.broadcast(short), contains_fold("content", "needle"))
     scored = met.select("query_id", "id", "pool", "timestamp_start", F.lit(1.0).alias("score"))
-    return top(scored, F.col("timestamp_start").desc_nulls_last(), F.col("id"))
+    return top(keep(scored) if keep else scored, F.col("timestamp_start").desc_nulls_last(), F.col("id"))

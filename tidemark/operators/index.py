@@ -85,7 +85,7 @@ def postings(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("term", "session_id", "docs").repartitionByRange("term").sortWithinPartitions("term", "session_id")
 
 
-def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame) -> DataFrame:
+def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
     """The word channel from :func:`postings`: ``query_id, id, rank, score``.
 
     ``allowed``: the ids that the filters leave. No text is read.
@@ -98,6 +98,7 @@ def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame) -> DataFr
     hits = stored.join(wanted, "term").select("query_id", "pool", "n", "term", F.explode("docs").alias("d")).select("query_id", "pool", "n", "term", "d.id", "d.gaps")
     met = hits.groupBy("query_id", "id").agg(F.first("pool").alias("pool"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("term", "gaps"))).alias("found"))
     full = met.where(F.size("found") == F.col("n")).join(allowed.select("id"), "id", "left_semi")
+    full = keep(full) if keep else full
     one = full.where("n = 1").withColumn("score", F.lit(0.1) * F.size(F.col("found")[0]["gaps"]))
     many = full.where("n > 1").withColumn("score", channels.cover_scores(F.col("found")["gaps"], gaps=True))
     scored = one.unionByName(many).select("query_id", "id", "pool", "score")
@@ -167,7 +168,7 @@ def cells(chunks: DataFrame, centre: np.ndarray) -> DataFrame:
     return rows.mapInArrow(_assign(centre), CELLS).repartitionByRange("cell").sortWithinPartitions("cell")
 
 
-def _probe(ids: list, matrix: np.ndarray, pools: np.ndarray, by_cell: dict[int, np.ndarray], types: list[pa.DataType]):
+def _probe(ids: list, matrix: np.ndarray, pools: np.ndarray, by_cell: dict[int, np.ndarray], types: list[pa.DataType], masks=None):
     """Each batch's nearest rows for the queries that probe their cells."""
     size = np.sqrt((matrix * matrix).sum(axis=1))
     dim = matrix.shape[1]
@@ -187,10 +188,9 @@ def _probe(ids: list, matrix: np.ndarray, pools: np.ndarray, by_cell: dict[int,
                 n = np.sqrt((x * x).sum(axis=1))[:, None] * size[asked]
                 with np.errstate(invalid="ignore", divide="ignore"):
                     cos = np.where(n > 0, (x @ matrix[asked].T) / n, 0.0)
+                seen = masks(ids, *(own.column(k) for k in (3, 4, 5))) if masks else {}
                 for k, q in enumerate(asked.tolist()):
-                    keep = np.arange(len(keys))
-                    if len(keys) > pools[q]:  # ties of the last place stay
-                        keep = np.flatnonzero(cos[:, k] >= np.partition(cos[:, k], len(keys) - pools[q])[len(keys) - pools[q]])
+                    keep = channels.nearest(cos[:, k], pools[q], seen.get(q))
                     out[0].extend([ids[q]] * len(keep))
                     out[1].extend(keys[keep])
                     out[2].extend(cos[keep, k])
@@ -207,7 +207,7 @@ class Cells:
     centre: np.ndarray
     probes: int
 
-    def dense(self, allowed: DataFrame, queries: DataFrame, probes: int | None = None) -> DataFrame:
+    def dense(self, allowed: DataFrame, queries: DataFrame, probes: int | None = None, masks=None) -> DataFrame:
         """The dense channel over the cells nearest to each query: ``query_id, id, rank, score``."""
         asked = [r for r in channels.collected(queries, "query_id", "embedding", "pool") if r.embedding is not None]
         kind = queries.schema["query_id"].dataType.simpleString()
@@ -220,8 +220,9 @@ class Cells:
         by_cell = {-1: np.arange(len(asked))} | {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
         rows = self.rows if len(by_cell) > len(self.centre) else self.rows.where(F.col("cell").isin([int(c) for c in by_cell]))
         types = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.string(), pa.float64()]
-        usable = rows.join(allowed.select("id"), "id", "left_semi").select("cell", "id", "embedding")
-        best = _probe([r.query_id for r in asked], matrix, np.array([r.pool for r in asked]), by_cell, types)
+        bare = rows.select("cell", "id", "embedding")
+        usable = bare.join(allowed.select("id", *channels.META), "id").select("cell", "id", "embedding", *channels.META) if masks else bare.join(allowed.select("id"), "id", "left_semi").select("cell", "id", "embedding")
+        best = _probe([r.query_id for r in asked], matrix, np.array([r.pool for r in asked]), by_cell, types, masks)
         found = usable.mapInArrow(best, schema)
         return channels.top(found.join(queries.select("query_id", "pool"), "query_id"), F.col("score").desc(), F.col("id"))
 

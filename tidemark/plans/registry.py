@@ -12,7 +12,7 @@ from ..functions import intent, text, times, vector
 from ..operators import index as indexes
 from ..operators import channels, chunking, evaluate, filters, fusion, incremental, lifecycle, messages
 from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, index, queries, table
-from .search import CONFIGS, Search, Stages
+from .search import CONFIGS, Search, Stages, search_page
 
 QUERY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +138,36 @@ def filtered_candidates(spark, d):
     return plan(spark, d, filters=FILTER).base(False).select("id", "session_id", "source_type")
 
 
+#: A filter for each query of the batch.
+EACH = {
+    0: filters.SearchFilters.of(source_types=["en"]),
+    1: filters.SearchFilters.of(session_ids=["src1", "src3"]),
+    2: filters.SearchFilters.of(time_from="2024-01-01T06:00:00Z"),
+    3: filters.SearchFilters.of(source_types=["de", "fr"], time_to="2024-01-02T00:00:00Z"),
+    4: filters.SearchFilters.of(source_types=["es", "en"], session_ids=["src2", "src4"], time_from="2024-01-01T01:00:00Z", time_to="2024-01-04T00:00:00Z"),
+}
+MEETS = """CASE {q}.query_id WHEN 0 THEN {c}.source_type = 'en' WHEN 1 THEN {c}.session_id IN ('src1', 'src3') WHEN 2 THEN {c}.timestamp_start >= TIMESTAMP '2024-01-01 06:00:00'
+  WHEN 3 THEN {c}.source_type IN ('de', 'fr') AND {c}.timestamp_start < TIMESTAMP '2024-01-02'
+  ELSE {c}.source_type IN ('es', 'en') AND {c}.session_id IN ('src2', 'src4') AND {c}.timestamp_start >= TIMESTAMP '2024-01-01 01:00:00' AND {c}.timestamp_start < TIMESTAMP '2024-01-04' END"""
+EACH_DENSE = DENSE.replace("AND c.embedding_model", f"AND {MEETS.format(q='q', c='c')} AND c.embedding_model")
+EACH_WORDS = LEXICAL.replace("GROUP BY query_id, id)) WHERE", f"GROUP BY query_id, id) k WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.id = k.id AND {MEETS.format(q='k', c='c')})) WHERE")
+EACH_EXACT = EXACT.replace("<= 20 AND", f"<= 20 AND {MEETS.format(q='q', c='c')} AND")
+EACH_TRIGRAM = TRIGRAM.replace("AS score\n    FROM (SELECT id,", "AS score\n    FROM (SELECT id, source_type, session_id, timestamp_start,").replace("FROM words)) q)", f"FROM words)) q WHERE {MEETS.format(q='q', c='c')})")
+
+
+@register(
+    f"""{BASE}, {EACH_DENSE}, {EACH_WORDS}, {EACH_TRIGRAM}, {EACH_EXACT}
+    SELECT 'dense' AS channel, query_id, id, rank FROM dense UNION ALL SELECT 'words', query_id, id, rank FROM words
+    UNION ALL SELECT 'trigram', query_id, id, rank FROM tri UNION ALL SELECT 'exact', query_id, id, rank FROM exact"""
+)
+def filters_by_query(spark, d):
+    """Five queries with five filters, in every channel."""
+    asked = queries(spark, d)
+    p = Search(chunks(spark, d), asked, MODEL, NOW, DIM, filters=filters.QueryFilters(EACH, asked), index=indexes.Index(index(spark, d).postings))
+    parts = {"dense": p.dense, "words": p.words, "trigram": p.grams, "exact": p.exact}
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(c).alias("channel"), "query_id", "id", "rank") for c, rows in parts.items()))
+
+
 # -- fusion to page ---------------------------------------------------------
 
 FUSED = f"""fused AS (SELECT query_id, id, sum(w) AS score, max(d) AS dense_rank, max(l) AS lexical_rank, max(e) AS exact_rank FROM (
@@ -184,6 +214,20 @@ def lookahead_page(spark, d):
     return rows.groupBy("query_id").agg(F.count("*").alias("fetched"), more.alias("has_more"), F.when(more, F.lit(5).cast("long")).alias("next_offset"))
 
 
+@register(
+    f"""{ALL}, {RANKED}, wanted AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS c FROM ranked WHERE rank <= 6)
+    SELECT query_id, id, CAST(rank - 2 AS INTEGER) AS place, c > 5 AS has_more, CASE WHEN c > 5 THEN 5 END AS next_offset FROM wanted WHERE rank > 2 AND rank <= 5"""
+)
+def search_pages(spark, d):
+    """The paging call itself, once for each query: look-ahead, page, next offset."""
+    rows, stored = chunks(spark, d), indexes.Index(postings=index(spark, d).postings)
+    parts = []
+    for q in queries(spark, d).collect():  # the batch: five queries
+        page = search_page(rows, q.text, lambda t, v=q.embedding: v, 3, 2, stages=Stages(dedup=False), model=MODEL, now=NOW, dim=DIM, index=stored)
+        parts += [(q.query_id, r.id, k, page.has_more, page.next_offset) for k, r in enumerate(page.results, 1)]
+    return spark.createDataFrame(parts, "query_id int, id string, place int, has_more boolean, next_offset int")
+
+
 def _shared(spark, d) -> DataFrame:
     """Rows whose equal contents share a vector, all of one query and one rank."""
     w = Window.partitionBy("content").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

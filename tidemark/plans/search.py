@@ -14,7 +14,7 @@ from ..functions.intent import recent
 from ..functions.vector import check_vector
 from ..operators import channels, fusion
 from ..operators import index as indexes
-from ..operators.filters import SearchFilters, bounds, compatible, query_text
+from ..operators.filters import QueryFilters, SearchFilters, bounds, compatible, query_text
 from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR, TRIGRAM_THRESHOLD
 
 BASE = ("session_id", "source_type", "timestamp_start", "created_at", "embedding_model")
@@ -61,7 +61,7 @@ class Search:
     model: str
     now: datetime
     dim: int = EMBED_DIM
-    filters: SearchFilters = field(default_factory=SearchFilters)
+    filters: SearchFilters | QueryFilters = field(default_factory=SearchFilters)
     stages: Stages = field(default_factory=Stages)
     trigram_threshold: float = TRIGRAM_THRESHOLD
     index: indexes.Index | None = None
@@ -78,17 +78,23 @@ class Search:
     # Channels are kept: at most a pool for each query, read by fusion, fallback,
     # summary and by every variant of the search.
 
+    @property
+    def _keep(self):
+        """Where filters differ by query: what takes a channel's hits to those that their queries may find."""
+        return (lambda hits: self.filters.keep(hits, self.base(False))) if isinstance(self.filters, QueryFilters) and self.filters else None
+
     @cached_property
     def dense(self) -> DataFrame:
+        masks = self.filters.masks if self._keep else None
         if self.index and self.index.cells:
-            return self.index.cells.dense(self.base(True), self.asked).persist()
-        return channels.dense(self.base(True), self.asked).persist()
+            return self.index.cells.dense(self.base(True), self.asked, masks=masks).persist()
+        return channels.dense(self.base(True), self.asked, masks).persist()
 
     @cached_property
     def words(self) -> DataFrame:
         if self.index and self.index.postings is not None:
-            return indexes.lexical(self.index.postings, self.base(False), self.asked).persist()
-        return channels.lexical(self.base(False), self.asked).persist()
+            return indexes.lexical(self.index.postings, self.base(False), self.asked, self._keep).persist()
+        return channels.lexical(self.base(False), self.asked, self._keep).persist()
 
     @cached_property
     def unmatched(self) -> DataFrame:
@@ -97,7 +103,7 @@ class Search:
 
     @cached_property
     def grams(self) -> DataFrame:
-        return channels.trigram(self.base(False), self.unmatched, self.trigram_threshold).persist()
+        return channels.trigram(self.base(False), self.unmatched, self.trigram_threshold, self._keep).persist()
 
     @cached_property
     def lexical(self) -> DataFrame:
@@ -105,7 +111,7 @@ class Search:
 
     @cached_property
     def exact(self) -> DataFrame:
-        return channels.exact(self.base(False), self.asked).persist()
+        return channels.exact(self.base(False), self.asked, self._keep).persist()
 
     def variant(self, stages: Stages) -> Search:
         """The same search with other stages, sharing the channels."""
@@ -136,7 +142,7 @@ class Search:
         rows = self.fused.join(self.asked.select("query_id", "text", "window", "limit", "offset"), "query_id")
         timed = F.lit(False)
         if self.stages.temporal:
-            timed = F.lit(True) if self.filters.timed else recent("text")
+            timed = self.filters.decays(recent("text"))
         return fusion.rank(fusion.apply_decay(rows, F.lit(self.now), timed))
 
     @cached_property

@@ -66,6 +66,8 @@ DEFAULT_LIMIT, MAX_PAGE_LIMIT, MAX_SEARCH_LIMIT, MAX_OFFSET = 5, 20, 256, 255
 MIN_POOL, MAX_POOL, POOL_FACTOR = 30, 1000, 5
 MAX_QUERY_CHARS, MAX_EXACT_CHARS = 8000, 20
 MAX_FILTER_VALUES, MAX_SOURCE_TYPE_LEN, MAX_SESSION_ID_LEN = 50, 50, 128
+#: Queries of one batch: a client's, small enough to be broadcast.
+MAX_BATCH = 10_000
 EMBED_DIM, MAX_EMBED_CHARS = 1024, 32000
 TRIGRAM_THRESHOLD = 0.3
 
