@@ -106,11 +106,28 @@ def leakage(final: DataFrame, rules: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def split(rows: DataFrame, holdout: dict[str, int]) -> DataFrame:
-    """The first rows of each bucket tune, the last ``holdout`` ones test."""
+    """The first rows of each bucket tune, the last ``holdout`` ones test (``query_id`` is a key).
+
+    Each task keeps no more of a bucket than may be held out; only those rows meet by bucket.
+    """
+    if not holdout:
+        return rows.withColumn("split", F.lit("tune"))
     sizes = F.create_map(*(F.lit(x) for pair in holdout.items() for x in pair))
-    by = Window.partitionBy("bucket")
-    n = F.count("*").over(by) - F.coalesce(sizes[F.col("bucket")], F.lit(0))
-    return rows.withColumn("split", F.when(F.row_number().over(by.orderBy("query_id")) <= n, "tune").otherwise("holdout"))
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("query_id").desc()))
+    last = rows.where(F.col("bucket").isin(*holdout)).select("bucket", "query_id").withColumn("turn", turn).where(F.col("turn") <= max(holdout.values()))
+    held = last.where(F.col("turn") <= sizes[F.col("bucket")]).select("query_id", F.lit(True).alias("held"))
+    return rows.join(held, "query_id", "left").withColumn("split", F.when(F.col("held"), "holdout").otherwise("tune")).select(*rows.columns, "split")
+
+
+def apart(a: DataFrame, b: DataFrame, key: str = "query_id") -> DataFrame:
+    """``isolated``: one row that tells whether two sets share no key."""
+    return a.select(key).intersect(b.select(key)).limit(1).agg((F.count("*") == 0).alias("isolated"))
+
+
+def worst_first(groups: DataFrame, by: str, *within: str) -> DataFrame:
+    """Groups with their ``place`` by a mean, the worst first, those without one last."""
+    order = Window.partitionBy(*within).orderBy(F.col(by).asc_nulls_last(), "value")
+    return groups.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def isolated(a: DataFrame, b: DataFrame, key: str = "query_id") -> bool:

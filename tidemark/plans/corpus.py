@@ -62,19 +62,24 @@ def _marks(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or a temporary one of a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The stored indexes of :func:`chunks`, built at their first use in a session, as ingest would have.
 
-    They go to ``spark.checkpoint.dir``; a local session without it uses a temporary folder.
+    They go to a folder of :func:`scratch`.
     """
     key = (spark.sparkContext.applicationId, sf_dir, _marks(spark, sf_dir))
     if key not in _BUILT:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="tidemark-index-")
-        at = f"{base.rstrip('/')}/tidemark-index-{uuid.uuid4().hex[:12]}"
+        at = scratch(spark, "index")
         rows = chunks(spark, sf_dir)
         indexes.postings(rows).write.option("compression", "zstd").parquet(f"{at}/postings")
         centre = indexes.train(rows.where("embedding IS NOT NULL").select("id", "embedding"), DIM)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import intent, text, times, vector
 from ..operators import index as indexes
 from ..operators import channels, chunking, evaluate, filters, fusion, incremental, lifecycle, messages
-from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, index, queries, table
+from ..sources import evaluation, sessions
+from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, index, queries, scratch, table
 from .search import CONFIGS, Search, Stages, search_page
 
 QUERY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -824,7 +825,7 @@ def split_isolation(spark, d):
     own = evaluate.split(docs, {"en": 20, "de": 5})
     other = table(spark, d, "labels").select(F.col("doc_id").alias("query_id"))
     pairs = (("tune and holdout", own.where("split = 'tune'"), own.where("split = 'holdout'")), ("documents and labels", docs, other))
-    return spark.createDataFrame([(name, evaluate.isolated(a, b)) for name, a, b in pairs], "pair string, isolated boolean")
+    return reduce(DataFrame.unionByName, (evaluate.apart(a, b).select(F.lit(name).alias("pair"), "isolated") for name, a, b in pairs))
 
 
 @register(
@@ -934,10 +935,117 @@ def timestamp_forms(spark, d):
     )
 
 
+HEADS = ("the LATEST plan", "not the latest", "mylatest", "last 7 days", "last 0 days", "last 366 days", "最新ではない話", "  直近の会議", "过去 3 天", "過去４日", "plain", "not latest, latest", "LAST 12 DAY")
+_HEADS = ", ".join(f"'{h}'" for h in HEADS)
+
+
 @register(
-    "SELECT * FROM (VALUES ('the LATEST plan', true), ('not the latest', false), ('mylatest', false), ('last 7 days', true), ('last 0 days', false), ('last 366 days', false), ('最新ではない話', false), ('  直近の会議', true), ('过去 3 天', true), ('過去４日', true), ('plain', false)) v(q, recent)"
+    f"""WITH q AS (SELECT doc_id, lower(translate(([{_HEADS}])[CAST(doc_id % {len(HEADS)} AS INTEGER) + 1], '０１２３４５６７８９', '0123456789') || ' ' || regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]', ' ', 'g')) AS f FROM documents),
+    p AS (SELECT doc_id, f, ltrim(f) AS s FROM q),
+    n AS (SELECT *, TRY_CAST(regexp_extract(f, '(?:^|\\W)last\\s+([0-9]{{1,3}})\\s+days?(?:\\W|$)', 1) AS INTEGER) AS a, TRY_CAST(regexp_extract(s, '^过去\\s*([0-9]{{1,3}})\\s*天', 1) AS INTEGER) AS b, TRY_CAST(regexp_extract(s, '^過去\\s*([0-9]{{1,3}})\\s*日', 1) AS INTEGER) AS c FROM p)
+    SELECT doc_id, CASE WHEN regexp_matches(f, '(^|\\W)not\\s+(the\\s+)?latest(\\W|$)') THEN false WHEN regexp_matches(f, '(^|\\W)latest(\\W|$)') THEN true
+      WHEN starts_with(s, '最新') OR starts_with(s, '直近') THEN NOT (starts_with(s, '最新ではない') OR starts_with(s, '直近ではない'))
+      ELSE coalesce(a BETWEEN 1 AND 365, false) OR coalesce(b BETWEEN 1 AND 365, false) OR coalesce(c BETWEEN 1 AND 365, false) END AS recent FROM n"""
 )
 def recency_intent(spark, d):
-    """The grammar on a column of queries."""
-    qs = ["the LATEST plan", "not the latest", "mylatest", "last 7 days", "last 0 days", "last 366 days", "最新ではない話", "  直近の会議", "过去 3 天", "過去４日", "plain"]
-    return spark.createDataFrame([(q,) for q in qs], "q string").select("q", intent.recent("q").alias("recent"))
+    """The grammar on a column of queries, made of documents."""
+    heads = F.array(*map(F.lit, HEADS))
+    tail = F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]", " ")
+    q = F.concat(F.element_at(heads, (F.col("doc_id") % len(HEADS) + 1).cast("int")), F.lit(" "), tail)
+    return table(spark, d, "documents").select("doc_id", intent.recent(q).alias("recent"))
+
+
+# -- files, scopes, order -----------------------------------------------------
+
+@register(
+    f"""WITH {CHUNKS} SELECT substr(sha256(session_id), 1, 16) AS session, row_number() OVER (PARTITION BY session_id ORDER BY timestamp_start NULLS LAST, content, id) AS place, timestamp_start, {_sql_redact('content')} AS content
+    FROM chunks WHERE session_id <> 'src0'"""
+)
+def scope_export_order(spark, d):
+    """The order of an export, as a row's place among those of its session."""
+    c = chunks(spark, d).withColumn("metadata", F.lit(None).cast("string"))
+    rows = lifecycle.export_rows(c, c.where("session_id <> 'src0'")).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("session").orderBy("at")).cast("long")
+    return rows.withColumn("place", place).select("session", "place", "timestamp_start", "content")
+
+
+@register(
+    """WITH b AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'store' WHEN 1 THEN 'chat' ELSE 'sessions' END AS scope,
+      CASE doc_id % 6 WHEN 0 THEN 'store://t' || doc_id WHEN 1 THEN 'file:/data/chat/c' || doc_id || '.jsonl' WHEN 2 THEN 'file:/data/s/u' || doc_id || '.jsonl' WHEN 3 THEN 'file:/data/s/u' || doc_id || '.jsonl.deleted.1'
+        WHEN 4 THEN 'file:/data/s/../u' || doc_id || '.jsonl' ELSE 'file:/database/u' || doc_id || '.jsonl' END AS file_path,
+      CASE doc_id % 6 WHEN 0 THEN 't' || doc_id WHEN 1 THEN 'chat-c' || doc_id WHEN 3 THEN 'u' || doc_id || ':deleted' ELSE 'u' || doc_id END AS session_id FROM documents)
+    SELECT asked, scope, file_path, session_id FROM b, (VALUES ('sessions'), ('store'), ('chat'), ('all')) v(asked) WHERE (asked = 'all' OR asked = scope) AND doc_id % 6 < 4"""
+)
+def scope_resolve(spark, d):
+    """Bindings of each scope and of all, without paths outside the roots."""
+    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    path = (
+        F.when(k == 0, F.concat(F.lit("store://t"), n)).when(k == 1, F.concat(F.lit("file:/data/chat/c"), n, F.lit(".jsonl"))).when(k == 2, F.concat(F.lit("file:/data/s/u"), n, F.lit(".jsonl")))
+        .when(k == 3, F.concat(F.lit("file:/data/s/u"), n, F.lit(".jsonl.deleted.1"))).when(k == 4, F.concat(F.lit("file:/data/s/../u"), n, F.lit(".jsonl"))).otherwise(F.concat(F.lit("file:/database/u"), n, F.lit(".jsonl")))
+    )
+    bound = lifecycle.bindings(table(spark, d, "documents").select(path.alias("file_path"), F.lit(None).cast("timestamp").alias("processed_at")))
+    return reduce(DataFrame.unionByName, (lifecycle.resolve(bound, scope, ("file:/data",)).select(F.lit(scope).alias("asked"), "scope", "file_path", "session_id") for scope in lifecycle.SCOPES))
+
+
+@register(
+    """SELECT source, lang AS value, place, ndcg FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ndcg NULLS LAST, lang) AS place
+      FROM (SELECT source, lang, round(avg(CASE WHEN lang <> 'de' THEN n_chars % 97 END), 9) AS ndcg FROM documents GROUP BY source, lang))"""
+)
+def worst_classes(spark, d):
+    """Groups by a mean, the worst first."""
+    own = F.when(F.col("lang") != "de", F.col("n_chars") % 97)
+    g = table(spark, d, "documents").groupBy("source", F.col("lang").alias("value")).agg(F.round(F.avg(own), 9).alias("ndcg"))
+    return evaluate.worst_first(g, "ndcg", "source").select("source", "value", "place", "ndcg")
+
+
+@register(
+    """SELECT conv_id || ':' || turn AS key, role, CASE WHEN turn % 3 = 1 THEN 'a' || chr(10) || text WHEN turn % 3 = 2 THEN '' ELSE text END AS text, CASE WHEN turn % 2 = 0 THEN conv_id || ':' || turn END AS stamp
+    FROM conversations WHERE text IS NOT NULL AND turn % 5 <> 4"""
+)
+def session_lines(spark, d):
+    """Session files written and read again: lists of parts, invalid and blank lines, missing times."""
+    c = table(spark, d, "conversations").where("text IS NOT NULL")
+    key = F.concat_ws(":", "conv_id", "turn")
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    content = F.when(F.col("turn") % 3 == 1, F.to_json(F.array(part("text", F.lit("a")), part("image", F.lit("no")), part("text", F.col("text")))))
+    content = content.when(F.col("turn") % 3 == 2, F.lit("[]")).otherwise(F.substring(F.to_json(F.array("text")), 2, 1_000_000_000))
+    content = F.when(F.col("turn") % 3 == 0, F.regexp_replace(content, r"\]$", "")).otherwise(content)
+    stamp = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(', "timestamp": "'), key, F.lit('"'))).otherwise(F.lit(""))
+    line = F.concat(F.lit('  {"type": "message", "message": {"role": "'), "role", F.lit('", "id": "'), key, F.lit('", "content": '), content, F.lit("}"), stamp, F.lit("} "))
+    line = F.when(F.col("turn") % 5 == 4, F.element_at(F.array(*map(F.lit, ("", "{broken", '{"type": "note"}', "[1, 2]"))), (F.col("conv_id") % 4 + 1).cast("int"))).otherwise(line)
+    at = scratch(spark, "lines")
+    c.select(line.alias("value"), key.alias("k")).repartition(8, "k").select("value").write.text(at)
+    rows = sessions.lines(spark, at)
+    keys = F.get_json_object("value", "$.message.id").alias("key")
+    named = rows.where("value LIKE '{\"type\": \"message\"%'").select("path", F.col("line_no").alias("turn_index"), keys)
+    return sessions.messages(rows).join(named, ["path", "turn_index"]).select("key", "role", "text", F.col("timestamp").alias("stamp"))
+
+
+@register("SELECT 'd' || doc_id AS id, lang, text AS content, source AS session, n_chars % 7 AS day, [lang, source] AS tags FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+def eval_corpus(spark, d):
+    """An evaluation corpus written as JSON lines and read by its reader."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+    at = scratch(spark, "corpus")
+    stamp = F.concat(F.lit("2024-01-0"), (F.col("n_chars") % 7 + 1).cast("string"), F.lit("T00:00:00Z"))
+    docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), "lang", F.col("text").alias("content"), F.col("source").alias("session"), stamp.alias("timestamp"), F.lit("chat").alias("source_kind"), F.array("lang", "source").alias("tags"), F.lit(1).alias("other")).write.json(at)
+    found = evaluation.corpus(spark, at)
+    return found.select("id", "lang", "content", "session", (F.dayofmonth("timestamp") - 1).cast("long").alias("day"), "tags")
+
+
+@register("SELECT count(*) AS found, count_if(k = 0) AS unchanged, count_if(k = 1) AS empty, count_if(k = 2) AS cron, count_if(k = 3) AS done, count_if(k = 4) AS partial, count_if(k = 5) AS error, sum(CASE WHEN k = 3 THEN n_chars ELSE 0 END)::BIGINT AS chunks FROM (SELECT doc_id % 6 AS k, n_chars FROM documents)")
+def ingest_counters(spark, d):
+    """The counters of a run."""
+    names = F.array(*map(F.lit, ("unchanged", "empty", "cron", "done", "partial", "error")))
+    k = (F.col("doc_id") % 6 + 1).cast("int")
+    return incremental.run_counters(table(spark, d, "documents").select(F.element_at(names, k).alias("status"), F.when(k == 4, F.col("n_chars")).otherwise(0).alias("chunks")))
+
+
+@register(
+    """WITH l AS (SELECT doc_id // 5 AS path, CASE WHEN doc_id // 5 % 3 = 0 AND doc_id % 5 = 2 THEN 1 ELSE 0 END AS fine FROM documents WHERE doc_id % 5 <> 4)
+    SELECT path, count(*) AS n FROM l GROUP BY path HAVING sum(fine) = 0"""
+)
+def unreadable_files(spark, d):
+    """Files with text but no record, which the error budget counts."""
+    place, path = F.col("doc_id") % 5, F.floor(F.col("doc_id") / 5)
+    value = F.when(place == 4, "").when((path % 3 == 0) & (place == 2), F.concat(F.lit('{"a": '), "doc_id", F.lit("}"))).otherwise(F.concat(F.lit("{bad "), "doc_id"))
+    return incremental.unreadable(table(spark, d, "documents").select(path.alias("path"), value.alias("value")))
