@@ -74,6 +74,20 @@ def test_word_search_reads_no_text(spark, chunks, asked, tmp_path):
     assert any("In(term" in line or "EqualTo(term" in line or "Or(" in line for line in scans)
 
 
+@pytest.mark.parametrize("counted,threshold", [(0, 0.3), (60, 0.3), (60, 0.1), (60, 0.75), (60, 1.0)])
+def test_stored_trigrams_equal_the_scan(spark, chunks, asked, tmp_path, counted, threshold):
+    once = chunks.distinct()
+    order = index.gram_order(once, counted) if counted else {}
+    index.gram_sets(once, order).write.parquet(str(tmp_path / "g"))
+    stored = spark.read.parquet(str(tmp_path / "g"))
+    more = asked.unionByName(asked.where("query_id < 4").withColumn("query_id", F.col("query_id") + 20).withColumn("text", F.concat("text", F.lit(" lantern of harbours x1"))))
+    for allowed in (once, once.where("source_type = 'chat'")):
+        got = listed(index.trigram(stored, order, allowed, more, threshold))
+        assert got == listed(channels.trigram(allowed, more, threshold))
+    plan = index.trigram(stored, order, once.select("id"), more, threshold)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(m" in plan and "LessThanOrEqual(m" in plan
+
+
 def test_all_cells_equal_the_exact_channel(spark, chunks, asked):
     once = chunks.distinct()
     centre = index.train(once.where("embedding IS NOT NULL").select("id", "embedding"), 4, cells=7)
@@ -142,6 +156,7 @@ def test_a_store_keeps_its_indexes(spark, tmp_path, monkeypatch):
         chunks, have = store.table("session_chunks"), indexing.stored(store)
         fresh = {(r.term, d.id, tuple(d.gaps)) for r in index.postings(chunks).collect() for d in r.docs}
         assert {(r.term, d.id, tuple(d.gaps)) for r in have.postings.collect() for d in r.docs} == fresh
+        assert {(r.id, frozenset(r.grams)) for r in have.grams.collect()} == {(r.id, frozenset(r.grams)) for r in index.gram_sets(chunks, {}).collect()}
         for text in ("the quay",):
             options = {"model": "hashed-8", "dim": 8, "now": NOW, "embed": lambda t: [float(len(t) % 3)] + [1.0] * 7}
             a, b = (search(chunks, text, limit=5, index=i, **options) for i in (None, have))

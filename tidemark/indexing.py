@@ -27,14 +27,23 @@ def stored(store: Store) -> index.Index:
     have = store.current()
     centre, probes = _centre(store)
     cells = index.Cells(store.table("chunk_cells"), centre, probes) if centre is not None else None
-    return index.Index(store.table("chunk_postings") if "chunk_postings" in have else None, cells)
+    part = {k: store.table(f"chunk_{k}") if f"chunk_{k}" in have else None for k in ("postings", "gram_sets")}
+    return index.Index(part["postings"], cells, part["gram_sets"], _order(store))
+
+
+def _order(store: Store) -> dict[str, int]:
+    """Places of trigrams, ``ORDER_GRAMS`` at most; none where they were never counted."""
+    return {r.gram: r.place for r in store.table("chunk_gram_order").collect()} if "chunk_gram_order" in store.current() else {}
 
 
 def rebuild(store: Store, dim: int = EMBED_DIM, cells: int | None = None) -> dict:
-    """Build postings and cells of all chunks and publish them together; what the audit of the cells measured."""
+    """Build postings, trigrams and cells of all chunks and publish them together; what the audit of the cells measured."""
     with store.writing():
         chunks = store.table("session_chunks")
         folders = {"chunk_postings": [store.write("chunk_postings", index.postings(chunks))]}
+        order = index.gram_order(chunks)
+        folders |= {"chunk_gram_sets": [store.write("chunk_gram_sets", index.gram_sets(chunks, order))]}
+        folders |= {"chunk_gram_order": [store.write("chunk_gram_order", store.spark.createDataFrame(list(order.items()), "gram string, place int"))]}
         centre = index.train(chunks.where("embedding IS NOT NULL").select("id", "embedding"), dim, cells=cells)
         measured: list = []
         if len(centre):
@@ -49,8 +58,10 @@ def rebuild(store: Store, dim: int = EMBED_DIM, cells: int | None = None) -> dic
 def changed(store: Store, rows: DataFrame, keys: DataFrame | None) -> dict[str, list[str]]:
     """The index folders after a commit of chunks ``rows`` (in place of the sessions ``keys``, None: beside all)."""
     have, out = store.current(), {}
-    if "chunk_postings" in have or store.table("session_chunks").isEmpty():
-        out["chunk_postings"] = store.placed("chunk_postings", store.write("chunk_postings", index.postings(rows)), keys, "session_id")
+    fresh = store.table("session_chunks").isEmpty()
+    for name, made in (("chunk_postings", index.postings), ("chunk_gram_sets", lambda rows: index.gram_sets(rows, _order(store)))):
+        if name in have or fresh:
+            out[name] = store.placed(name, store.write(name, made(rows)), keys, "session_id")
     centre, _ = _centre(store)
     if centre is not None:
         out["chunk_cells"] = store.placed("chunk_cells", store.write("chunk_cells", index.cells(rows, centre)), keys, "session_id")
@@ -59,4 +70,4 @@ def changed(store: Store, rows: DataFrame, keys: DataFrame | None) -> dict[str,
 
 def without(store: Store, keys: DataFrame) -> dict[str, list[str]]:
     """The index folders without the sessions ``keys``."""
-    return {name: store.removed(name, keys, "session_id") for name in ("chunk_postings", "chunk_cells") if name in store.current()}
+    return {name: store.removed(name, keys, "session_id") for name in ("chunk_postings", "chunk_gram_sets", "chunk_cells") if name in store.current()}

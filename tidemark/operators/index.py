@@ -15,6 +15,13 @@ are enough is measured: stored vectors drawn by hash are searched exactly and in
 1, 2, 4, ... cells until their mean recall reaches ``RECALL``; if only all cells
 do, the search is exact.
 
+**Trigrams.** Each chunk's distinct trigrams are stored, rarest first, by their
+number. Texts that share a share ``t`` of their trigrams differ in number by a
+factor of ``1 / t`` at most, which file footers turn into rows never read, and
+their rarest ``m - ceil(t * m) + 1`` trigrams meet, so only such pairs are
+compared in full. Rarity is that of a bounded sample of chunks (``ORDER_CHUNKS``);
+any fixed order gives the same results.
+
 Edge cases: chunks without text have no postings; null, empty, zero or
 non-finite vectors are in cell -1, which is always read, so that scores are those
 of the exact channel; without usable vectors there is that one cell; repeated ids
@@ -24,15 +31,16 @@ have a row each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, words
-from ..schema import CELLS
+from ..functions.text import query_terms, trigrams, words
+from ..schema import CELLS, GRAM_SETS
 from . import channels
 
 BLOCK = 4096
@@ -43,6 +51,7 @@ ITERATIONS = 8
 AUDITED = 50
 AUDIT_POOL = 30
 RECALL = 0.9
+ORDER_CHUNKS, ORDER_GRAMS = 2_000, 50_000
 #: So many words of a batch are also given to the scan as a list.
 LISTED = 1_000
 
@@ -105,6 +114,69 @@ def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame, keep=None
     return channels.top(scored, F.col("score").desc(), F.col("id"))
 
 
+# -- trigrams ---------------------------------------------------------------
+
+
+def _distinct_grams(lists: pa.ListArray, known: dict[str, set[str]]) -> Iterator[set[str]]:
+    for own in lists.to_pylist():
+        out: set[str] = set()
+        for w in own or ():
+            if w not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[w] = channels.local_trigrams(w)
+            out |= known[w]
+        yield out
+
+
+def _sets(place: dict[str, int]):
+    """Rarest first: trigrams without a place are rarer than all that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        for batch in batches:
+            rows = [sorted(own, key=lambda g: (place.get(g, 0), g)) for own in _distinct_grams(batch.column(2), known)]
+            columns = [pa.array([len(r) for r in rows], pa.int32()), batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["m", "session_id", "id", "grams"])
+
+    return run
+
+
+def gram_order(chunks: DataFrame, most: int = ORDER_CHUNKS, size: int = ORDER_GRAMS) -> dict[str, int]:
+    """Places (from 1, the most frequent last) of at most ``size`` trigrams, by the chunks with the ``most`` smallest hashes."""
+    drawn = chunks.where("content IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(most).select("session_id", "id", words("content").alias("w"))
+    counts = drawn.mapInArrow(_sets({}), GRAM_SETS).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rows = counts.orderBy(F.col("n").desc(), "gram").limit(size).collect()
+    return {r.gram: len(rows) - k for k, r in enumerate(rows)}
+
+
+def gram_sets(chunks: DataFrame, place: dict[str, int]) -> DataFrame:
+    """``m, session_id, id, grams`` of the chunks that have any, in order of ``m``."""
+    rows = chunks.where("content IS NOT NULL").select("session_id", "id", words("content").alias("w"))
+    return rows.mapInArrow(_sets(place), GRAM_SETS).where("m > 0").repartitionByRange("m").sortWithinPartitions("m")
+
+
+def trigram(stored: DataFrame, place: dict[str, int], allowed: DataFrame, queries: DataFrame, threshold: float, keep=None) -> DataFrame:
+    """The trigram channel from :func:`gram_sets` in the order ``place``: ``query_id, id, rank, score``. No text is read."""
+    if threshold <= 0:
+        raise ValueError("stored trigrams need a threshold above 0")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = [(r.query_id, r.pool, sorted(r.own, key=lambda g: (place.get(g, 0), g))) for r in channels.collected(queries.withColumn("own", trigrams("text")).where(F.size("own") > 0), "query_id", "pool", "own")]
+    rows = [(q, pool, len(own), own, own[: len(own) - ceil(threshold * len(own) - 1e-9) + 1]) for q, pool, own in asked]
+    wanted = queries.sparkSession.createDataFrame(rows, f"query_id {kind}, pool int, n int, own array<string>, first array<string>")
+    low, high = (min((n for _, _, n, _, _ in rows), default=0), max((n for _, _, n, _, _ in rows), default=0))
+    near = stored.where((F.col("m") >= int(threshold * low)) & (F.col("m") <= int(high / threshold) + 1)).join(allowed.select("id"), "id", "left_semi")
+    rarest = F.slice("grams", F.lit(1), (F.col("m") - F.ceil(F.lit(threshold) * F.col("m") - 1e-9) + 1).cast("int"))
+    heads = near.select("id", "m", F.explode(rarest).alias("gram"))
+    ask = wanted.select("query_id", "n", F.explode("first").alias("gram"))
+    fits = (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9) & (F.col("m") <= F.col("n") / threshold + 1e-9)
+    pairs = heads.join(ask, "gram").where(fits).select("query_id", "id").distinct()
+    met = pairs.join(near.select("id", "m", "grams"), "id").join(wanted.select("query_id", "pool", "n", "own"), "query_id")
+    shared = F.size(F.array_intersect("grams", "own"))
+    scored = met.select("query_id", "id", "pool", (shared / (F.col("n") + F.col("m") - shared)).alias("score")).where(F.col("score") >= threshold)
+    return channels.top(keep(scored) if keep else scored, F.col("score").desc(), F.col("id"))
+
+
 # -- vectors ----------------------------------------------------------------
 
 
@@ -248,3 +320,5 @@ class Index:
 
     postings: DataFrame | None = None
     cells: Cells | None = None
+    grams: DataFrame | None = None
+    order: dict[str, int] = field(default_factory=dict)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as indexes
-from ..schema import CELLS, POSTINGS
+from ..schema import CELLS, GRAM_SETS, POSTINGS
 
 NOW = datetime(2024, 2, 1)
 MODEL, DIM = "model-a", 64
@@ -85,7 +85,9 @@ def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
         centre = indexes.train(rows.where("embedding IS NOT NULL").select("id", "embedding"), DIM)
         indexes.cells(rows, centre).write.option("compression", "zstd").parquet(f"{at}/cells")
         cells = indexes.Cells(spark.read.schema(CELLS).parquet(f"{at}/cells"), centre, len(centre))
-        _BUILT[key] = indexes.Index(spark.read.schema(POSTINGS).parquet(f"{at}/postings"), cells)
+        order = indexes.gram_order(rows)
+        indexes.gram_sets(rows, order).write.option("compression", "zstd").parquet(f"{at}/grams")
+        _BUILT[key] = indexes.Index(spark.read.schema(POSTINGS).parquet(f"{at}/postings"), cells, spark.read.schema(GRAM_SETS).parquet(f"{at}/grams"), order)
     return _BUILT[key]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,8 +31,8 @@ def register(sql: str | None = None):
 
 
 def plan(spark, d, limit=5, offset=0, **options) -> Search:
-    """A search that reads words from stored postings."""
-    stored = indexes.Index(postings=index(spark, d).postings)
+    """A search that reads words and trigrams from stored indexes."""
+    stored = replace(index(spark, d), cells=None)
     return Search(chunks(spark, d), queries(spark, d, limit, offset), MODEL, NOW, DIM, index=stored, **options)
 
 
@@ -118,7 +119,17 @@ def posting_rows(spark, d):
     SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1) WHERE rank <= {POOL}"""
 )
 def trigram_topk(spark, d):
-    """Trigram similarity with its threshold."""
+    """Trigram similarity with its threshold, from the stored trigrams."""
+    p, stored = plan(spark, d), index(spark, d)
+    return indexes.trigram(stored.grams, stored.order, p.chunks, p.asked, 0.1).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+ORACLE["trigram_scan"] = ORACLE["trigram_topk"]
+
+
+@register()
+def trigram_scan(spark, d):
+    """The same by a scan of the texts, for stores without an index."""
     p = plan(spark, d)
     return channels.trigram(p.chunks, p.asked, 0.1).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -164,7 +175,7 @@ EACH_TRIGRAM = TRIGRAM.replace("AS score\n    FROM (SELECT id,", "AS score\n
 def filters_by_query(spark, d):
     """Five queries with five filters, in every channel."""
     asked = queries(spark, d)
-    p = Search(chunks(spark, d), asked, MODEL, NOW, DIM, filters=filters.QueryFilters(EACH, asked), index=indexes.Index(index(spark, d).postings))
+    p = Search(chunks(spark, d), asked, MODEL, NOW, DIM, filters=filters.QueryFilters(EACH, asked), index=replace(index(spark, d), cells=None))
     parts = {"dense": p.dense, "words": p.words, "trigram": p.grams, "exact": p.exact}
     return reduce(DataFrame.unionByName, (rows.select(F.lit(c).alias("channel"), "query_id", "id", "rank") for c, rows in parts.items()))
 
@@ -221,7 +232,7 @@ def lookahead_page(spark, d):
 )
 def search_pages(spark, d):
     """The paging call itself, once for each query: look-ahead, page, next offset."""
-    rows, stored = chunks(spark, d), indexes.Index(postings=index(spark, d).postings)
+    rows, stored = chunks(spark, d), replace(index(spark, d), cells=None)
     parts = []
     for q in queries(spark, d).collect():  # the batch: five queries
         page = search_page(rows, q.text, lambda t, v=q.embedding: v, 3, 2, stages=Stages(dedup=False), model=MODEL, now=NOW, dim=DIM, index=stored)

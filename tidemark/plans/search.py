@@ -103,6 +103,8 @@ class Search:
 
     @cached_property
     def grams(self) -> DataFrame:
+        if self.index and self.index.grams is not None and self.trigram_threshold > 0:
+            return indexes.trigram(self.index.grams, self.index.order, self.base(False), self.unmatched, self.trigram_threshold, self._keep).persist()
         return channels.trigram(self.base(False), self.unmatched, self.trigram_threshold, self._keep).persist()
 
     @cached_property

@@ -53,7 +53,9 @@ FACTS = _struct(
 POSTINGS = _struct(("term", T.StringType()), ("session_id", T.StringType()), ("docs", T.ArrayType(_struct(("id", T.StringType()), ("gaps", T.ArrayType(T.IntegerType()))))))
 CELLS = _struct(("cell", T.IntegerType()), ("session_id", T.StringType()), ("id", T.StringType()), ("embedding", T.ArrayType(T.FloatType())))
 CENTROIDS = _struct(("cell", T.IntegerType()), ("centroid", T.ArrayType(T.FloatType())), ("probes", T.IntegerType()))
-DERIVED = {"chunk_postings": POSTINGS, "chunk_cells": CELLS, "chunk_centroids": CENTROIDS}
+GRAM_SETS = _struct(("m", T.IntegerType()), ("session_id", T.StringType()), ("id", T.StringType()), ("grams", T.ArrayType(T.StringType())))
+GRAM_ORDER = _struct(("gram", T.StringType()), ("place", T.IntegerType()))
+DERIVED = {"chunk_gram_sets": GRAM_SETS, "chunk_gram_order": GRAM_ORDER, "chunk_postings": POSTINGS, "chunk_cells": CELLS, "chunk_centroids": CENTROIDS}
 
 TABLES = {"session_chunks": CHUNKS, "ingestion_state": CHECKPOINTS, "session_facts": FACTS}
 
