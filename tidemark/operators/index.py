@@ -5,8 +5,9 @@ so a replaced session replaces its rows) and always possible to rebuild.
 
 **Postings.** A row holds a word's occurrences in up to ``BLOCK`` chunks of one
 session: ids, and positions as gaps. A session with more chunks has several
-blocks, dealt by hash, so no row grows with a session. Rows are written in order
-of words, whose ranges in file footers let a search read the words it asks for.
+blocks, dealt by hash, so no row grows with a session. Each file is in order of
+words, so its page index lets a search read the words it asks for; a frequent
+word's rows are in all files.
 
 **Cells.** Centroids come from k-means over at most ``TRAIN`` vectors (those with
 the smallest hashes; a documented bound), and every vector is in the cell of its
@@ -17,7 +18,7 @@ do, the search is exact.
 
 **Trigrams.** Each chunk's distinct trigrams are stored, rarest first, by their
 number. Texts that share a share ``t`` of their trigrams differ in number by a
-factor of ``1 / t`` at most, which file footers turn into rows never read, and
+factor of ``1 / t`` at most, which page indexes turn into rows never read, and
 their rarest ``m - ceil(t * m) + 1`` trigrams meet, so only such pairs are
 compared in full. Rarity is that of a bounded sample of chunks (``ORDER_CHUNKS``);
 any fixed order gives the same results.
@@ -91,7 +92,7 @@ def postings(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = own.select("session_id", part.alias("block"), "id", words("content").alias("words"))
     flat = dealt.mapInArrow(_gaps, "term string, session_id string, block int, id string, gaps array<int>")
     rows = flat.groupBy("term", "session_id", "block").agg(F.array_sort(F.collect_list(F.struct("id", "gaps"))).alias("docs"))
-    return rows.select("term", "session_id", "docs").repartitionByRange("term").sortWithinPartitions("term", "session_id")
+    return rows.select("term", "session_id", "docs").sortWithinPartitions("term", "session_id")
 
 
 def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
@@ -153,7 +154,7 @@ def gram_order(chunks: DataFrame, most: int = ORDER_CHUNKS, size: int = ORDER_GR
 def gram_sets(chunks: DataFrame, place: dict[str, int]) -> DataFrame:
     """``m, session_id, id, grams`` of the chunks that have any, in order of ``m``."""
     rows = chunks.where("content IS NOT NULL").select("session_id", "id", words("content").alias("w"))
-    return rows.mapInArrow(_sets(place), GRAM_SETS).where("m > 0").repartitionByRange("m").sortWithinPartitions("m")
+    return rows.mapInArrow(_sets(place), GRAM_SETS).where("m > 0").sortWithinPartitions("m")
 
 
 def trigram(stored: DataFrame, place: dict[str, int], allowed: DataFrame, queries: DataFrame, threshold: float, keep=None) -> DataFrame:
@@ -237,7 +238,7 @@ def _assign(centre: np.ndarray):
 def cells(chunks: DataFrame, centre: np.ndarray) -> DataFrame:
     """``cell, session_id, id, embedding`` of the chunks with vectors, in order of cells."""
     rows = chunks.where("embedding IS NOT NULL").select("session_id", "id", F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(_assign(centre), CELLS).repartitionByRange("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(_assign(centre), CELLS).sortWithinPartitions("cell")
 
 
 def _probe(ids: list, matrix: np.ndarray, pools: np.ndarray, by_cell: dict[int, np.ndarray], types: list[pa.DataType], masks=None):

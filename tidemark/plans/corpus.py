@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,6 @@ CHUNKS = """chunks AS (
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN events v ON v.event_id = d.doc_id)"""
 
 
-_BUILT: dict[tuple, indexes.Index] = {}
-
-
 def _marks(spark: SparkSession, sf_dir: str) -> tuple:
     """What tells the present state of the tables that chunks come from."""
     out = []
@@ -72,22 +70,43 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
-    """The stored indexes of :func:`chunks`, built at their first use in a session, as ingest would have.
+class Stored:
+    """The stored indexes of :func:`chunks`, each built at its first use in a session, as ingest would have."""
+
+    cells = None  # registered searches compare all vectors
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.rows, self.at = spark, chunks(spark, sf_dir), scratch(spark, "index")
+
+    def _table(self, name: str, rows: DataFrame, schema) -> DataFrame:
+        rows.write.option("compression", "zstd").parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._table("postings", indexes.postings(self.rows), POSTINGS)
+
+    @cached_property
+    def order(self) -> dict[str, int]:
+        return indexes.gram_order(self.rows)
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        return self._table("grams", indexes.gram_sets(self.rows, self.order), GRAM_SETS)
+
+    @cached_property
+    def all_cells(self) -> indexes.Cells:
+        centre = indexes.train(self.rows.where("embedding IS NOT NULL").select("id", "embedding"), DIM)
+        return indexes.Cells(self._table("cells", indexes.cells(self.rows, centre), CELLS), centre, len(centre))
+
+
+_BUILT: dict[tuple, Stored] = {}
+
 
-    They go to a folder of :func:`scratch`.
-    """
+def index(spark: SparkSession, sf_dir: str) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir, _marks(spark, sf_dir))
     if key not in _BUILT:
-        at = scratch(spark, "index")
-        rows = chunks(spark, sf_dir)
-        indexes.postings(rows).write.option("compression", "zstd").parquet(f"{at}/postings")
-        centre = indexes.train(rows.where("embedding IS NOT NULL").select("id", "embedding"), DIM)
-        indexes.cells(rows, centre).write.option("compression", "zstd").parquet(f"{at}/cells")
-        cells = indexes.Cells(spark.read.schema(CELLS).parquet(f"{at}/cells"), centre, len(centre))
-        order = indexes.gram_order(rows)
-        indexes.gram_sets(rows, order).write.option("compression", "zstd").parquet(f"{at}/grams")
-        _BUILT[key] = indexes.Index(spark.read.schema(POSTINGS).parquet(f"{at}/postings"), cells, spark.read.schema(GRAM_SETS).parquet(f"{at}/grams"), order)
+        _BUILT[key] = Stored(spark, sf_dir)
     return _BUILT[key]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +31,7 @@ def register(sql: str | None = None):
 
 def plan(spark, d, limit=5, offset=0, **options) -> Search:
     """A search that reads words and trigrams from stored indexes."""
-    stored = replace(index(spark, d), cells=None)
-    return Search(chunks(spark, d), queries(spark, d, limit, offset), MODEL, NOW, DIM, index=stored, **options)
+    return Search(chunks(spark, d), queries(spark, d, limit, offset), MODEL, NOW, DIM, index=index(spark, d), **options)
 
 
 # -- channels ---------------------------------------------------------------
@@ -83,7 +81,7 @@ def dense_topk(spark, d):
 def dense_cells(spark, d):
     """The same from the stored cells of vectors, with all cells probed."""
     p = plan(spark, d)
-    found = index(spark, d).cells.dense(p.base(True), p.asked)
+    found = index(spark, d).all_cells.dense(p.base(True), p.asked)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -175,7 +173,7 @@ EACH_TRIGRAM = TRIGRAM.replace("AS score\n    FROM (SELECT id,", "AS score\n
 def filters_by_query(spark, d):
     """Five queries with five filters, in every channel."""
     asked = queries(spark, d)
-    p = Search(chunks(spark, d), asked, MODEL, NOW, DIM, filters=filters.QueryFilters(EACH, asked), index=replace(index(spark, d), cells=None))
+    p = Search(chunks(spark, d), asked, MODEL, NOW, DIM, filters=filters.QueryFilters(EACH, asked), index=index(spark, d))
     parts = {"dense": p.dense, "words": p.words, "trigram": p.grams, "exact": p.exact}
     return reduce(DataFrame.unionByName, (rows.select(F.lit(c).alias("channel"), "query_id", "id", "rank") for c, rows in parts.items()))
 
@@ -232,7 +230,7 @@ def lookahead_page(spark, d):
 )
 def search_pages(spark, d):
     """The paging call itself, once for each query: look-ahead, page, next offset."""
-    rows, stored = chunks(spark, d), replace(index(spark, d), cells=None)
+    rows, stored = chunks(spark, d), index(spark, d)
     parts = []
     for q in queries(spark, d).collect():  # the batch: five queries
         page = search_page(rows, q.text, lambda t, v=q.embedding: v, 3, 2, stages=Stages(dedup=False), model=MODEL, now=NOW, dim=DIM, index=stored)
