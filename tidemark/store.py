@@ -79,6 +79,14 @@ class Files:
         except Exception:
             return False
 
+    def touch(self, name: str, text: str) -> None:
+        """Write a file again in place, so that it is never missing."""
+        stream = self.fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
@@ -223,7 +231,7 @@ class Store:
         """Show that the owner of a lock still runs."""
         path, own = f"_locks/{name}", self.owned.get(name)
         if own and self.files.exists(path) and own in self.files.read(path):
-            self.files.write(path, json.dumps({"owner": own}))
+            self.files.touch(path, json.dumps({"owner": own}))
 
     @contextmanager
     def writing(self, every: float = LOCK_SECONDS / 8) -> Iterator[None]:
