@@ -33,6 +33,8 @@ class Settings:
     store_path: str = ""
     chunk_tokens: int = 400
     chunk_overlap: int = 80
+    chunk_vocabulary: str = ""
+    chunk_pattern: str = "gpt2"
     batch_size: int = 128
     max_retries: int = 3
     timeout_seconds: float = 60.0

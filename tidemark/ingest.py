@@ -15,7 +15,7 @@ from .config import Settings
 from .embedding import embed
 from .errors import IngestError
 from .functions.times import fill_span
-from .operators import chunking, incremental, messages
+from .operators import bytepair, chunking, incremental, messages
 from .sources import archive, sessions, store
 from .store import Store
 
@@ -48,6 +48,10 @@ class Run:
     def __init__(self, spark: SparkSession, target: Store, settings: Settings, stored: DataFrame | None = None, now: datetime | None = None):
         self.spark, self.target, self.settings, self.stored = spark, target, settings, stored
         self.now = now or datetime.now(UTC)
+        own = settings.chunk_vocabulary
+        self.cut = functools.partial(
+            chunking.chunk, size=settings.chunk_tokens, overlap=settings.chunk_overlap, tokenizer=bytepair.BytePairs(own, settings.chunk_pattern) if own else chunking.tokens
+        )
 
     def _files(self, root: str, found: DataFrame, force: bool) -> DataFrame:
         files = found.select(F.col("path").alias("file_path"), "name", F.col("mtime").alias("file_mtime"), F.col("size").cast("long").alias("file_size"))
@@ -104,7 +108,7 @@ class Run:
         kinds = messages.classify(lines)
         name = F.element_at(F.split("path", "/"), -1)
         items = messages.session_items(sessions.messages(lines).join(kinds, "path").where("source_type <> 'cron'").withColumn("session_id", messages.session_id(name)), keep=("session_id",))
-        cut = chunking.chunk(items, ["session_id"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap)
+        cut = self.cut(items, ["session_id"])
         done = files.join(kinds.withColumnRenamed("path", "file_path"), "file_path", "left").withColumn("session_id", messages.session_id("name")).withColumn("offset", F.col("file_size"))
         kind = done.select("session_id", "source_type", F.col("file_mtime").alias("mtime")).dropDuplicates(["session_id"])
         return self._finish(to_rows(cut, kind, F.coalesce("source_type", F.lit("main_user"))), done, dry_run, unchanged=found.count() - len(paths))
@@ -125,7 +129,7 @@ class Run:
             return {"found": 0}
         self._budget(sessions.lines(self.spark, paths))
         items = messages.chat_items(archive.messages(self.spark, paths))
-        cut = chunking.chunk(items.withColumn("session_id", messages.chat_session_id("channel")), ["session_id", "channel"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap, order=[F.col("turn_index")])
+        cut = self.cut(items.withColumn("session_id", messages.chat_session_id("channel")), ["session_id", "channel"], order=[F.col("turn_index")])
         channel = F.regexp_replace("name", r"\.jsonl$", "")
         done = files.withColumn("session_id", messages.chat_session_id(channel)).withColumn("source_type", F.lit("chat")).withColumn("offset", F.col("file_size"))
         return self._finish(to_rows(cut, done.select("session_id", F.col("file_mtime").alias("mtime")), F.lit("chat"), F.col("channel")), done, dry_run, unchanged=found.count() - len(paths))
@@ -145,7 +149,7 @@ class Run:
         for status, replace in (("replace", True), ("append", False)):
             own = turns.where(F.col("status") == status)
             own = own if replace else incremental.new_turns(own, self.target.table("session_chunks"))
-            cut = chunking.chunk(messages.session_items(own), ["session_id"], size=self.settings.chunk_tokens, overlap=self.settings.chunk_overlap)
+            cut = self.cut(messages.session_items(own), ["session_id"])
             done = due.where(F.col("status") == status).select("session_id", "source_type", F.concat(F.lit("store://"), "session_id").alias("file_path"), F.col("active_at").alias("file_mtime"), F.col("message_count").cast("long").alias("file_size"), F.col("rewind_count").alias("offset"))
             if done.isEmpty():
                 continue

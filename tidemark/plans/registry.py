@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent, text, times, vector
 from ..operators import index as indexes
-from ..operators import channels, chunking, evaluate, filters, fusion, incremental, lifecycle, messages
+from ..operators import bytepair, channels, chunking, evaluate, filters, fusion, incremental, lifecycle, messages
 from ..sources import evaluation, sessions
 from .corpus import BATCH, CHUNKS, DIM, MODEL, NOW, QUERIES, chunks, index, queries, scratch, table
 from .search import CONFIGS, Search, Stages, search_page
@@ -372,6 +372,39 @@ def conversation_chunks(spark, d):
     return chunking.chunk(_items(spark, d), ["session_id"]).select("session_id", "chunk_no", "token_start", "token_end", "content", "turn_index_start", "turn_index_end")
 
 
+def _pairs(vocabulary: str | None = None) -> bytepair.BytePairs:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytepair.BytePairs(vocabulary)
+
+
+BLANK = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@register(
+    f"""WITH {TALK}, own AS (SELECT conv_id, turn, item, regexp_extract(item, '{BLANK}+$') AS tail FROM talk),
+    cut AS (SELECT conv_id, turn, item, row_number() OVER w AS seq, coalesce(lag(tail) OVER w || chr(10), '') || CASE WHEN lead(turn) OVER w IS NULL THEN item ELSE substr(item, 1, length(item) - length(tail)) END AS piece
+      FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(seq AS INTEGER) AS seq, CAST(turn AS INTEGER) AS turn_index, strlen(piece) AS n_bytes, md5(piece) AS piece_md5,
+      CAST(coalesce(sum(strlen(piece)) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM cut"""
+)
+def bytepair_pieces(spark, d):
+    """A session cut where no merge crosses; each piece's bytes, as its tokens cover them, and where it stands."""
+    cut = bytepair.spans(_items(spark, d), ["session_id"], [F.col("turn_index")], _pairs())
+    own = Window.partitionBy("session_id").orderBy("seq")
+    size = F.element_at("ends", -1).cast("long")
+    start = F.coalesce(F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.select("session_id", "seq", "turn_index", size.alias("n_bytes"), F.md5("text").alias("piece_md5"), start.alias("start_byte"))
+
+
+@register()
+def bytepair_chunks(spark, d):
+    """Windows of 400 byte-pair tokens, as one encoding of each whole session gives them (no SQL: tested against the library)."""
+    return chunking.chunk(_items(spark, d), ["session_id"], tokenizer=_pairs(), order=[F.col("turn_index")]).select("session_id", "chunk_no", "token_start", "token_end", "content", "turn_index_start", "turn_index_end")
+
+
 @register(
     """WITH lines AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
     f AS (SELECT path, bool_or(contains(substr(v, 1, 200), 'Subagent')) AS sub, bool_or(contains(substr(v, 1, 200), '[cron:') OR contains(substr(v, 1, 200), 'cron job')) AS cron FROM lines WHERE n <= 20 GROUP BY path)
