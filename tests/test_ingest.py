@@ -167,6 +167,37 @@ def test_ingest_store(spark, root, target, database):
     assert e.value.code == "source_not_found"
 
 
+def test_store_filters_reach_the_database(spark, root, database):
+    """Pushed or not, the same rows; the plan keeps only what the database can't do alike."""
+    database.executemany("INSERT INTO messages VALUES (?,?,?,?,?,?,?)", [(20, None, None, None, None, None, None), (21, "a", "User", "", -1.5, 1, 1), (22, "a", "user", "", 5, 2, 0)])
+    database.commit()
+    path = str(root / "store.db")
+    asked = ["role in ('user', 'assistant') and content is not null", "active = 0 and compacted = 0", "timestamp > 1000.5", "timestamp <= 5 and role = 'user'", "content is null", "session_id >= 'b'", "role = 'x' or active = 1", "id < 3", "active <=> null", "not active = 1", "content like 'first%'"]
+    try:
+        for text in asked:
+            got = {}
+            for pushed in ("true", "false"):
+                spark.conf.set(store.PUSHED, pushed)
+                got[pushed] = sorted(map(str, store.read_table(spark, path, "messages").where(text).collect()))
+            assert got["true"] == got["false"], text
+        spark.conf.set(store.PUSHED, "true")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        own = plan(store.read_table(spark, path, "messages").where("active = 0 and compacted = 0"))
+        assert "\nFilter" not in own and " Filter " not in own, own
+        narrow = store.read_table(spark, path, "messages", columns=("session_id", "active"))
+        assert narrow.columns == ["session_id", "active"] and narrow.where("active = 1").count() == 6
+        assert store.visible_messages(store.read_table(spark, path, "messages")).count() == 5
+    finally:
+        spark.conf.unset(store.PUSHED)
+    f = store.EqualTo(("role",), "user")
+    kinds = {"role": "string", "active": "int"}
+    assert store.condition(f, kinds) == ('"role" COLLATE BINARY = ?', ["user"])
+    assert store.condition(store.GreaterThan(("role",), "a"), kinds) is None and store.condition(store.EqualTo(("role",), 1), kinds) is None
+    reader = store.PushingReader({"path": path, "table": "messages"}, kinds)
+    assert list(reader.pushFilters([f, store.GreaterThan(("role",), "a")])) and len(reader.conditions) == 1
+    assert [r for p in reader.partitions() for r in reader.read(p)].count(("user", 1)) == 4
+
+
 @pytest.mark.parametrize("n", [1, 79, 80, 81, 400, 401, 720, 721, 1000, 2000])
 def test_window_count(spark, n):
     starts = spark.range(1).select(chunking.windows(F.lit(n)).alias("s")).first().s

@@ -138,7 +138,7 @@ class Run:
     def store(self, *, force: bool = False, dry_run: bool = False) -> dict:
         path = self.settings.source("store")
         all_messages = store.read_table(self.spark, path, "messages")
-        rows = store.sessions(store.read_table(self.spark, path, "sessions"), all_messages)
+        rows = store.sessions(store.read_table(self.spark, path, "sessions"), store.read_table(self.spark, path, "messages", columns=("session_id", "active", "compacted")))
         as_time = lambda c: F.timestamp_micros((F.col(c) * 1_000_000).cast("long"))
         rows = rows.withColumn("last_activity_at", as_time("last_activity_at")).withColumn("started_at", as_time("started_at")).withColumn("rewind_count", F.coalesce("rewind_count", F.lit(0)).cast("long"))
         state = self.target.table("ingestion_state").where(F.col("file_path").startswith("store://"))
@@ -158,7 +158,7 @@ class Run:
                 totals[k] = totals.get(k, 0) + v
         if not dry_run:
             left = store.visible_messages(all_messages).select("session_id").distinct()
-            empty = store.read_table(self.spark, path, "sessions").select(F.col("id").alias("session_id")).join(left, "session_id", "left_anti")
+            empty = store.read_table(self.spark, path, "sessions", columns=("id",)).select(F.col("id").alias("session_id")).join(left, "session_id", "left_anti")
             if not empty.isEmpty():
                 self.target.publish(indexing.without(self.target, empty) | {"session_chunks": self.target.removed("session_chunks", empty, "session_id")})
         return totals or {"found": 0}
