@@ -1,7 +1,8 @@
-"""Session files as a stream: each trigger takes the files that are new.
+"""Session files as a stream: each trigger takes the files that are new, or new and changed.
 
-The file source remembers paths only, so a changed file is caught by the batch
-run's comparison of time and size; the stream serves append-only folders.
+Spark's file source (``read``) remembers paths only and serves append-only
+folders; with a state folder ``changes`` takes its place, which sends a file
+again when its time or size changes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import messages
 from ..sources import sessions
+from . import changes
 
 LINE = "value string"
 
@@ -35,11 +37,18 @@ def items(files: DataFrame) -> DataFrame:
     return messages.session_items(sessions.messages(lines(files)).withColumn("session_id", messages.session_id(name)))
 
 
-def run(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], *, per_trigger: int = 1000) -> StreamingQuery:
-    """Everything that is there now, batch by batch; ``sink`` gets (files, batch id).
+def changed(spark: SparkSession, root: str, state: str, per_trigger: int = 0) -> DataFrame:
+    """path, mtime, size, value of new and changed session files."""
+    return changes.read(spark, root, state, per_trigger).where(sessions.is_session(F.element_at(F.split("path", "/"), -1)))
+
+
+def run(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], *, per_trigger: int = 1000, state: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Everything that is there now, batch by batch, or for good ``every`` interval; ``sink`` gets (files, batch id).
 
     A batch may be repeated after a failure, so the sink must replace sessions
-    (as the managed store does) rather than append.
+    (as the managed store does) rather than append. With ``state``, a folder that
+    is kept with the checkpoint, changed files come again; what is there now is then one batch.
     """
-    writer = read(spark, root, per_trigger).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    files = read(spark, root, per_trigger) if state is None else changed(spark, root, state, per_trigger if every else 0)
+    writer = files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
