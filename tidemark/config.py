@@ -12,7 +12,7 @@ from .errors import ConfigError
 from .schema import EMBED_DIM
 
 PREFIX = "TIDEMARK_"
-PROVIDERS = ("table", "hashed", "replay")
+PROVIDERS = ("table", "hashed", "replay", "remote")
 ENVIRONMENTS = ("production", "test")
 
 
@@ -25,6 +25,8 @@ class Settings:
     embedding_revision: str = ""
     embedding_dim: int = EMBED_DIM
     embedding_table: str = ""
+    embedding_url: str = ""
+    embedding_key_file: str = ""
     allow_hashed: bool = False
     replay_manifest: str = ""
     replay_vectors: str = ""
@@ -39,6 +41,7 @@ class Settings:
     max_retries: int = 3
     timeout_seconds: float = 60.0
     requests_per_second: float = 8.0
+    fetch_tasks: int = 4
     trigram_threshold: float = 0.3
     max_failed_files: int = 20
     retention_sessions: int = 90
@@ -55,6 +58,10 @@ class Settings:
             raise ConfigError("the dimension must be positive", code="unsupported_embedding_dimension")
         if not 0 <= self.chunk_overlap < self.chunk_tokens:
             raise ConfigError("the overlap must be smaller than the window", code="invalid_config_value")
+        if self.embedding_provider == "remote" and not (self.embedding_url and self.embedding_table):
+            raise ConfigError("a remote provider needs embedding_url and, to keep what it sends, embedding_table", code="invalid_config_value")
+        if min(self.batch_size, self.max_retries, self.fetch_tasks) < 1 or min(self.timeout_seconds, self.requests_per_second) <= 0:
+            raise ConfigError("batches, attempts, tasks, time and rate must be positive", code="invalid_config_value")
         if self.embedding_provider == "hashed":
             if self.environment != "test":
                 raise ConfigError("hashed vectors are for tests", code="fake_embedding_environment_required")

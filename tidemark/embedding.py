@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import remote
 from .config import Settings
 from .errors import ConfigError, QueryError, ReplayError
 from .functions import vector
@@ -23,6 +24,8 @@ def embed(chunks: DataFrame, settings: Settings, stored: DataFrame | None = None
     """Set ``embedding`` and ``embedding_model``; a text without a stored vector gets null."""
     text = F.substring("content", 1, MAX_EMBED_CHARS)
     rows = chunks.drop("embedding", "embedding_model")
+    if settings.embedding_provider == "remote" and stored is None:
+        stored = remote.known(chunks.sparkSession, settings)
     if settings.embedding_provider == "hashed":
         return rows.withColumn("embedding", vector.hashed(text, settings.embedding_dim).cast("array<float>")).withColumn("embedding_model", F.lit(settings.embedding_model))
     key = vector.replay_key(F.lit(settings.embedding_model), F.lit(settings.embedding_revision), F.lit(kind), text)
@@ -79,6 +82,8 @@ def query_embedder(spark, settings: Settings) -> Callable[[str], list[float]]:
     """From a query's text to its vector, by the configured provider; a text without one is an error."""
 
     def run(text: str) -> list[float]:
+        if settings.embedding_provider == "remote":
+            return remote.one(spark, settings, text)
         rows = embed(spark.createDataFrame([(text,)], "content string"), settings, stored_vectors(spark, settings), "query")
         vector = rows.select("embedding").first().embedding
         if vector is None:
@@ -93,28 +98,47 @@ def require_vectors(rows: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("embedding").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("replay_vector_missing")).cast("boolean")))
 
 
-def call_batches(texts: DataFrame, call: Callable[[list[str]], list], *, batch: int = 128, retries: int = 3, per_second: float = 8.0, pause: float = 2.0) -> DataFrame:
-    """Vectors from a remote function, in batches, retried with growing pauses.
+def call_batches(
+    texts: DataFrame, call: Callable[[list[str]], list], *, batch: int = 128, retries: int = 3, per_second: float = 8.0, pause: float = 2.0, tasks: int | None = None, dim: int | None = None
+) -> DataFrame:
+    """id, embedding, error: vectors from a remote function, in batches, retried with growing pauses.
 
     ``texts``: id, content. ``call`` maps texts to vectors and may raise an error
-    with ``retry_after`` seconds. A batch that keeps failing leaves nulls. The
-    rate holds for each task; divide a service's limit by the number of tasks.
+    with ``retry_after`` seconds. The texts of a batch that keeps failing have no vector but an ``error``;
+    so has a vector that is not of ``dim`` finite numbers. With ``tasks`` the
+    texts are spread over so many tasks, and each starts its calls ``tasks / per_second`` seconds
+    apart, so all together keep the rate (a task that Spark runs twice at once,
+    by speculation, is on top). Without, the rate holds for each task.
     """
+    gap = (tasks or 1) / per_second if per_second else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import math
+
+        due = 0.0
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 own = [(t or "")[:MAX_EMBED_CHARS] for t in part.column(1).to_pylist()]
-                found = [None] * len(own)
+                found, error = [None] * len(own), None
                 for attempt in range(retries + 1):
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    due = time.monotonic() + gap
                     try:
-                        found = call(own)
+                        got = list(call(own))
+                        if len(got) != len(own):
+                            raise ValueError("another number of vectors")
+                        found, error = got, None
                         break
                     except Exception as e:
+                        error = f"{type(e).__name__}: {e}"[:200]
                         if attempt < retries:
-                            time.sleep(getattr(e, "retry_after", None) or pause * 2**attempt)
-                time.sleep(1 / per_second if per_second else 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float32()))], names=["id", "embedding"])
-
-    return texts.select("id", "content").mapInArrow(run, "id string, embedding array<float>")
+                            wait = getattr(e, "retry_after", None)
+                            time.sleep(pause * 2**attempt if wait is None else wait)
+                whole = [v is not None and (dim is None or (len(v) == dim and all(math.isfinite(x) for x in v))) for v in found]
+                errors = [None if ok else error or "no vector of this dimension" for ok in whole]
+                vectors = pa.array([v if ok else None for v, ok in zip(found, whole, strict=True)], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors, pa.array(errors, pa.string())], names=["id", "embedding", "error"])
+
+    rows = texts.select("id", "content")
+    return (rows.repartition(tasks) if tasks else rows).mapInArrow(run, "id string, embedding array<float>, error string")

@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import indexing
+from . import indexing, remote
 from .config import Settings
 from .embedding import embed
 from .errors import IngestError
@@ -71,6 +71,8 @@ class Run:
         indexes read what was written. Only if a session is not complete are the
         others written again without it.
         """
+        if self.settings.embedding_provider == "remote" and not dry_run:
+            remote.fill(rows, self.settings)
         rows = embed(rows, self.settings, self.stored)
         if not dry_run:
             staged = self.target.write("session_chunks", rows)
