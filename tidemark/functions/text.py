@@ -182,7 +182,8 @@ def audit_blocking(category: Column | str, match: Column | str) -> Column:
     """False for documented examples, which are reported but do not block."""
     category, match = _col(category), _col(match)
     domain = F.lower(F.substring_index(match, "@", -1))
-    value = F.lower(F.trim(F.regexp_replace(F.substring_index(F.substring_index(match, "=", -1), ":", -1), "[\"']", "")))
+    value = F.regexp_replace(F.regexp_replace(match, "^[^=]*=", ""), "^[^:]*:", "")  # after the first of each
+    value = F.lower(F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", ""))
 
     def any_of(tests):
         out = F.lit(False)

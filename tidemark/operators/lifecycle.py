@@ -166,6 +166,30 @@ def audit(texts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     return flat.select(*keys, F.col("f.category").alias("category"), F.col("f.match").alias("match"), audit_blocking(F.col("f.category"), F.col("f.match")).alias("blocking"))
 
 
+ALLOWED = "category string, source string, path string, digest string, match string"
+
+
+def allow(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings that a rule allows no longer block.
+
+    ``findings``: category, match, blocking, source, path, digest. A rule names
+    its category and any of source, path, digest (compared exactly) and match (a
+    pattern for the whole match); what is null is any. A rule with a path is met by a join on it, so
+    there may be many; those without are few, by category.
+    """
+    own = rules.select("category", "path", F.struct("source", "digest", "match").alias("r"))
+    exact = own.where("path is not null").groupBy("category", "path").agg(F.collect_list("r").alias("_exact"))
+    other = own.where("path is null").groupBy("category").agg(F.collect_list("r").alias("_other"))
+    joined = findings.join(exact, ["category", "path"], "left").join(other, "category", "left")
+
+    def met(r):
+        same = lambda name: r[name].isNull() | F.coalesce(r[name] == F.col(name), F.lit(False))
+        return same("source") & same("digest") & (r["match"].isNull() | F.regexp_like(F.col("match"), F.concat(F.lit("^(?:"), r["match"], F.lit(r")\z"))))
+
+    hit = F.coalesce(F.exists("_exact", met), F.lit(False)) | F.coalesce(F.exists("_other", met), F.lit(False))
+    return joined.withColumn("blocking", F.col("blocking") & ~hit).select(*findings.columns)
+
+
 def audit_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category").agg(F.count("*").alias("n"), F.count_if("blocking").alias("n_blocking"))
 

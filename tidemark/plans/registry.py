@@ -466,7 +466,7 @@ def _sql_audit() -> str:
         parts.append(f"SELECT doc_id, '{name}' AS category, regexp_extract(text, '{p}') AS m FROM documents WHERE regexp_matches(text, '{p}')")
     sample = (
         "CASE WHEN category = 'email_in_blob' THEN regexp_matches(lower(m), '@[^@]*(\\.example|\\.invalid|\\.test)$') WHEN category = 'credential_assignment' THEN "
-        "regexp_matches(lower(trim(regexp_replace(regexp_replace(m, '^[^=:]*[=:]', ''), '[\"'']', '', 'g'))), '^(password|secret|xxx|<redacted>)$|^(test-|fake-|fixture-|example-)') ELSE false END"
+        "regexp_matches(lower(regexp_replace(trim(regexp_replace(regexp_replace(m, '^[^=]*=', ''), '^[^:]*:', '')), '^[\"'']+|[\"'']+$', '', 'g')), '^(password|secret|xxx|<redacted>)$|^(test-|fake-|fixture-|example-)') ELSE false END"
     )
     return f"SELECT category, count(*) AS n, count(*) FILTER (NOT {sample}) AS n_blocking FROM ({' UNION ALL '.join(parts)}) GROUP BY category"
 
@@ -477,6 +477,25 @@ def audit_patterns(spark, d):
     return lifecycle.audit_counts(lifecycle.audit(table(spark, d, "documents"), "doc_id"))
 
 
+@register(
+    """WITH f AS (SELECT doc_id, 'docs/' || doc_id AS path, sha256(text) AS digest, regexp_extract(text, '[A-Za-z]*a[a-z]*e[a-z]*') AS m FROM documents WHERE regexp_matches(text, '[A-Za-z]*a[a-z]*e[a-z]*'))
+    SELECT doc_id, m AS "match", NOT (doc_id % 4 = 0 OR doc_id % 8 = 1 OR (doc_id % 5 = 2 AND regexp_full_match(m, 's.*')) OR regexp_full_match(m, 'm[a-z]*')) AS blocking FROM f"""
+)
+def audit_allowed(spark, d):
+    """Findings that rules allow by path, by digest, by match at a path and by match anywhere."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"), F.regexp_substr("text", F.lit("[A-Za-z]*a[a-z]*e[a-z]*")).alias("match"))
+    found = docs.where("match is not null").select("doc_id", F.lit("word").alias("category"), "match", F.lit(True).alias("blocking"), F.lit("artifact").alias("source"), "path", "digest")
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    rules = [
+        docs.where(k % 4 == 0).select(F.lit("word").alias("category"), none.alias("source"), "path", none.alias("digest"), none.alias("match")),
+        docs.where(k % 4 == 1).select(F.lit("word"), F.lit("artifact"), "path", F.when(k % 8 == 1, F.col("digest")).otherwise("another"), none),
+        docs.where(k % 5 == 2).select(F.lit("word"), none, "path", none, F.lit("s.*")),
+        docs.where(k % 5 == 3).select(F.lit("word"), F.lit("commit"), "path", none, none),
+        spark.createDataFrame([("word", None, None, None, "m[a-z]*"), ("email", None, None, None, None)], lifecycle.ALLOWED),
+    ]
+    return lifecycle.allow(found, reduce(DataFrame.union, rules)).select("doc_id", "match", "blocking")
+
+
 CHECKS = """found AS (SELECT 'f' || doc_id AS file_path, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS file_mtime, n_chars AS file_size FROM documents),
   state AS (SELECT file_path, CASE WHEN doc_id % 5 = 1 THEN file_mtime - INTERVAL 1 HOUR ELSE file_mtime END AS file_mtime, CASE WHEN doc_id % 7 = 2 THEN 0 ELSE file_size END AS file_size, source_type
     FROM (SELECT 'f' || doc_id AS file_path, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS file_mtime, n_chars AS file_size, doc_id, lang AS source_type FROM documents WHERE doc_id % 3 <> 0))"""
