@@ -115,3 +115,75 @@ def test_readings_give_the_features_of_texts():
         for whole in (True, False):
             r = tox.read(t or "", whole)
             assert model._features(set(r.words.split()), r.patterns) == model.features(t or "")
+
+
+def plain_fit(votes, start, prior, rounds=10, passes=3):
+    """The label model with loops: rates, residual correlations, discounts, posteriors."""
+    n, m = len(votes), len(votes[0])
+    p = list(start)
+
+    def rates():
+        out = []
+        for own in ([1 - x for x in p], p):
+            total = sum(own) + 1
+            out.append([min(max((sum(w * v[j] for w, v in zip(own, votes)) + sum(v[j] for v in votes) / n) / total, 1e-5), 1 - 1e-5) for j in range(m)])
+        return out
+
+    for _ in range(passes):
+        rate = rates()
+        cov = [[sum(w * (v[a] - rate[y][a]) * (v[b] - rate[y][b]) for y, ws in enumerate(([1 - x for x in p], p)) for w, v in zip(ws, votes)) for b in range(m)] for a in range(m)]
+        sd = [max(cov[a][a], 1e-9) ** 0.5 for a in range(m)]
+        corr = [[cov[a][b] / sd[a] / sd[b] if a != b else 0.0 for b in range(m)] for a in range(m)]
+        discount = [1 / (1 + sum(c for c in row if c > 0.15)) for row in corr]
+        for _ in range(rounds):
+            p = []
+            for v in votes:
+                odds = prior / (1 - prior)
+                for j, x in enumerate(v):
+                    on, off = rate[1][j], rate[0][j]
+                    odds *= ((on / off) if x else ((1 - on) / (1 - off))) ** discount[j]
+                p.append(odds / (1 + odds))
+            rate = rates()
+    return p
+
+
+def test_label_model_equals_loops():
+    r = np.random.default_rng(5)
+    truth = r.random(60) < 0.3
+    votes = np.stack([np.where(truth, r.random(60) < a, r.random(60) < b) for a, b in ((0.9, 0.1), (0.7, 0.05), (0.6, 0.3), (0.2, 0.8))], axis=1).astype(float)
+    votes = np.hstack([votes, votes[:, :1]])  # two copies of one voter
+    start = np.where(votes[:, 0] > 0, 0.9, 0.02)
+    model = tox.LabelModel(0.3)
+    got = model.fit(votes, start)
+    assert np.allclose(got, plain_fit(votes.tolist(), start.tolist(), 0.3), atol=1e-6)
+    assert model.discount[0] < 0.75 and np.mean((got >= 0.5) == truth) > 0.85
+
+
+def test_scores_equal_a_plain_scorer(spark, tmp_path):
+    """Every row of the query against loops over letters, from a model trained on rows picked in plain Python."""
+    data = rows(400)
+    extra = [(5000 + k, t, None, None, None) for k, t in enumerate(TEXTS)] + [(6000, "You are such an idiot, vlorp vlorp; I'll find you. KYS f**k", None, None, None), (6001, "snerf1klomph_druzz ZZGRAK", None, None, None)]
+    at = tables(spark, tmp_path, [x[:5] for x in data] + extra, [(x[0], 1, x[5]) for x in data])
+    learnt = [(t, y) for i, t, _, _, _, y in data if zlib.crc32(str(i).encode()) % 5]
+    model = tox.Model([(tox.read(t), y) for t, y in learnt], sum(y for _, y in learnt) / len(learnt))
+
+    def score(text):
+        found, word = set(), ""
+        for c in text.lower() + " ":
+            if c.isalpha() or (c.isalnum() and not c.isdecimal()):
+                word += c
+            else:
+                found, word = found | {word}, ""
+        own = {w for w in found if w in model.weight}
+        strong = sum(w in model.strong for w in found)
+        own |= {n for n, p in tox.PATTERNS.items() if p.search(text)} | ({"~two"} if strong > 1 else set()) | ({"~three"} if strong > 2 else set())
+        z = model.b
+        for w in own:
+            z += model.weight[w]
+        return 1 / (1 + np.exp(-z))
+
+    texts = {i: t or "" for i, t, *_ in [x[:5] for x in data] + extra}
+    out = tox.op2_toxicity(spark, at).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-6), r.doc_id
