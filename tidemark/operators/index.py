@@ -4,10 +4,11 @@ Both are tables derived from chunks, kept beside them (rows carry the session,
 so a replaced session replaces its rows) and always possible to rebuild.
 
 **Postings.** A row holds a word's occurrences in up to ``BLOCK`` chunks of one
-session: ids, and positions as gaps. A session with more chunks has several
-blocks, dealt by hash, so no row grows with a session. Each file is in order of
-words, so its page index lets a search read the words it asks for; a frequent
-word's rows are in all files.
+session: ids, and positions as gaps. A task writes the rows of ``RUN`` words of
+text at a time, in order of words, so nothing is shuffled, sorted or held beyond
+that, and no row grows with a session. A file is a list of such runs: its page
+index lets a search read the words it asks for; a frequent word's rows are in all
+runs.
 
 **Cells.** Centroids come from k-means over at most ``TRAIN`` vectors (those with
 the smallest hashes; a documented bound), and every vector is in the cell of its
@@ -37,14 +38,17 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, trigrams, words
-from ..schema import CELLS, GRAM_SETS
+from ..schema import CELLS, GRAM_SETS, POSTINGS
 from . import channels
 
 BLOCK = 4096
+#: Words of text that a task turns into postings, or into trigrams, at a time.
+RUN, GRAM_RUN = 1_000_000, 250_000
 TRAIN = 20_000
 CELL_ROWS = 1_000
 MAX_CELLS = 4096
@@ -60,39 +64,70 @@ LISTED = 1_000
 # -- words ------------------------------------------------------------------
 
 
-def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct words with their positions as gaps; the words were cut by the engine."""
+def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose lists in ``column`` hold at most ``most`` items, or that have one row."""
     for batch in batches:
-        lists = batch.column(3)
-        offsets = lists.offsets.to_numpy()
-        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        if not len(flat):
-            continue
-        lens = np.diff(offsets)
-        coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy()
-        row = np.repeat(np.arange(batch.num_rows), lens)
-        at = np.arange(len(code)) - np.repeat(offsets[:-1] - offsets[0], lens)
-        order = np.lexsort((at, code, row))
-        code, row, at = code[order], row[order], at[order] + 1
-        first = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))
-        gap = np.where(first, at, np.diff(at, prepend=0)).astype(np.int32)
-        starts = np.flatnonzero(first)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(gap))
-        own = pa.array(row[starts])
-        columns = [coded.dictionary.take(pa.array(code[starts])), *(batch.column(k).take(own) for k in range(3)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "session_id", "block", "id", "gaps"])
+        ends = batch.column(column).offsets.to_numpy()[1:].astype(np.int64)
+        at, before = 0, int(batch.column(column).offsets[0].as_py()) if batch.num_rows else 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
+
+
+def _coded(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct items of the lists, each item as a place among them, and the lists' lengths."""
+    offsets = lists.offsets.to_numpy()
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.diff(offsets)
+
+
+def _places(values: pa.Array) -> np.ndarray:
+    """The place of each value in their order (of UTF-8 bytes, null first)."""
+    order = pc.sort_indices(values, null_placement="at_start").to_numpy()
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values))
+    return out
+
+
+def _posted(block: int):
+    """Each run's words with the chunks that hold them and the positions as gaps; the words were cut by the engine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, 2, RUN):
+            terms, code, lens = _coded(batch.column(2))
+            if not len(code):
+                continue
+            n = batch.num_rows
+            session, row_at = batch.column(0).dictionary_encode("encode"), _places(batch.column(1))
+            by_row = np.argsort(row_at)
+            own = _places(session.dictionary)[session.indices.to_numpy()]
+            # Each session's chunks, by id, in groups of a block.
+            grouped = np.lexsort((row_at, own))
+            turn = np.arange(n) - np.searchsorted(own[grouped], own[grouped], "left")
+            part = np.empty(n, np.int64)
+            part[grouped] = np.cumsum(np.append(False, (own[grouped][1:] != own[grouped][:-1]) | (turn[1:] // block != turn[:-1] // block)))
+            parts = int(part.max()) + 1
+            key = (_places(terms)[code] * parts + np.repeat(part, lens)) * n + np.repeat(row_at, lens)
+            order = np.argsort(key, kind="stable")  # occurrences stay in order
+            at = (np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens))[order] + 1
+            key, code = key[order], code[order]
+            chunk = np.append(True, key[1:] != key[:-1])
+            gap = np.where(chunk, at, np.diff(at, prepend=0)).astype(np.int32)
+            starts = np.flatnonzero(chunk)
+            held, key = by_row[key[starts] % n], key[starts] // n
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            gaps = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gap)), pa.int32()), pa.array(gap))
+            docs = pa.StructArray.from_arrays([batch.column(1).take(pa.array(held)), gaps], names=["id", "gaps"])
+            columns = [terms.take(pa.array(code[starts[heads]])), batch.column(0).take(pa.array(held[heads])), pa.ListArray.from_arrays(pa.array(np.append(heads, len(starts)), pa.int32()), docs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "session_id", "docs"])
+
+    return run
 
 
 def postings(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``term, session_id, docs`` of all words of the chunks, in order of words."""
-    sizes = chunks.groupBy("session_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = chunks.where("content IS NOT NULL").join(sizes, "session_id", "left")  # a null session is one block
-    part = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
-    dealt = own.select("session_id", part.alias("block"), "id", words("content").alias("words"))
-    flat = dealt.mapInArrow(_gaps, "term string, session_id string, block int, id string, gaps array<int>")
-    rows = flat.groupBy("term", "session_id", "block").agg(F.array_sort(F.collect_list(F.struct("id", "gaps"))).alias("docs"))
-    return rows.select("term", "session_id", "docs").sortWithinPartitions("term", "session_id")
+    """``term, session_id, docs`` of all words of the chunks, each run in order of words."""
+    return chunks.where("content IS NOT NULL").select("session_id", "id", words("content").alias("words")).mapInArrow(_posted(block), POSTINGS)
 
 
 def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
