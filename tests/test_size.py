@@ -57,6 +57,27 @@ def test_postings_need_no_shuffle(spark, chunks, monkeypatch, run, block):
         assert terms == sorted(terms, key=str.encode)  # a run is in order of words
 
 
+@pytest.mark.parametrize("run", [250_000, 30])
+def test_trigram_sets_in_slices(monkeypatch, run):
+    monkeypatch.setattr(index, "GRAM_RUN", run)
+    rnd = random.Random(2)
+    lists = [None if k == 3 else rnd.choices(["ferry", "naïve", "漢字", "𝒳𝒴", "x1"], k=k % 12) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["s"] * 52), pa.array([f"c{k}" for k in range(52)]), pa.array([["x"], ["y"], *lists], pa.list_(pa.string()))], names=["session_id", "id", "w"]).slice(2)
+    out = list(index._sets({"fer": 1})(iter([batch])))
+    assert len(out) == 1 if run > 300 else len(out) > 8
+    got = [(i, m, p) for b in out for i, m, p in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    assert [i for i, _, _ in got] == [f"c{k}" for k in range(2, 52)]
+    for (_, m, packed), own in zip(got, lists, strict=True):
+        want = set().union(*(channels.local_trigrams(w) for w in own or ()))
+        assert m == len(want) and packed == "".join(sorted(want, key=lambda g: (g == "fer", g)))
+
+
+def test_trigram_sets_as_lists(spark, chunks):
+    got = sorted((r.id, r.m, sorted(r.grams)) for r in index.gram_sets(chunks, {}).collect())
+    sets = ((r.id, set().union(*(channels.local_trigrams(w) for w in re.findall(r"[^\W_]+", (r.content or "").lower())))) for r in chunks.collect())
+    assert got == sorted((i, len(s), sorted(s)) for i, s in sets if s)
+
+
 def test_texts_pass_one_join_for_all_channels(spark):
     rows = registry.plan(spark, SF).base(False)
     assert "Join" not in plan_of(rows)

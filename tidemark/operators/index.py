@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, trigrams, words
-from ..schema import CELLS, GRAM_SETS, POSTINGS
+from ..schema import CELLS, POSTINGS
 from . import channels
 
 BLOCK = 4096
@@ -153,35 +153,37 @@ def lexical(stored: DataFrame, allowed: DataFrame, queries: DataFrame, keep=None
 # -- trigrams ---------------------------------------------------------------
 
 
-def _distinct_grams(lists: pa.ListArray, known: dict[str, set[str]]) -> Iterator[set[str]]:
-    for own in lists.to_pylist():
-        out: set[str] = set()
-        for w in own or ():
-            if w not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[w] = channels.local_trigrams(w)
-            out |= known[w]
-        yield out
+#: Sets of trigrams on their way from a task: one string, as each has three characters.
+PACKED = "m int, session_id string, id string, packed string"
+UNPACKED = "regexp_extract_all(packed, '(?s)...', 0)"
 
 
 def _sets(place: dict[str, int]):
     """Rarest first: trigrams without a place are rarer than all that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
-        for batch in batches:
-            rows = [sorted(own, key=lambda g: (place.get(g, 0), g)) for own in _distinct_grams(batch.column(2), known)]
-            columns = [pa.array([len(r) for r in rows], pa.int32()), batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["m", "session_id", "id", "grams"])
+        for batch in _runs(batches, 2, GRAM_RUN):
+            terms, code, lens = _coded(batch.column(2))
+            shared: dict[str, str] = {}  # one object for each trigram
+            of = [tuple(shared.setdefault(g, g) for g in channels.local_trigrams(w)) for w in terms.to_pylist()]
+            sizes, rows, end = [], [], 0
+            for size in lens.tolist():
+                own = set().union(*(of[c] for c in np.unique(code[end : end + size]).tolist()))
+                end += size
+                sizes.append(len(own))
+                rows.append("".join(sorted(own, key=lambda g: (place.get(g, 0), g))))
+            columns = [pa.array(sizes, pa.int32()), batch.column(0), batch.column(1), pa.array(rows, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["m", "session_id", "id", "packed"])
 
     return run
 
 
 def gram_order(chunks: DataFrame, most: int = ORDER_CHUNKS, size: int = ORDER_GRAMS) -> dict[str, int]:
-    """Places (from 1, the most frequent last) of at most ``size`` trigrams, by the chunks with the ``most`` smallest hashes."""
-    drawn = chunks.where("content IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(most).select("session_id", "id", words("content").alias("w"))
-    counts = drawn.mapInArrow(_sets({}), GRAM_SETS).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Places (from 1, the most frequent last) of at most ``size`` trigrams, by ``most`` chunks, those with the smallest hashes of ids."""
+    own = chunks.where("content IS NOT NULL")
+    ids = own.select("id").orderBy(F.xxhash64("id"), "id").limit(most).distinct()  # no text is sorted
+    drawn = own.join(F.broadcast(ids), "id", "left_semi").limit(most).select("session_id", "id", words("content").alias("w"))
+    counts = drawn.mapInArrow(_sets({}), PACKED).select(F.explode(F.expr(UNPACKED)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     rows = counts.orderBy(F.col("n").desc(), "gram").limit(size).collect()
     return {r.gram: len(rows) - k for k, r in enumerate(rows)}
 
@@ -189,7 +191,7 @@ def gram_order(chunks: DataFrame, most: int = ORDER_CHUNKS, size: int = ORDER_GR
 def gram_sets(chunks: DataFrame, place: dict[str, int]) -> DataFrame:
     """``m, session_id, id, grams`` of the chunks that have any, in order of ``m``."""
     rows = chunks.where("content IS NOT NULL").select("session_id", "id", words("content").alias("w"))
-    return rows.mapInArrow(_sets(place), GRAM_SETS).where("m > 0").sortWithinPartitions("m")
+    return rows.mapInArrow(_sets(place), PACKED).where("m > 0").sortWithinPartitions("m").select("m", "session_id", "id", F.expr(UNPACKED).alias("grams"))
 
 
 def trigram(stored: DataFrame, place: dict[str, int], allowed: DataFrame, queries: DataFrame, threshold: float, keep=None) -> DataFrame:
@@ -201,7 +203,7 @@ def trigram(stored: DataFrame, place: dict[str, int], allowed: DataFrame, querie
     rows = [(q, pool, len(own), own, own[: len(own) - ceil(threshold * len(own) - 1e-9) + 1]) for q, pool, own in asked]
     wanted = queries.sparkSession.createDataFrame(rows, f"query_id {kind}, pool int, n int, own array<string>, first array<string>")
     low, high = (min((n for _, _, n, _, _ in rows), default=0), max((n for _, _, n, _, _ in rows), default=0))
-    near = stored.where((F.col("m") >= int(threshold * low)) & (F.col("m") <= int(high / threshold) + 1)).join(allowed.select("id"), "id", "left_semi")
+    near = stored.where((F.col("m") >= int(threshold * low)) & (F.col("m") <= int(high / threshold) + 1))
     rarest = F.slice("grams", F.lit(1), (F.col("m") - F.ceil(F.lit(threshold) * F.col("m") - 1e-9) + 1).cast("int"))
     heads = near.select("id", "m", F.explode(rarest).alias("gram"))
     ask = wanted.select("query_id", "n", F.explode("first").alias("gram"))
@@ -210,6 +212,7 @@ def trigram(stored: DataFrame, place: dict[str, int], allowed: DataFrame, querie
     met = pairs.join(near.select("id", "m", "grams"), "id").join(wanted.select("query_id", "pool", "n", "own"), "query_id")
     shared = F.size(F.array_intersect("grams", "own"))
     scored = met.select("query_id", "id", "pool", (shared / (F.col("n") + F.col("m") - shared)).alias("score")).where(F.col("score") >= threshold)
+    scored = scored.join(allowed.select("id"), "id", "left_semi")  # last, so that no set is shuffled for it
     return channels.top(keep(scored) if keep else scored, F.col("score").desc(), F.col("id"))
 
 
