@@ -57,6 +57,22 @@ def test_postings_need_no_shuffle(spark, chunks, monkeypatch, run, block):
         assert terms == sorted(terms, key=str.encode)  # a run is in order of words
 
 
+def test_posting_rows_need_no_shuffle(spark, chunks, monkeypatch):
+    rows = registry.QUERY["posting_rows"](spark, SF)
+    assert "Exchange" not in plan_of(rows) and rows.count() > 0
+
+    class Repeated:  # ids that occur twice are brought together
+        def __init__(self):
+            self.rows, self.postings = chunks, index.postings(chunks)
+
+    monkeypatch.setattr(registry, "index", lambda *_: Repeated())
+    want = defaultdict(list)
+    for (term, _, key), at in places(chunks).items():
+        want[term, key] += at
+    got = {(r.term, r.id): (r.n, r.first_pos, r.last_pos, r.positions) for r in registry.QUERY["posting_rows"](spark, SF).collect()}
+    assert got == {k: (len(v), min(v), max(v), sum(v)) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("run", [250_000, 30])
 def test_trigram_sets_in_slices(monkeypatch, run):
     monkeypatch.setattr(index, "GRAM_RUN", run)
