@@ -94,6 +94,16 @@ def test_trigram_sets_as_lists(spark, chunks):
     assert got == sorted((i, len(s), sorted(s)) for i, s in sets if s)
 
 
+def test_trigram_scan_in_slices():
+    n = 3 * channels.SLICE + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{k}" for k in range(n)]), pa.array([None if k == 1 else f"ferry w{k}" for k in range(n)])], names=["id", "content"])
+    out = list(channels._shared_trigrams(frozenset(["fer", "w7 "]), 100)(iter([batch])))
+    assert len(out) == 4 and max(len(set(b.column(0).to_pylist())) for b in out) <= channels.SLICE
+    got = sorted((i, m, g) for b in out for i, m, g in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    sets = {f"c{k}": channels.local_trigrams("ferry") | channels.local_trigrams(f"w{k}") for k in range(n) if k != 1}
+    assert got == sorted((i, len(s), g) for i, s in sets.items() for g in s & {"fer", "w7 "})
+
+
 def test_texts_pass_one_join_for_all_channels(spark):
     rows = registry.plan(spark, SF).base(False)
     assert "Join" not in plan_of(rows)

@@ -26,6 +26,8 @@ from ..schema import MAX_BATCH, MAX_EXACT_CHARS, TRIGRAM_THRESHOLD
 MAX_QUERIES = MAX_BATCH
 #: Columns that filters by query look at.
 META = ("source_type", "session_id", "timestamp_start")
+#: Texts that a task turns into trigrams at a time, and words whose trigrams it keeps.
+SLICE, KNOWN = 256, 20_000
 
 
 def top(rows: DataFrame, *order: Column) -> DataFrame:
@@ -166,22 +168,23 @@ def _shared_trigrams(wanted: frozenset[str], limit: float):
     """The query trigrams that each text holds; texts with more than ``limit`` trigrams hold too few.
 
     Higher-order functions would build every text's whole set; this stops at the
-    limit and keeps the sets of words it has seen.
+    limit and keeps the trigrams of words it has seen. Texts are read in slices.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
-        for b in batches:
+        known: dict[str, tuple[str, ...]] = {}
+        shared: dict[str, str] = {}  # one object for each trigram
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             out: tuple[list, list, list] = [], [], []
-            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own: set[str] = set()
-                for m in WORD.finditer((content or "").lower()):
+                for m in WORD.finditer((content.as_py() or "").lower()):
                     w = m[0]
                     if w not in known:
-                        if len(known) > 100_000:
-                            known = {}
-                        known[w] = local_trigrams(w)
-                    own |= known[w]
+                        if len(known) > KNOWN:
+                            known, shared = {}, {}
+                        known[w] = tuple(shared.setdefault(g, g) for g in local_trigrams(w))
+                    own.update(known[w])
                     if len(own) > limit:
                         break
                 else:
