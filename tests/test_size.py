@@ -104,6 +104,14 @@ def test_trigram_scan_in_slices():
     assert got == sorted((i, len(s), g) for i, s in sets.items() for g in s & {"fer", "w7 "})
 
 
+def test_redacted_json_in_slices(spark, monkeypatch):
+    given = [None, "", "a@b.example.com", '{"a":["x@y.example.com",1]}', "[1", '"q"'] * 7
+    want = [None, "", text.MARK, '{"a":["%s",1]}' % text.MARK, "[1", '"q"'] * 7
+    monkeypatch.setattr(text, "REDACTED_AT_ONCE", 4)
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, t string").coalesce(1)
+    assert [r.m for r in rows.select("k", text.redact_json("t").alias("m")).orderBy("k").collect()] == want
+
+
 def test_texts_pass_one_join_for_all_channels(spark):
     rows = registry.plan(spark, SF).base(False)
     assert "Join" not in plan_of(rows)
