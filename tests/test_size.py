@@ -112,6 +112,26 @@ def test_redacted_json_in_slices(spark, monkeypatch):
     assert [r.m for r in rows.select("k", text.redact_json("t").alias("m")).orderBy("k").collect()] == want
 
 
+def test_texts_of_candidates_are_not_shuffled(spark, monkeypatch):
+    def found():
+        s = Search(corpus.index(spark, SF).rows, corpus.queries(spark, SF), corpus.MODEL, corpus.NOW, corpus.DIM, index=corpus.index(spark, SF))
+        try:
+            return plan_of(s.fused), sorted((r.query_id, r.id, round(r.score, 9), r.content) for r in s.fused.collect())
+        finally:
+            s.release()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, rows = found()
+        joins = [line for line in plan.split("InMemoryTableScan")[0].splitlines() if "Join" in line]
+        assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
+        monkeypatch.setattr(search, "MAX_SENT", 0)  # too many to be sent: the same rows by a shuffle
+        plan, shuffled = found()
+        assert "SortMergeJoin" in plan and shuffled == rows and rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_texts_pass_one_join_for_all_channels(spark):
     rows = registry.plan(spark, SF).base(False)
     assert "Join" not in plan_of(rows)

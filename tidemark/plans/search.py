@@ -18,6 +18,9 @@ from ..operators.filters import QueryFilters, SearchFilters, bounds, compatible,
 from ..schema import EMBED_DIM, MAX_PAGE_LIMIT, MAX_POOL, MAX_SEARCH_LIMIT, MIN_POOL, POOL_FACTOR, TRIGRAM_THRESHOLD
 
 BASE = ("session_id", "source_type", "timestamp_start", "created_at", "embedding_model")
+CHANNELS = ("dense", "lexical", "exact")
+#: So many candidates of a batch are broadcast (some 60 MB).
+MAX_SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,11 @@ class Search:
         pool = F.least(F.greatest(window * POOL_FACTOR, F.lit(MIN_POOL)), F.lit(MAX_POOL)).cast("int")
         return self.queries.withColumn("window", window).withColumn("pool", pool)
 
+    @cached_property
+    def few(self) -> bool:
+        """Whether all candidates are few enough to go to the texts; else the texts meet them in a shuffle."""
+        return len(CHANNELS) * sum(r.pool for r in channels.collected(self.asked, "pool")) <= MAX_SENT
+
     def base(self, needs_vector: bool) -> DataFrame:
         return self.chunks.where(self.filters.predicate() & compatible(self.model, self.dim, needs_vector))
 
@@ -118,8 +126,8 @@ class Search:
     def variant(self, stages: Stages) -> Search:
         """The same search with other stages, sharing the channels."""
         other = replace(self, stages=stages)
-        for name in ("asked", "dense", "words", "grams", "lexical", "exact"):
-            needed = {"dense": stages.dense, "exact": stages.exact, "asked": True}.get(name, stages.lexical)
+        for name in ("asked", "few", "dense", "words", "grams", "lexical", "exact"):
+            needed = {"dense": stages.dense, "exact": stages.exact, "asked": True, "few": True}.get(name, stages.lexical)
             if needed:
                 other.__dict__[name] = getattr(self, name)
         return other
@@ -132,12 +140,14 @@ class Search:
 
     @cached_property
     def pools(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in ("dense", "lexical", "exact") if getattr(self.stages, name)}
+        return {name: getattr(self, name) for name in CHANNELS if getattr(self.stages, name)}
 
     @cached_property
     def fused(self) -> DataFrame:
         """Fused candidates with the columns of their chunks (joined after the pools are cut)."""
-        return self.filters.guard(fusion.fuse(self.pools).join(self.chunks.select("id", "content", "embedding", *BASE), "id"))
+        found = fusion.fuse(self.pools)
+        rows = self.chunks.select("id", "content", "embedding", *BASE)
+        return self.filters.guard(rows.join(F.broadcast(found) if self.few else found, "id"))
 
     @cached_property
     def ranked(self) -> DataFrame:
