@@ -50,3 +50,15 @@ def test_empty_table(spark, tmp_path):
     at = dump(spark, tmp_path, documents(spark, []))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     assert corpus_pipeline.run(spark, at).collect() == []
+
+
+def test_toxic_stage_drops_forms_it_has_not_seen(spark, tmp_path):
+    """Texts whose toxic words are new forms of a stem, beside few labels."""
+    plain = [f"{a}{b}{c}" for a in "vwxz" for b in "aeiou" for c in "lmnrst"]
+    ends = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    data = [(i, " ".join([*(plain[(i * 7 + k * (i % 11 + 1)) % 120] for k in range(20)), *([f"grolf{ends[i % 60]}", f"grolf{ends[(i + 1) % 60]}"] if i % 8 == 0 else [])]), "de", "s", 0) for i in range(160)]
+    new = [(1000 + i, f"val grolf{e}x wen grolf{e}y", "de", "s", 0) for i, e in enumerate(ends[:20])]
+    at = dump(spark, tmp_path, spark.createDataFrame(data + new, documents(spark).schema))
+    spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i, *_ in data], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{at}/documents.parquet"), at).collect()}
+    assert kept == {i for i, *_ in data if i % 8}
